@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, spaced_seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op10_spaced_seed_decontamination": spaced_seeds.op10_spaced_seed_decontamination,
 }
 
 SQL: dict[str, str] = {
