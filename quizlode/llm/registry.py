@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, spaced_seeds
+from . import minhash, mixing, spaced_seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": minhash.op3_near_duplicates,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op10_spaced_seed_decontamination": spaced_seeds.op10_spaced_seed_decontamination,
 }
