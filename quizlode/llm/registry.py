@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, spaced_seeds
+from . import minhash, mixing, spaced_seeds, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": minhash.op3_near_duplicates,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_spaced_seed_decontamination": spaced_seeds.op10_spaced_seed_decontamination,
 }
 
