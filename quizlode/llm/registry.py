@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, spaced_seeds, toxicity
+from . import minhash, mixing, phrases, quality, spaced_seeds, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_robust_quality": quality.op2_robust_quality,
     "op3_near_duplicates": minhash.op3_near_duplicates,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_repeated_phrases": phrases.op8_repeated_phrases,
     "op10_spaced_seed_decontamination": spaced_seeds.op10_spaced_seed_decontamination,
 }
 
