@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, phrases, quality, spaced_seeds, toxicity
+from . import minhash, mixing, phrases, quality, spaced_seeds, toxicity, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_cascade": url_cascade.op1_url_cascade,
     "op2_robust_quality": quality.op2_robust_quality,
     "op3_near_duplicates": minhash.op3_near_duplicates,
     "op5_mix_sources": mixing.op5_mix_sources,
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_url_cascade": url_cascade.SQL,
     "op5_mix_sources": mixing.SQL,
 }
