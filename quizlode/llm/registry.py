@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, phrases, quality, spaced_seeds, toxicity, url_cascade
+from . import licenses, minhash, mixing, phrases, quality, spaced_seeds, toxicity, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_cascade": url_cascade.op1_url_cascade,
     "op2_robust_quality": quality.op2_robust_quality,
     "op3_near_duplicates": minhash.op3_near_duplicates,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_repeated_phrases": phrases.op8_repeated_phrases,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_url_cascade": url_cascade.SQL,
+    "op4_license_scan": licenses.SQL,
     "op5_mix_sources": mixing.SQL,
 }
