@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, mixing, phrases, quality, spaced_seeds, toxicity, url_cascade
+from . import licenses, minhash, mixing, phrases, quality, secrets, spaced_seeds, toxicity, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_cascade": url_cascade.op1_url_cascade,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": minhash.op3_near_duplicates,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_repeated_phrases": phrases.op8_repeated_phrases,
     "op10_spaced_seed_decontamination": spaced_seeds.op10_spaced_seed_decontamination,
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op1_url_cascade": url_cascade.SQL,
     "op4_license_scan": licenses.SQL,
     "op5_mix_sources": mixing.SQL,
+    "op6_secret_scan": secrets.SQL,
 }
