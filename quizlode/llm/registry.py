@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, mixing, phrases, quality, secrets, spaced_seeds, toxicity, url_cascade
+from . import licenses, line_templates, minhash, mixing, phrases, quality, secrets, spaced_seeds, toxicity, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_cascade": url_cascade.op1_url_cascade,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_repeated_phrases": phrases.op8_repeated_phrases,
+    "op9_line_templates": line_templates.op9_line_templates,
     "op10_spaced_seed_decontamination": spaced_seeds.op10_spaced_seed_decontamination,
 }
 
@@ -25,4 +26,5 @@ SQL: dict[str, str] = {
     "op4_license_scan": licenses.SQL,
     "op5_mix_sources": mixing.SQL,
     "op6_secret_scan": secrets.SQL,
+    "op9_line_templates": line_templates.SQL,
 }
