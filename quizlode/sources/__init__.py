@@ -1 +1,9 @@
-"""quizlode sources."""
+"""Where rows come from: tables, page files and bank files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
