@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import importlib
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# what runs on executors goes there with its task, so that they need no copy of this package
+cloudpickle.register_pickle_by_value(importlib.import_module(__package__))
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -55,9 +55,6 @@ class Model(dict):
         value = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
         return value
 
-    def __reduce__(self):
-        return Model, (self.weights, self.bias)
-
     def score(self, text: str | None, least: float) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score, and the sentences (start, end, score) that score ``least`` or more."""
         harmless, found = 0.0, []
@@ -146,10 +143,10 @@ def score_toxicity(docs: DataFrame, model: Model, least: float = 0.5) -> DataFra
     or empty text scores 0 and has none, as has everything if the model saw labels of one kind only.
     """
     wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Model(*shared.value)
         for batch in batches:
             rows = batch.column(0)
             texts = rows.field(rows.type.get_field_index("text")).to_pylist()
