@@ -5,7 +5,8 @@ ignored place does not hide a match. All masked positions of the benchmark are h
 position of every training text is hashed with the same masks and joined with that table inside the scan, so no text
 is shuffled. Each hit names a diagonal (text position minus item position), on which the item is laid beside the text
 and the best window is counted token by token. The four masks together hit every window of 16 tokens with up to three
-substitutions, and every one of 20 with up to four.
+substitutions, and every one of 20 with up to four. Items shorter than a window are also hashed by three tokens in a
+row, which finds them with every fifth token substituted.
 
 The benchmark's table is broadcast in blocks of at most BLOCK_TOKENS tokens; a larger benchmark takes more blocks, each
 met with all texts, so that no bound on the benchmark's size changes the result.
@@ -25,6 +26,8 @@ from .common import WordHashes, gram_hashes, table
 
 #: The token positions that each mask looks at.
 MASKS = ((0, 2, 3, 7, 8, 9), (0, 1, 2, 4, 5, 8), (0, 2, 4, 7, 8, 10), (0, 1, 2, 4, 5, 6))
+#: The mask of items shorter than a window, which the others do not fit often enough.
+SHORT_MASK = (0, 1, 2)
 #: Tokens of a verified window, the share of them that must be equal, and the fewest tokens of an item that can be evidence.
 WINDOW, SIMILARITY, LEAST_TOKENS = 16, 0.8, 8
 #: Tokens of the benchmark in one broadcast block (some 100 MB of tables on each worker at most).
@@ -67,9 +70,13 @@ class SeedTable:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1].astype(np.int64)
         each = [words.of(t, len(t)) for _, t in kept]
         self.tokens = np.concatenate(each) if each else np.empty(0, np.uint64)
+        short = [len(w) < window for w in each]
+        self.masks = [*MASKS, *[SHORT_MASK] * any(short)]
         hashes, at = [], []
-        for k, mask in enumerate(MASKS):
-            for start, w in zip(self.starts, each, strict=True):
+        for k, mask in enumerate(self.masks):
+            for start, w, is_short in zip(self.starts, each, short, strict=True):
+                if mask is SHORT_MASK and not is_short:
+                    continue
                 h = gram_hashes(w, mask, k)
                 hashes.append(h)
                 at.append(start + np.arange(len(h), dtype=np.int64))
@@ -94,7 +101,7 @@ class SeedTable:
         if not len(self.hashes) or not len(text):
             return []
         found = []
-        for k, mask in enumerate(MASKS):
+        for k, mask in enumerate(self.masks):
             h = gram_hashes(text, mask, k)
             at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
             lo, hi = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
