@@ -65,7 +65,7 @@ def fold_mixed_words(x: Column) -> Column:
 
 def match_key(x: Column) -> Column:
     """Identity for matching questions: no marks, folded alphabets, punctuation as blanks, signs and formulas kept."""
-    bare = F.regexp_replace(F.coalesce(x, F.lit("")), "[-" + rules.CHECK_GLYPHS + rules.CROSS_GLYPHS.replace("×", "") + "]", "")
+    bare = F.regexp_replace(F.coalesce(x, F.lit("")), r"[-" + rules.CHECK_GLYPHS + rules.CROSS_GLYPHS.replace("×", "") + "]", "")
     low = fold_mixed_words(yo(F.lower(bare)))
     low = F.regexp_replace(low, r"""[«»"“”„'`’‘()\[\]{}]""", " ")
     return collapse(F.regexp_replace(low, r"[.,;:!?…–—\-_/\\|*#~]+", " "))
@@ -104,8 +104,9 @@ def is_scrambled_bijoy(x: Column) -> Column:
 
 def tidy_extracted(x: Column) -> Column:
     """Extracted page text with plain blanks, quotes, dashes, bullets and line ends, without page numbers."""
-    x = F.regexp_replace(F.coalesce(x, F.lit("")), "[  ᠎ -​  　﻿]", " ")
-    x = F.translate(x, "‘’‚‛“”„‟–—―•‣◦⁃∙", "''''" + '""""' + "-" * 8)
+    x = F.regexp_replace(F.coalesce(x, F.lit("")), r"[  ᠎ -​  　﻿]", " ")
+    quotes, dashes, bullets = "\u2018\u2019\u201A\u201B\u201C\u201D\u201E\u201F", "\u2013\u2014\u2015", "\u2022\u2023\u25E6\u2043\u2219"
+    x = F.translate(x, quotes + dashes + bullets, "'" * 4 + '"' * 4 + "-" * 8)
     x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.regexp_replace(x, r"(?imu)^\s*(?:page|পৃষ্ঠা)\s*[:.-]?\s*[0-9০-৯]+(?:\s*(?:of|এর|/)\s*[0-9০-৯]+)?\s*$", "")
     x = F.regexp_replace(x, r"(?m)^\s*-\s*[0-9০-৯]+\s*-\s*$", "")
@@ -141,7 +142,7 @@ def formula_damage(x: Column) -> Column:
         F.array(
             F.when(x.rlike(rf"{edge}10\s?-\s?[0-9]{{1,2}}{end}") & ~x.rlike(r"10\s?[⁻^]"), "exponent-may-be-flattened"),
             F.when(x.rlike(rf"{edge}10[0-9]{{2}}{end}") & x.rlike(r"(?:м|m|Гц|Hz|Дж|J)(?![A-Za-zА-Яа-я])"), "exponent-digits-merged"),
-            F.when(x.contains("�"), "replacement-char"),
+            F.when(x.contains("\uFFFD"), "replacement-char"),
         )
     )
 
