@@ -33,6 +33,7 @@ MARGIN = 0.17
 _A = odd_constants(MINIMA, 11)
 _B = odd_constants(MINIMA, 12)
 _FEATURES = "doc_id long, n_shingles long, class binary, signature array<long>, bands array<long>"
+_DIFFERENCES = "u long, v long, linked boolean, hub_shingles long, missing array<long>, extra array<long>"
 
 
 def shingle_hashes(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
@@ -127,12 +128,118 @@ def _confirm(size: int, similarity: float):
     return scan
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (u, v) of doc_ids whose texts' shingle sets are similar enough."""
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v, a, b): pairs of doc_ids with their texts; both joins read one exchange of the texts."""
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull())
     with_v = pairs.join(texts, F.col("v") == F.col("_id")).select("u", "v", F.col("_text").alias("b"))
-    both = with_v.join(texts, F.col("u") == F.col("_id")).select("u", "v", F.col("_text").alias("a"), "b")
-    return both.mapInArrow(_confirm(size, similarity), "u long, v long")
+    return with_v.join(texts, F.col("u") == F.col("_id")).select("u", "v", F.col("_text").alias("a"), "b")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) of doc_ids whose texts' shingle sets are similar enough."""
+    return _with_texts(pairs, docs).mapInArrow(_confirm(size, similarity), "u long, v long")
+
+
+def _alike(similarity: float) -> Column:
+    """Whether sizes (nu, nv) and signatures (su, sv) leave a pair similar enough."""
+    return (estimate(F.col("su"), F.col("sv")) >= similarity - MARGIN) & (
+        F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * round(similarity * 100)
+    )
+
+
+def _possible(similarity: float) -> Column:
+    """Whether a pair could be similar enough if it had all shingles (mu, mv) in common that others have at all."""
+    share = round(similarity * 100)
+    return F.least("mu", "mv") * (100 + share) >= (F.col("nu") + F.col("nv")) * share
+
+
+def _sets(size: int):
+    """Texts to rows of their shingles, and one row of its own for each text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc_id, version, text in zip(ids, versions, batch.column(2).cast(pa.string()).cast(pa.binary()).to_pylist(), strict=True):
+                own = xxhash.xxh3_64_intdigest(f"{doc_id}:{version}".encode())
+                found = np.append(shingle_hashes(text.lower().split(), hashes, size), np.uint64(own)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), doc_id, np.int64)), pa.array(np.full(len(found), version, np.int64)), pa.array(found)],
+                    ["doc_id", "version", "shingle"],
+                )
+
+    return scan
+
+
+def _linked(similarity: float) -> Column:
+    """Whether a pair is similar enough, from what either set lacks and has beside the hub's (h shingles): exact."""
+    both = F.col("hu") - F.size("withoutu") - F.size("withoutv") + F.size(F.array_intersect("withoutu", "withoutv")) + F.size(F.array_intersect("withu", "withv"))
+    share = round(similarity * 100)
+    return both * 100 >= (F.col("nu") + F.col("nv") - both) * share
+
+
+def _differences(size: int, similarity: float):
+    """Pairs with both texts to (u, v, linked, hub_shingles, missing, extra): v's set against u's."""
+    share = round(similarity * 100)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last, hub = WordHashes(), None, np.empty(0, np.uint64)
+        for batch in batches:
+            linked, n, missing, extra = [], [], [], []
+            a, b = (batch.column(i).cast(pa.string()).cast(pa.binary()).to_pylist() for i in (2, 3))
+            for x, y in zip(a, b, strict=True):
+                if x != last:
+                    last, hub = x, shingle_hashes(x.lower().split(), hashes, size)
+                other = shingle_hashes(y.lower().split(), hashes, size)
+                without, more = (np.setdiff1d(p, q, assume_unique=True) for p, q in ((hub, other), (other, hub)))
+                both = len(hub) - len(without)
+                linked.append(100 * both >= share * (len(hub) + len(other) - both))
+                n.append(len(hub)), missing.append(without.view(np.int64)), extra.append(more.view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(missing, longs), pa.array(extra, longs)],
+                ["u", "v", "linked", "hub_shingles", "missing", "extra"],
+            )
+
+    return scan
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(bucket, doc_id, component, largest) of the buckets that hold several components."""
+    found = cut(connected_components(links), "components")
+    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = cut(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    parts = placed.join(several.select("bucket"), "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    return placed.join(largest, "bucket")
+
+
+def _central(members: DataFrame, signed: DataFrame, links: DataFrame, plain: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """More links, and the buckets that are open after them, each member with its differences from the bucket's hub.
+
+    A shingle that one open document alone has is in no intersection, which bounds each similarity from above without
+    looking at pairs: what can't reach the bound with anyone is done. In each open bucket the document with the fewest
+    such shingles, the most central one, becomes the hub of a second star.
+    """
+    open_ = cut(_open(members.select("bucket", "doc_id"), links), "open")
+    texts = plain.where("text IS NOT NULL").join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = texts.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(_sets(size), "doc_id long, version long, shingle long")
+    owned = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version")).alias("owner")).where("n = 1")
+    lone = owned.groupBy("owner").agg((F.count("*") - 1).alias("n")).groupBy("owner.doc_id").agg(F.min("n").alias("lone"))
+    known = signed.join(cut(lone, "lone-shingles"), "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
+    known = known.where(F.col("common") * 100 >= F.col("n_shingles") * round(similarity * 100)).drop("lone")
+    members = open_.select("bucket", "doc_id").join(known, "doc_id")
+    hubs = members.groupBy("bucket").agg(F.max_by("doc_id", F.struct(F.col("common") / F.col("n_shingles"), -F.col("doc_id"))).alias("hub"))
+    members = cut(members.join(hubs, "bucket"), "open-members")
+    pairs = cut(members.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "central-pairs")
+    found = cut(_with_texts(pairs, plain).mapInArrow(_differences(size, similarity), _DIFFERENCES), "differences")
+    links = cut(links.unionByName(found.where("linked AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), "central-links")
+    # an id with several texts has several differences from a hub: its links are known, its differences say nothing
+    told = found.groupBy("u", "v").agg(F.count("*").alias("n"), F.min(F.struct("hub_shingles", "missing", "extra")).alias("d")).where("n = 1")
+    told = cut(told.select(F.col("u").alias("hub"), F.col("v").alias("doc_id"), "d.*"), "told")
+    again = _open(members.select("bucket", "doc_id"), links).join(members, ["bucket", "doc_id"]).join(told, ["hub", "doc_id"])
+    return links, cut(again, "open-again")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -157,35 +264,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     u, v = (
         signed.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "uv"
     )
-    alike = (estimate(F.col("su"), F.col("sv")) >= similarity - MARGIN) & (
-        F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * round(similarity * 100)
-    )
     stars = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    stars = cut(stars.join(v, "v").join(u, "u").where(alike).select("u", "v"), "star-pairs")
+    stars = cut(stars.join(v, "v").join(u, "u").where(_alike(similarity)).select("u", "v"), "star-pairs")
     links = cut(confirmed(stars, plain, shingle_words, similarity), "star-links")
 
-    # the second look: buckets that still hold several components
-    found = cut(connected_components(links), "components")
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = cut(placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    parts = placed.join(several.select("bucket"), "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    open_ = placed.join(largest, "bucket").join(signed, "doc_id")
-    open_ = cut(open_.select("bucket", "doc_id", "component", "largest", "n_shingles", "signature"), "open-buckets")
+    # the second look: buckets that still hold several components, less what the rare shingles rule out
+    links, open_ = _central(members, signed, links, plain, shingle_words, similarity)
     x, y = (
         open_.select(
             F.col("bucket").alias(f"k{i}"), F.col("doc_id").alias(i), F.col("component").alias(f"c{i}"), F.col("largest").alias(f"l{i}"),
-            F.col("n_shingles").alias(f"n{i}"), F.col("signature").alias(f"s{i}"),
+            F.col("n_shingles").alias(f"n{i}"), F.col("signature").alias(f"s{i}"), F.col("common").alias(f"m{i}"),
+            F.col("hub_shingles").alias(f"h{i}"), F.col("missing").alias(f"without{i}"), F.col("extra").alias(f"with{i}"),
         )
         for i in "uv"
     )
     once = (F.col("cv") == F.col("lv")) | (F.col("u") < F.col("v"))
+    alike = _possible(similarity) & _alike(similarity) & _linked(similarity)
     across = x.where("cu <> lu").join(y, (F.col("ku") == F.col("kv")) & (F.col("cu") != F.col("cv")) & once & alike)
-    rest = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = cut(rest.join(stars, ["u", "v"], "left_anti"), "rest-pairs")
-    more = confirmed(rest, plain, shingle_words, similarity)
-    final = cut(connected_components(links.unionByName(cut(more, "rest-links"))), "components")
+    more = cut(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "rest-links")
+    final = cut(connected_components(links.unionByName(more)), "components")
 
     named = classes.select("class", F.col("doc_id").alias("first")).join(
         final.select(F.col("node").alias("first"), "component"), "first", "left"
