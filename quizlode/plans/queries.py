@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, similarity, text
-from ..operators import bank, evidence, exam, export, geometry, layout, lookup, quiz, resolve
+from ..operators import bank, evidence, exam, export, geometry, layout, lookup, quiz, records, resolve
 from ..sources import adapters, csv_bank, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,3 +579,97 @@ def csv_import_report(spark, folder):
         F.when(key % 13 != 0, F.substr(F.lit("ABCDEF"), (F.col("c_nationkey") % 6 + 1).cast("int"), F.lit(1))).alias("answer"),
     )
     return csv_bank.import_report(rows).select("id", "reason", "is_duplicate")
+
+
+# --- records ---------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT l_partkey % 200 AS figure_id, l_linenumber AS n, l_returnflag || (l_suppkey % 3)::VARCHAR AS value, CASE WHEN l_tax < 0.02 THEN NULL ELSE l_quantity END AS earned, 50.0::DOUBLE AS maximum FROM lineitem),
+s AS (SELECT figure_id, n, value, sum(CASE WHEN earned IS NULL THEN 0.5::DOUBLE ELSE greatest(0.05::DOUBLE, earned / maximum) END) AS weight, max(coalesce(earned >= maximum, false)) AS trusted FROM v GROUP BY 1, 2, 3)
+SELECT figure_id, n, value, round(weight, 6) AS weight, trusted FROM (SELECT *, row_number() OVER (PARTITION BY figure_id, n ORDER BY trusted DESC, round(weight, 6) DESC, value) AS r FROM s) WHERE r = 1""")
+def figure_label_vote(spark, folder):
+    rows = table(spark, folder, "lineitem")
+    votes = rows.select(
+        (F.col("l_partkey") % 200).alias("figure_id"), F.col("l_linenumber").alias("n"), F.concat("l_returnflag", (F.col("l_suppkey") % 3).cast("string")).alias("value"),
+        F.when(F.col("l_tax") >= 0.02, F.col("l_quantity")).alias("earned"), F.lit(50.0).alias("maximum"),
+    )
+    return records.figure_labels(votes).withColumn("weight", F.round("weight", 6))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 5 < o_orderkey % 4 ELSE o_orderkey % 3 > 0 END AS answered FROM orders""")
+def answerable(spark, folder):
+    key = F.col("o_orderkey")
+    options = F.slice(F.split(F.lit("A,B,C"), ","), F.lit(1), (key % 4).cast("int"))
+    answer = F.concat(F.lit("Z; "), F.substr(F.lit("ABCDE"), (key % 5 + 1).cast("int"), F.lit(1)))
+    return table(spark, folder, "orders").select(key.alias("id"), records.has_answer(answer, options, F.when(key % 3 > 0, "text")).alias("answered"))
+
+
+@query("""SELECT p_partkey AS id, q AS question, o AS options, a AS answer, round((q + o + CASE WHEN a > 0 THEN a ELSE 0.5 END) / 3, 2) AS overall,
+ CASE WHEN round((q + o + CASE WHEN a > 0 THEN a ELSE 0.5 END) / 3, 2) >= 0.85 THEN 'high' WHEN round((q + o + CASE WHEN a > 0 THEN a ELSE 0.5 END) / 3, 2) >= 0.6 THEN 'medium' ELSE 'needs-review' END AS level
+FROM (SELECT p_partkey, (CASE WHEN length(p_name) > 10 THEN 0.99 ELSE 0.8 END)::DOUBLE AS q, (CASE WHEN p_size % 6 >= 4 THEN 0.98 WHEN p_size % 6 >= 3 THEN 0.85 ELSE 0.6 END)::DOUBLE AS o, (CASE WHEN p_size % 2 = 0 THEN 0.99 ELSE 0 END)::DOUBLE AS a FROM part)""")
+def structured_confidence(spark, folder):
+    parts = records.structured(F.col("p_size") % 6, F.length("p_name"), F.col("p_size") % 2 == 0)
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), parts.alias("c")).select("id", "c.*")
+    return rows.withColumn("level", records.confidence_level(F.col("overall")))
+
+
+@query("SELECT o_custkey AS owner, arg_min(o_orderpriority, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS value FROM orders GROUP BY 1")
+def first_known_blank(spark, folder):
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("owner"), "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("value"))
+    return records.first_known(rows, ["owner"], "o_orderkey", "value")
+
+
+@query("""WITH h AS (SELECT o_custkey AS key, min(o_orderkey) AS twin_id FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1 HAVING count(*) = 1)
+SELECT o_orderkey AS id, twin_id FROM orders JOIN h ON o_custkey = key WHERE o_orderkey % 10 = 1""")
+def lone_twins(spark, folder):
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"))
+    return records.lone_twins(rows.where("id % 10 = 1"), rows.where("id % 10 = 0"))
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES (1, 'ring', 'R'), (2, 'a', 'S'), (3, 'o', 'T')) AS t(priority, fragment, given)),
+h AS (SELECT p_partkey AS id, arg_min(given, priority) AS given FROM part JOIN r ON contains(p_name, fragment) GROUP BY 1)
+SELECT p_partkey AS id, p_name AS question, coalesce(given, p_brand) AS answer, given IS NOT NULL AS overridden FROM part LEFT JOIN h ON id = p_partkey""")
+def override_rules(spark, folder):
+    rules_ = spark.sql("SELECT * FROM VALUES (1, 'ring', 'R'), (2, 'a', 'S'), (3, 'o', 'T') AS t(priority, fragment, answer)")
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), F.col("p_brand").alias("answer"))
+    return records.override(rows, rules_)
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'NEEDS_REVIEW' WHEN 2 THEN 'UNRESOLVED' ELSE 'CONFIRMED_BY_SCORE' END AS a,
+ CASE o_orderkey % 3 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'NEEDS_REVIEW' ELSE 'PARSED' END AS e FROM orders)
+SELECT id, CASE a WHEN 'CONFLICT' THEN 'ANSWER_CONFLICT' WHEN 'NEEDS_REVIEW' THEN 'ANSWER_REVIEW' ELSE 'NO_ANSWER' END AS kind FROM c WHERE a <> 'CONFIRMED_BY_SCORE'
+UNION ALL SELECT id, CASE e WHEN 'FAILED' THEN 'EXTRACTION_FAILED' ELSE 'EXTRACTION_REVIEW' END FROM c WHERE e <> 'PARSED'""")
+def import_review_tasks(spark, folder):
+    key = F.col("o_orderkey")
+    a = F.get(F.array(*[F.lit(x) for x in ("CONFLICT", "NEEDS_REVIEW", "UNRESOLVED", "CONFIRMED_BY_SCORE")]), (key % 4).cast("int"))
+    e = F.get(F.array(*[F.lit(x) for x in ("FAILED", "NEEDS_REVIEW", "PARSED")]), (key % 3).cast("int"))
+    return records.review_tasks(table(spark, folder, "orders").select(key.alias("id"), a.alias("answer_status"), e.alias("extraction_status")))
+
+
+@query("""WITH s AS (SELECT l_partkey AS group_id, CASE WHEN l_linenumber % 2 = 0 THEN 'A,' || l_returnflag ELSE l_returnflag END AS keys, count(*) AS n FROM (SELECT l_partkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'B' ELSE l_returnflag END AS l_returnflag FROM lineitem) GROUP BY 1, 2)
+SELECT group_id, keys, n FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, keys) AS r FROM s) WHERE r = 1""")
+def most_frequent_set(spark, folder):
+    flag = F.when(F.col("l_returnflag") == "A", "B").otherwise(F.col("l_returnflag"))
+    keys = F.when(F.col("l_linenumber") % 2 == 0, F.array(flag, F.lit("A"))).otherwise(F.array(flag))
+    return records.most_frequent_set(table(spark, folder, "lineitem").select(F.col("l_partkey").alias("group_id"), keys.alias("keys")))
+
+
+@query("""WITH s AS (SELECT user_id AS question_id, event_type AS url, min(event_id) AS rank FROM events GROUP BY 1, 2)
+SELECT question_id, url, rank, place FROM (SELECT *, (row_number() OVER (PARTITION BY question_id ORDER BY rank, url))::INTEGER AS place FROM s) WHERE place <= 3""")
+def unique_sources(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("user_id").alias("question_id"), F.col("event_type").alias("url"), F.col("event_id").alias("rank"))
+    return records.unique_sources(rows, 3)
+
+
+@query("""SELECT source AS document_id, count(*) AS pages, avg(length(text)) < 2300 AS scanned FROM documents GROUP BY 1""")
+def scanned_documents(spark, folder):
+    return records.is_scanned(table(spark, folder, "documents").select(F.col("source").alias("document_id"), "text"), 2300)
+
+
+@query("""SELECT name, length, modified, min(path) AS path FROM (SELECT 'f' || (o_orderkey % 900) || CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.PDF' END AS name, (o_orderkey % 50) AS length, o_orderstatus AS modified,
+ 'd' || (o_orderkey % 3) || '/f' || (o_orderkey % 900) || CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.PDF' END AS path FROM orders) WHERE ends_with(lower(name), '.pdf') AND length BETWEEN 1 AND 40 GROUP BY 1, 2, 3""")
+def valid_uploads(spark, folder):
+    key = F.col("o_orderkey")
+    name = F.concat(F.lit("f"), (key % 900).cast("string"), F.when(key % 7 == 0, ".txt").otherwise(".PDF"))
+    rows = table(spark, folder, "orders").select(F.concat(F.lit("d"), (key % 3).cast("string"), F.lit("/"), name).alias("path"), (key % 50).alias("length"), F.col("o_orderstatus").alias("modified"))
+    return records.valid_uploads(rows, 40)

@@ -123,3 +123,12 @@ def test_page_stream(spark, tmp_path):
         streaming.stream_pages(spark, folder, target, checkpoint).awaitTermination()
     latest = {(r.document_id, r.page_number): r.version for r in streaming.latest_pages(spark, target).collect()}
     assert latest == {(1, 1): 2, (1, 2): 2}
+
+
+def test_pages_are_sanitized(spark):
+    from quizlode.operators import records
+
+    rows = spark.createDataFrame([("d", 1, None, 10.0, [("x" * 3000, 1.0, None, 2.0, 3.0), ("", 0.0, 0.0, 0.0, 0.0), (None, 0.0, 0.0, 0.0, 0.0)]), ("d", 0, 1.0, 1.0, [])], "document_id string, page int, width double, height double, items array<struct<str:string,x:double,y:double,w:double,h:double>>")
+    (row,) = records.sanitize_pages(rows).collect()
+    assert (row.page, row.width, row.height) == (1, 595.0, 10.0)
+    assert len(row["items"]) == 1 and len(row["items"][0].str) == 2000 and row["items"][0].y == 0.0
