@@ -40,3 +40,58 @@ def pick_winner(scores: DataFrame, least: float, margin: float) -> DataFrame:
     first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
     clear = (first["score"] >= least) & (first["score"] - F.coalesce(second["score"], F.lit(0.0)) >= margin)
     return top.where(clear).select("question_id", first["label"].alias("winner"), first["score"].alias("score"))
+
+
+def matches_option(title: Column, body: Column, option: Column) -> Column:
+    """Whether a source is about an option: half of its roots in the title, or three quarters in the first 400 characters."""
+    from ..functions.similarity import coverage
+
+    wanted = roots(option)
+    return (coverage(wanted, roots(title)) >= 0.5) | (coverage(wanted, roots(F.substring(body, 1, 400))) >= 0.75)
+
+
+#: Words that turn a sentence around, in the languages of the sources.
+NEGATIONS = ("not", "no", "never", "не", "нет", "никогда", "без", "without")
+
+
+def is_negative(x: Column) -> Column:
+    return F.arrays_overlap(text.words(x), F.array(*[F.lit(w) for w in NEGATIONS]))
+
+
+def judge_statements(statements: DataFrame, sources: DataFrame, same: float = 0.8, other: float = 0.9) -> DataFrame:
+    """(question_id, verdict, score): whether the sentence that covers a statement (question_id, text) best says the same.
+
+    A sentence of the same polarity confirms it from a coverage of ``same`` on, one of the other refutes it from ``other``.
+    """
+    found = sentence_evidence(statements, sources, min(same, other))
+    said = sentences(sources).select("source_id", "pos", is_negative(F.col("sentence")).alias("said_no"))
+    asked = statements.select("question_id", is_negative(F.col("text")).alias("asked_no"))
+    both = found.join(said, ["source_id", "pos"]).join(asked, "question_id").withColumn("agrees", F.col("said_no") == F.col("asked_no"))
+    best = both.groupBy("question_id").agg(F.max_by(F.struct("score", "agrees"), F.struct("score", "agrees", -F.col("source_id"), -F.col("pos"))).alias("b"))
+    clear = F.when(F.col("b.agrees"), F.col("b.score") >= same).otherwise(F.col("b.score") >= other)
+    return best.where(clear).select("question_id", F.when(F.col("b.agrees"), "TRUE").otherwise("FALSE").alias("verdict"), F.col("b.score").alias("score"))
+
+
+def vote(scores: DataFrame, checks: DataFrame, lead: float = 1.0) -> DataFrame:
+    """(question_id, winner, votes): the label that the checks elect.
+
+    scores: question_id, name, label, score; checks: name, least, margin, weight, content. A check votes for its best
+    label if that scores ``least`` and leads by ``margin``. The winner needs a vote of a check of contents and a lead over
+    the next label. checks is a fixed short list, broadcast.
+    """
+    top = scores.groupBy("question_id", "name").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "label")))), 1, 2).alias("t"))
+    first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    ruled = top.join(F.broadcast(checks), "name")
+    ruled = ruled.where((first["score"] >= F.col("least")) & (first["score"] - F.coalesce(second["score"], F.lit(0.0)) >= F.col("margin")))
+    sums = ruled.groupBy("question_id", first["label"].alias("label")).agg(F.sum("weight").alias("votes"), F.max("content").alias("content"))
+    ranked = sums.groupBy("question_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("votes", "content", "label")))), 1, 2).alias("t"))
+    clear = first["content"] & (first["votes"] - F.coalesce(second["votes"], F.lit(0.0)) >= lead)
+    return ranked.where(clear).select("question_id", first["label"].alias("winner"), first["votes"].alias("votes"))
+
+
+def search_tally(hits: DataFrame) -> DataFrame:
+    """(question_id, title, n): the title found most often by searches (question_id, search, title), twice at least and alone."""
+    counts = hits.select("question_id", "search", "title").distinct().groupBy("question_id", "title").agg(F.count("*").alias("n"))
+    best = counts.groupBy("question_id").agg(F.max("n").alias("n"))
+    tied = counts.join(best, ["question_id", "n"]).groupBy("question_id", "n").agg(F.count("*").alias("titles"), F.min("title").alias("title"))
+    return tied.where("n >= 2 AND titles = 1").select("question_id", "title", "n")

@@ -673,3 +673,37 @@ def valid_uploads(spark, folder):
     name = F.concat(F.lit("f"), (key % 900).cast("string"), F.when(key % 7 == 0, ".txt").otherwise(".PDF"))
     rows = table(spark, folder, "orders").select(F.concat(F.lit("d"), (key % 3).cast("string"), F.lit("/"), name).alias("path"), (key % 50).alias("length"), F.col("o_orderstatus").alias("modified"))
     return records.valid_uploads(rows, 40)
+
+
+# --- votes of checks and searches ------------------------------------------------------------------------------------
+
+_CHECKS = "(0, 0.65, 0.15, 2.0, true), (1, 0.5, 0.2, 2.0, true), (2, 0.4, 0.15, 0.5, false)"
+
+
+@query(f"""WITH k AS (SELECT name, least::DOUBLE AS least, margin::DOUBLE AS margin, weight::DOUBLE AS weight, content FROM (VALUES {_CHECKS}) AS t(name, least, margin, weight, content)),
+s AS (SELECT l_partkey AS question_id, l_linenumber % 3 AS name, l_suppkey % 4 AS label, max(l_quantity) / 50 AS score FROM lineitem GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY question_id, name ORDER BY score DESC, label DESC)),
+v AS (SELECT question_id, label, sum(weight) AS votes, bool_or(content) AS content FROM r JOIN k USING (name) WHERE r.k = 1 AND score >= least AND score - second >= margin GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER w AS k, coalesce(lead(votes) OVER w, 0) AS second FROM v WINDOW w AS (PARTITION BY question_id ORDER BY votes DESC, content DESC, label DESC))
+SELECT question_id, label AS winner, votes FROM t WHERE k = 1 AND content AND votes - second >= 1""")
+def source_check_vote(spark, folder):
+    rows = table(spark, folder, "lineitem")
+    scores = rows.groupBy(F.col("l_partkey").alias("question_id"), (F.col("l_linenumber") % 3).alias("name"), (F.col("l_suppkey") % 4).alias("label")).agg((F.max("l_quantity") / 50).alias("score"))
+    checks = spark.sql(f"SELECT name, cast(least AS double) AS least, cast(margin AS double) AS margin, cast(weight AS double) AS weight, content FROM VALUES {_CHECKS} AS t(name, least, margin, weight, content)")
+    return lookup.vote(scores, checks)
+
+
+@query("""WITH c AS (SELECT user_id AS question_id, event_type AS title, count(DISTINCT event_id % 5) AS n FROM events GROUP BY 1, 2), b AS (SELECT question_id, max(n) AS n FROM c GROUP BY 1)
+SELECT question_id, min(title) AS title, n FROM c JOIN b USING (question_id, n) WHERE n >= 2 GROUP BY question_id, n HAVING count(*) = 1""")
+def search_tally(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("user_id").alias("question_id"), (F.col("event_id") % 5).alias("search"), F.col("event_type").alias("title"))
+    return lookup.search_tally(rows)
+
+
+@query(f"""WITH {_SENTENCES}, n AS (SELECT source_id, pos, regexp_matches(sentence, '(?i)(^|[^a-z])(not|no|never|without)([^a-z]|$)') AS said FROM t),
+z AS (SELECT question_id, source_id, pos, score, NOT said AS agrees FROM e JOIN n USING (source_id, pos) WHERE score >= 0.8),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, agrees DESC, source_id, pos) AS r FROM z)
+SELECT question_id, CASE WHEN agrees THEN 'TRUE' ELSE 'FALSE' END AS verdict, score FROM k WHERE r = 1 AND (agrees OR score >= 0.9)""")
+def judge_statements(spark, folder):
+    questions = table(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    return lookup.judge_statements(questions, table(spark, folder, "documents").select(F.col("doc_id").alias("source_id"), "text"))
