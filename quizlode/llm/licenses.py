@@ -2,7 +2,7 @@
 
 All rolling word k-grams of all texts are joined, by hash, with the k-grams of the license templates. Every hit votes
 for the diagonal (text position minus template position) on which the template would lie in that text. Votes are
-counted per diagonal, neighbouring diagonals that follow one another are merged, which forgives inserted and lost words,
+counted per diagonal (a vote is four words that agree in a 64-bit hash), neighbouring diagonals that follow one another are merged, which forgives inserted and lost words,
 and a merged span is verified: enough of its words, and enough of a template, are equal. The templates are a fixed
 table of a few hundred k-grams, the one side that is broadcast; texts are never shuffled, only votes are.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, table
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, before and after A-Z are in lower case; splitting is much faster than matching words.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a gram, diagonals and words between spans that are merged, share of a span's words that must be equal, and
 #: equal words that are enough whatever the template's length.
 GRAM, NEAR, BETWEEN, SIMILARITY, ENOUGH = 4, 3, 8, 0.8, 12
@@ -69,7 +71,20 @@ _GRAMS_SQL = ", ".join(f"({t}, '{label}', {n}, {q}, '{gram}')" for t, label, n,
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(LICENSE_WORD), F.lit(0))
+    """The words of a text, A-Z in lower case.
+
+    Other letters may change case too, which no template sees; only the Kelvin sign would turn into an ASCII letter.
+    """
+    low = F.when(F.contains(text, F.lit("\u212A")), lower_ascii(text)).otherwise(F.lower(text))
+    return _split(F.coalesce(low, F.lit("")))
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, _BETWEEN, -1), "")
+
+
+def _gram_hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(words, i + k) for k in range(GRAM)])
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
@@ -81,12 +96,12 @@ def license_spans(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     grams = spark.sql(f"SELECT * FROM VALUES {_GRAMS_SQL} AS t(template, label, n_template, q, t_gram)")
-    grams = grams.withColumn("t_hash", F.xxhash64("t_gram"))
+    grams = grams.withColumn("t_hash", _gram_hash(F.split("t_gram", " "), F.lit(0)))
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("w"))
     rows = rows.where(F.size("w") >= GRAM)
-    rolling = F.transform(F.sequence(F.lit(1), F.size("w") - GRAM + 1), lambda i: F.array_join(F.slice("w", i, GRAM), " "))
-    rolled = rows.select("doc_id", "version", F.posexplode(rolling).alias("p", "gram")).withColumn("hash", F.xxhash64("gram"))
-    hits = rolled.join(F.broadcast(grams), (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
+    rolling = F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda i: _gram_hash(F.col("w"), i))
+    rolled = rows.select("doc_id", "version", F.posexplode(rolling).alias("p", "hash"))
+    hits = rolled.join(F.broadcast(grams), F.col("hash") == F.col("t_hash"))
     votes = hits.groupBy("doc_id", "version", "template", "label", "n_template", (F.col("p") - F.col("q")).alias("diagonal")).agg(
         F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_set("q").alias("qs")
     )
@@ -128,11 +143,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     template, 0 without spans) and spans (null without). A null or empty text has no words, places or spans and score 0;
     rows that repeat a doc_id are judged each by its own text; an empty table gives no rows; other columns are ignored.
     """
-    base = docs.select("doc_id", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("w"))
     none = F.array().cast("array<int>")
-    has = F.array_contains("w", "license")
+    has = F.col("text").rlike("[lL][iI][cC][eE][nN][sS][eE]")
+    base = docs.select(
+        "doc_id", F.xxhash64("text").alias("version"),
+        F.size(_split(F.coalesce("text", F.lit("")))).cast("long").alias("n_words"), F.when(has, words_of(F.col("text"))).alias("w"),
+    )
+    has = F.col("w").isNotNull()
     base = base.select(
-        "doc_id", "version", F.size("w").cast("long").alias("n_words"),
+        "doc_id", "version", "n_words",
         *[F.when(has, _places(F.col("w"), p)).otherwise(none).alias(label) for p, label in PHRASES],
     )
     places = F.concat(*[F.col(label) for _, label in PHRASES])
