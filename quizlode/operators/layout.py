@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import rules, text
 
 
 def margins(lines: DataFrame) -> DataFrame:
@@ -74,25 +74,70 @@ def vertical_gaps(lines: DataFrame) -> DataFrame:
     return out.withColumn("varied", F.coalesce((F.col("most") - F.col("least") > 1) & (F.col("most") > 1.25 * F.col("least")), F.lit(False)))
 
 
-def question_type(features: DataFrame) -> DataFrame:
-    """(id, type, confidence) by additive scores of features (id, n_options, multi, pairs, codes, blanks, typed, truth)."""
-    weigh = lambda *terms: sum((F.when(c, w).otherwise(0.0) for c, w in terms), F.lit(0.0))
-    n = F.col("n_options")
-    scores = {
-        "SINGLE_CHOICE": weigh((n >= 2, 1.0), (~F.col("multi"), 1.0)),
-        "MULTIPLE_CHOICE": weigh((n >= 2, 1.0), (F.col("multi"), 2.0)),
-        "MATCHING": weigh((F.col("pairs") >= 2, 3.0)),
-        "ORDERING": weigh((F.col("codes") >= 2, 2.5)),
-        "TRUE_FALSE": weigh((F.col("truth"), 2.5), (n == 2, 0.5)),
-        "FILL_BLANK": weigh((F.col("blanks") > 0, 1.5), (n == 0, 1.0)),
-        "SHORT_ANSWER": weigh((n == 0, 1.0), (F.col("typed"), 1.5)),
-    }
-    ranked = F.array_sort(F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scores.items())]))
-    rows = features.select("id", ranked.alias("r"))
-    best, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    margin = second["s"] - best["s"]
-    confidence = F.least(F.lit(0.99), F.lit(0.5) + 0.2 * margin)
-    return rows.select("id", F.when(best["s"] < 0, best["name"]).otherwise("UNKNOWN").alias("type"), F.round(confidence, 3).alias("confidence"))
+def question_type(rows: DataFrame) -> DataFrame:
+    """(id, type, confidence) of rows with what is known of a question.
+
+    rows: id, stem, multi (tri-state) and kind (MATCHING, ORDERING, TEXT) of the instruction, options (texts), codes, pairs,
+    checks, plus, selected (counts), has_image, has_table, has_formula, feedback. Every cue adds its weight to a type; the
+    heaviest wins (the one with the earlier cue of equals), unless two heavy ones of different structure are close, which
+    makes a combination. The confidence follows the winner's share and its lead.
+    """
+    n = F.size("options")
+    says = lambda p: F.lower(F.coalesce("stem", F.lit(""))).rlike(f"(?iu){p}")
+    kind, several = F.coalesce("kind", F.lit("")), F.col("multi")
+    picture, told = says(rules.STEM_PICTURE), F.trim(F.coalesce("feedback", F.lit("")))
+    right = F.greatest("checks", "plus")
+    cues = [
+        ("MATCHING", 4.0, kind == "MATCHING"),
+        ("ORDERING", 4.0, kind == "ORDERING"),
+        ("SHORT_TEXT", 2.0, (kind == "TEXT") & (n == 0)),
+        ("SINGLE_CHOICE", 2.0, (kind == "TEXT") & (n > 0)),
+        ("MULTIPLE_CHOICE", 4.0, several),
+        ("SINGLE_CHOICE", 4.0, ~several),
+        ("MATCHING", 3.0, says(rules.STEM_MATCHING)),
+        ("ORDERING", 3.0, says(rules.STEM_ORDERING)),
+        ("MULTIPLE_CHOICE", 2.0, says(rules.STEM_SEVERAL)),
+        ("IMAGE_IDENTIFICATION", 3.0, picture & F.col("has_image")),
+        ("IMAGE_IDENTIFICATION", 1.5, picture & ~F.col("has_image")),
+        ("IMAGE_LABELING", 3.0, says(rules.STEM_LABELS) & F.col("has_image")),
+        ("ORDERING", 1.5, F.col("codes") >= 2),
+        ("MATCHING", 1.0, F.col("codes") >= 2),
+        ("MATCHING", 3.0, F.col("pairs") >= 2),
+        ("TRUE_FALSE", 5.0, (n == 2) & F.forall("options", lambda o: F.trim(o).rlike(f"(?iu){rules.TRUE_FALSE_WORDS}"))),
+        ("SINGLE_CHOICE", 1.0, n >= 2),
+        ("MULTIPLE_CHOICE", 3.0, (n >= 2) & (right >= 2)),
+        ("MULTIPLE_CHOICE", 2.0, (n >= 2) & (F.col("selected") >= 2)),
+        ("SINGLE_CHOICE", 1.0, (n >= 2) & (right == 1) & ~F.coalesce(several, F.lit(False))),
+        ("NUMERIC", 3.0, (n == 0) & says(rules.STEM_NUMBER)),
+        ("NUMERIC", 2.0, (n == 0) & told.rlike(r"^-?\d+(?:[.,]\d+)?\s*\S{0,6}\z")),
+        ("FORMULA", 2.0, (n == 0) & F.col("has_formula")),
+        ("TABLE", 2.0, (n == 0) & F.col("has_table")),
+        ("SHORT_TEXT", 2.0, (n == 0) & (told != "")),
+        ("SHORT_TEXT", 0.5, (n == 0) & (told == "")),
+        ("TABLE", 0.5, F.col("has_table") & (n >= 2)),
+    ]
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(w).alias("w"))) for i, (t, w, c) in enumerate(cues)]))
+    rows = rows.select("id", found.alias("cues"))
+    sums = F.transform(
+        F.array_distinct(F.transform("cues", lambda c: c["t"])),
+        lambda t: F.struct(
+            (-F.aggregate(F.filter("cues", lambda c: c["t"] == t), F.lit(0.0), lambda s, c: s + c["w"])).alias("s"),
+            F.array_min(F.transform(F.filter("cues", lambda c: c["t"] == t), lambda c: c["i"])).alias("i"),
+            t.alias("t"),
+        ),
+    )
+    rows = rows.select("id", F.array_sort(sums).alias("r"), F.aggregate("cues", F.lit(0.0), lambda s, c: s + c["w"]).alias("total"))
+    best, second = -F.get("r", F.lit(0))["s"], -F.get("r", F.lit(1))["s"]
+    first, other = F.get("r", F.lit(0))["t"], F.get("r", F.lit(1))["t"]
+    choices = list(rules.CHOICE_TYPES)
+    mixed = (second >= 3) & (best - second < 0.5) & ~(first.isin(choices) & other.isin(choices))
+    margin = F.coalesce((best - second) / F.greatest(best, F.lit(1.0)), F.lit(1.0))
+    confidence = F.greatest(F.lit(0.3), F.least(F.lit(0.99), 0.5 * (best / F.col("total")) + 0.5 * margin + F.when(best >= 4, 0.1).otherwise(0.0)))
+    return rows.select(
+        "id",
+        F.when(F.size("r") == 0, "UNKNOWN").when(mixed, "COMBINATION").otherwise(first).alias("type"),
+        F.when(F.size("r") == 0, 0.0).when(mixed, 0.55).otherwise(F.round(confidence, 2)).alias("confidence"),
+    )
 
 
 def subjects(texts: DataFrame, terms: DataFrame, least: int = 3) -> DataFrame:
@@ -108,3 +153,13 @@ def subjects(texts: DataFrame, terms: DataFrame, least: int = 3) -> DataFrame:
     best = ranked.where((F.col("rank") == 1) & (F.col("hits") >= least))
     confidence = F.least(F.lit(0.95), 0.4 + 0.6 * (F.col("hits") - F.col("second")) / F.col("hits"))
     return best.select("id", "subject", "hits", F.round(confidence, 6).alias("confidence"))
+
+
+def subject_hints(texts: DataFrame) -> DataFrame:
+    """(id, hints): subjects of which texts (id, text) hold two terms or more, in the subjects' order."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    marks = []
+    for subject, terms in rules.SUBJECT_TERMS.items():
+        hits = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
+        marks.append(F.when(hits >= 2, F.lit(subject)))
+    return texts.select("id", F.array_compact(F.array(*marks)).alias("hints"))

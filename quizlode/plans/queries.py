@@ -415,16 +415,36 @@ def source_type_decision(spark, folder):
     return counts.select("user_id", layout.source_type(*[F.col(c) for c in "hsmgpo"]).alias("source_type"))
 
 
-@query("""WITH f AS (SELECT p_partkey AS id, p_size % 6 AS n, p_size > 25 AS multi, p_size % 4 AS pairs, p_size % 5 AS codes, p_size % 3 AS blanks, p_size % 2 = 0 AS typed, p_size % 7 = 0 AS truth FROM part),
-s AS (SELECT id, [(CASE WHEN n >= 2 THEN 1.0 ELSE 0 END + CASE WHEN NOT multi THEN 1.0 ELSE 0 END)::DOUBLE, (CASE WHEN n >= 2 THEN 1.0 ELSE 0 END + CASE WHEN multi THEN 2.0 ELSE 0 END)::DOUBLE,
- (CASE WHEN pairs >= 2 THEN 3.0 ELSE 0 END)::DOUBLE, (CASE WHEN codes >= 2 THEN 2.5 ELSE 0 END)::DOUBLE, (CASE WHEN truth THEN 2.5 ELSE 0 END + CASE WHEN n = 2 THEN 0.5 ELSE 0 END)::DOUBLE,
- (CASE WHEN blanks > 0 THEN 1.5 ELSE 0 END + CASE WHEN n = 0 THEN 1.0 ELSE 0 END)::DOUBLE, (CASE WHEN n = 0 THEN 1.0 ELSE 0 END + CASE WHEN typed THEN 1.5 ELSE 0 END)::DOUBLE] AS s FROM f),
-r AS (SELECT id, s, list_reverse_sort(s) AS d FROM s)
-SELECT id, CASE WHEN d[1] > 0 THEN ['SINGLE_CHOICE', 'MULTIPLE_CHOICE', 'MATCHING', 'ORDERING', 'TRUE_FALSE', 'FILL_BLANK', 'SHORT_ANSWER'][list_position(s, d[1])] ELSE 'UNKNOWN' END AS type,
- round(least(0.99::DOUBLE, 0.5::DOUBLE + 0.2::DOUBLE * (d[1] - d[2])), 3) AS confidence FROM r""")
+_TYPE_FEATURES = """f AS (SELECT p_partkey AS id, p_size % 4 AS n, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS multi, CASE p_size % 7 WHEN 0 THEN 'MATCHING' WHEN 1 THEN 'ORDERING' WHEN 2 THEN 'TEXT' END AS kind,
+ CASE p_size % 5 WHEN 0 THEN 'Match the pairs' WHEN 1 THEN 'Put in correct order' WHEN 2 THEN 'Shown in the figure' WHEN 3 THEN 'Calculate the mass' ELSE 'Which one?' END AS stem,
+ p_size % 3 AS codes, p_size % 4 AS pairs, p_size % 3 AS checks, p_size % 2 AS plus, p_size % 5 AS selected, p_size % 2 = 0 AS img, p_size % 11 = 0 AS tab, p_size % 13 = 0 AS formula, CASE p_size % 6 WHEN 0 THEN '12 kg' WHEN 1 THEN 'text' END AS feedback FROM part)"""
+_TYPE_CUES = (
+    ("MATCHING", 4, "kind = 'MATCHING'"), ("ORDERING", 4, "kind = 'ORDERING'"), ("SHORT_TEXT", 2, "kind = 'TEXT' AND n = 0"), ("SINGLE_CHOICE", 2, "kind = 'TEXT' AND n > 0"), ("MULTIPLE_CHOICE", 4, "multi"),
+    ("SINGLE_CHOICE", 4, "NOT multi"), ("MATCHING", 3, "stem LIKE 'Match the%'"), ("ORDERING", 3, "stem LIKE '%correct order'"), ("IMAGE_IDENTIFICATION", 3, "stem LIKE 'Shown in%' AND img"),
+    ("IMAGE_IDENTIFICATION", 1.5, "stem LIKE 'Shown in%' AND NOT img"), ("ORDERING", 1.5, "codes >= 2"), ("MATCHING", 1, "codes >= 2"), ("MATCHING", 3, "pairs >= 2"), ("TRUE_FALSE", 5, "n = 2"), ("SINGLE_CHOICE", 1, "n >= 2"),
+    ("MULTIPLE_CHOICE", 3, "n >= 2 AND greatest(checks, plus) >= 2"), ("MULTIPLE_CHOICE", 2, "n >= 2 AND selected >= 2"), ("SINGLE_CHOICE", 1, "n >= 2 AND greatest(checks, plus) = 1 AND multi IS NOT TRUE"),
+    ("NUMERIC", 3, "n = 0 AND stem LIKE 'Calculate%'"), ("NUMERIC", 2, "n = 0 AND feedback = '12 kg'"), ("FORMULA", 2, "n = 0 AND formula"), ("TABLE", 2, "n = 0 AND tab"), ("SHORT_TEXT", 2, "n = 0 AND feedback IS NOT NULL"),
+    ("SHORT_TEXT", 0.5, "n = 0 AND feedback IS NULL"), ("TABLE", 0.5, "tab AND n >= 2"),
+)
+_TYPE_ROWS = " UNION ALL ".join(f"SELECT id, {i} AS i, '{t}' AS t, {w}::DOUBLE AS w FROM f WHERE {c}" for i, (t, w, c) in enumerate(_TYPE_CUES))
+
+
+@query(f"""WITH {_TYPE_FEATURES}, c AS ({_TYPE_ROWS}), s AS (SELECT id, t, sum(w) AS s, min(i) AS i FROM c GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS s2, lead(t) OVER w AS t2, sum(s) OVER (PARTITION BY id) AS total FROM s WINDOW w AS (PARTITION BY id ORDER BY s DESC, i)),
+b AS (SELECT *, coalesce(s2 >= 3 AND s - s2 < 0.5 AND NOT (t IN ('SINGLE_CHOICE', 'MULTIPLE_CHOICE') AND t2 IN ('SINGLE_CHOICE', 'MULTIPLE_CHOICE')), false) AS mixed FROM r WHERE k = 1)
+SELECT f.id, CASE WHEN t IS NULL THEN 'UNKNOWN' WHEN mixed THEN 'COMBINATION' ELSE t END AS type, CASE WHEN t IS NULL THEN 0.0::DOUBLE WHEN mixed THEN 0.55::DOUBLE
+ ELSE round(greatest(0.3::DOUBLE, least(0.99::DOUBLE, 0.5::DOUBLE * (s / total) + 0.5::DOUBLE * coalesce((s - s2) / greatest(s, 1), 1) + CASE WHEN s >= 4 THEN 0.1::DOUBLE ELSE 0 END)), 2) END AS confidence
+FROM f LEFT JOIN b USING (id)""")
 def question_type_score(spark, folder):
     size = F.col("p_size")
-    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), (size % 6).alias("n_options"), (size > 25).alias("multi"), (size % 4).alias("pairs"), (size % 5).alias("codes"), (size % 3).alias("blanks"), (size % 2 == 0).alias("typed"), (size % 7 == 0).alias("truth"))
+    stems = ("Match the pairs", "Put in correct order", "Shown in the figure", "Calculate the mass", "Which one?")
+    rows = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.get(F.array(*[F.lit(x) for x in stems]), size % 5).alias("stem"),
+        F.when(size % 3 == 0, True).when(size % 3 == 1, False).alias("multi"), F.when(size % 7 == 0, "MATCHING").when(size % 7 == 1, "ORDERING").when(size % 7 == 2, "TEXT").alias("kind"),
+        F.when(size % 4 == 2, F.split(F.lit("True,false"), ",")).otherwise(F.slice(F.split(F.lit("x,y,z"), ","), F.lit(1), size % 4)).alias("options"),
+        (size % 3).alias("codes"), (size % 4).alias("pairs"), (size % 3).alias("checks"), (size % 2).alias("plus"), (size % 5).alias("selected"), (size % 2 == 0).alias("has_image"),
+        (size % 11 == 0).alias("has_table"), (size % 13 == 0).alias("has_formula"), F.when(size % 6 == 0, "12 kg").when(size % 6 == 1, "text").alias("feedback"),
+    )
     return layout.question_type(rows)
 
 
