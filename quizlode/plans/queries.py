@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, similarity, text
-from ..operators import bank, evidence, exam, export, geometry, layout, lookup, quiz, records, resolve
-from ..sources import adapters, csv_bank, table
+from ..operators import bank, engine, evidence, exam, export, geometry, layout, lookup, quiz, records, resolve
+from ..sources import adapters, csv_bank, table, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -727,3 +727,27 @@ SELECT question_id, CASE WHEN agrees THEN 'TRUE' ELSE 'FALSE' END AS verdict, sc
 def judge_statements(spark, folder):
     questions = table(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     return lookup.judge_statements(questions, table(spark, folder, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
+# --- the document engine ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT n_regionkey::VARCHAR AS document_id, 0 AS attempt, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INTEGER AS number, 'Region of ' || n_name || '?' AS stem, 5 AS n_options,
+ r_name AS answer, 'CONFIRMED_BY_DOCUMENT' AS status FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def analyze_positioned_exam(spark, folder):
+    found = engine.analyze(adapters.positioned_pages(spark, folder))
+    answer = F.array_join(F.transform("right", lambda i: F.get("options", i)["text"]), "|")
+    return found.select("document_id", "attempt", "number", "stem", F.size("options").alias("n_options"), answer.alias("answer"), "status")
+
+
+@query("""WITH r AS (SELECT document_id, number, count(*) OVER (PARTITION BY document_id) AS n FROM (SELECT n_regionkey::VARCHAR AS document_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS number FROM nation))
+SELECT document_id, role, count FROM (SELECT document_id, 'OPTION' AS role, sum(6)::BIGINT AS count FROM r GROUP BY 1 UNION ALL SELECT document_id, 'FEEDBACK', count(*) FROM r GROUP BY 1 UNION ALL SELECT DISTINCT document_id, 'NOISE', 1 FROM r)""")
+def classified_lines(spark, folder):
+    lines = engine.classify(engine.build_lines(adapters.positioned_pages(spark, folder)))
+    return lines.groupBy("document_id", "role").count()
+
+
+@query()
+def greedy_clusters(spark, folder):
+    stems = adapters.stems(spark, folder).withColumn("document_id", F.lit("d")).withColumn("sequence", F.col("id"))
+    return resolve.cluster(stems, work_folder(spark, "cluster"))

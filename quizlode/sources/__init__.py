@@ -7,3 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
+    import tempfile
+    import uuid
+
+    given = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quizlode-")
+    return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -85,3 +85,14 @@ def stems(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     key = F.substring(text.dedupe_key(F.col("text")), 1, 200)
     return docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("stem"), key.alias("key"), F.array("lang", "source").alias("options"), F.lit("SINGLE_CHOICE").alias("type"))
+
+
+def positioned_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The exams of exam_pages as positioned items (document_id, page, items), each with a feedback line and a footer."""
+    plain = exam_pages(spark, folder, "none")
+    region = table(spark, folder, "region").select(F.col("r_regionkey").alias("document_id"), F.concat(F.lit("The correct answer is: "), F.col("r_name")).alias("told"))
+    rows = plain.join(region, "document_id")
+    lines = F.flatten(F.transform(F.split("text", "\n"), lambda x: F.when(x.startswith("E. "), F.array(x, F.col("told"))).otherwise(F.array(x))))
+    item = lambda x, y: F.struct(x.alias("str"), F.lit(160.0).alias("x"), y.cast("double").alias("y"), (F.length(x) * 5.2).cast("double").alias("w"), F.lit(11.0).alias("h"))
+    items = F.transform(F.concat(lines, F.array(F.lit("https://example.org/review"))), lambda x, i: item(x, 40 + 16 * i))
+    return rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").alias("page"), items.alias("items"))
