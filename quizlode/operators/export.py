@@ -37,17 +37,44 @@ def write_csv(questions: DataFrame, path: str) -> int:
     return n
 
 
+#: The columns of the full sheet.
+SHEET_HEADER = "Question No,Question,Option A,Option B,Option C,Option D,Option E,Correct Answer,Confidence,Page"
+
+
+def sheet_rows(questions: DataFrame) -> DataFrame:
+    """(id, line) of questions with options A to E, confidence and page; what is missing is empty or "Not detected"."""
+    options = [F.coalesce(F.try_element_at("options", F.lit(k)), F.lit("")) for k in "ABCDE"]
+    answer = F.coalesce(F.nullif("answer", F.lit("")), F.lit("Not detected"))
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.col("number"), F.col("question"), *options, answer, F.col("confidence"), F.coalesce("page", F.lit(1))]
+    return questions.select("id", F.concat_ws(",", *[quote(c) for c in cells]).alias("line"))
+
+
 def text_blocks(questions: DataFrame) -> DataFrame:
     """(id, block): a question with its options and answer as plain text."""
-    options = F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit(". "), e["value"]))
-    answer = F.concat(F.lit("Answer: "), F.coalesce("answer", F.lit("Not detected")))
+    options = F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(F.lit("   "), e["key"], F.lit(". "), e["value"]))
+    shown = F.try_element_at("options", F.col("answer"))
+    known = F.concat(F.lit("   Answer: "), F.col("answer"), F.when(shown != "", F.concat(F.lit(" ("), shown, F.lit(")"))).otherwise(""))
+    answer = F.when(F.coalesce("answer", F.lit("")) != "", known).otherwise("   Answer: Not detected (Needs Review)")
     head = F.concat(F.col("number").cast("string"), F.lit(". "), F.col("question"))
-    return questions.select("id", F.concat_ws("\n", head, F.array_join(options, "\n"), answer).alias("block"))
+    return questions.select("id", F.array_join(F.concat(F.array(head), options, F.array(answer)), "\n").alias("block"))
 
 
 def json_rows(questions: DataFrame) -> DataFrame:
-    """(id, json) of the reduced fields."""
-    return questions.select("id", F.to_json(F.struct("number", "question", "options", "answer")).alias("json"))
+    """(id, json) of the reduced fields; a missing answer is written as null."""
+    fields = F.struct("number", "question", "options", F.col("answer").alias("correctAnswer"), "confidence", F.col("page").alias("pageNumber"))
+    return questions.select("id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_json(questions: DataFrame, path: str) -> int:
+    """One envelope with the number of questions and the questions, streamed in order."""
+    total = questions.count()
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f'{{"totalQuestions":{total},"questions":[')
+        for n, row in enumerate(json_rows(questions).orderBy("id").toLocalIterator()):
+            out.write(("," if n else "") + row["json"])
+        out.write("]}")
+    return total
 
 
 def svg_cards(questions: DataFrame, width: int = 800, ink: str = "#1e293b", paper: str = "#ffffff", accent: str = "#2563eb") -> DataFrame:

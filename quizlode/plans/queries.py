@@ -562,7 +562,7 @@ def quiz_grade(spark, folder):
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     rows = adapters.bank(spark, folder)
     options = F.create_map(F.lit("A"), F.col("category"), F.lit("B"), F.col("document"), F.lit("C"), F.concat(F.lit('say "'), F.col("category"), F.lit('"')))
-    return rows.select("id", F.col("id").cast("int").alias("number"), "question", options.alias("options"), "answer")
+    return rows.select("id", F.col("id").cast("int").alias("number"), "question", options.alias("options"), "answer", "confidence", F.lit(1).alias("page"))
 
 
 @query(f'''WITH {_BANK} SELECT id, '"' || question || '","' || category || '","' || document || '","say ""' || category || '""","","' || coalesce(answer, '') || '"' AS line FROM b''')
@@ -570,17 +570,23 @@ def standard_csv_rows(spark, folder):
     return export.csv_rows(_questions(spark, folder))
 
 
-@query(f"""WITH {_BANK} SELECT id, id || '. ' || question || chr(10) || 'A. ' || category || chr(10) || 'B. ' || document || chr(10) || 'C. say "' || category || '"' || chr(10) || 'Answer: ' || coalesce(answer, 'Not detected') AS block FROM b""")
+@query(f'''WITH {_BANK} SELECT id, id || '. ' || question || chr(10) || '   A. ' || category || chr(10) || '   B. ' || document || chr(10) || '   C. say "' || category || '"' || chr(10) ||
+ CASE WHEN answer IS NULL THEN '   Answer: Not detected (Needs Review)' ELSE '   Answer: ' || answer || CASE answer WHEN 'A' THEN ' (' || category || ')' WHEN 'B' THEN ' (' || document || ')' WHEN 'C' THEN ' (say "' || category || '")' ELSE '' END END AS block FROM b''')
 def export_text_block(spark, folder):
     return export.text_blocks(_questions(spark, folder))
 
 
-@query(f"""WITH {_BANK} SELECT id, '{{"number":' || id || ',"question":"' || question || '","options":{{"A":"' || category || '","B":"' || document || '","C":"say \\"' || category || '\\""}}' ||
- CASE WHEN answer IS NULL THEN '' ELSE ',"answer":"' || answer || '"' END || '}}' AS json FROM b""")
+@query(f'''WITH {_BANK} SELECT id, '{{"number":' || id || ',"question":"' || question || '","options":{{"A":"' || category || '","B":"' || document || '","C":"say \\"' || category || '\\""}},"correctAnswer":' ||
+ CASE WHEN answer IS NULL THEN 'null' ELSE '"' || answer || '"' END || ',"confidence":"' || confidence || '","pageNumber":1}}' AS json FROM b''')
 def export_json_rows(spark, folder):
     return export.json_rows(_questions(spark, folder))
 
 
+@query(f'''WITH {_BANK} SELECT id, '"' || id || '","' || question || '","' || category || '","' || document || '","say ""' || category || '""","","","' || coalesce(answer, 'Not detected') || '","' || confidence || '","1"' AS line FROM b''')
+def full_csv_rows(spark, folder):
+    return export.sheet_rows(_questions(spark, folder))
+
+
 @query()
 def svg_cards(spark, folder):
     return export.svg_cards(_questions(spark, folder))

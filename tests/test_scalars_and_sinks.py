@@ -79,7 +79,7 @@ def test_answers_are_never_invented(spark):
 
 
 def questions(spark):
-    return spark.createDataFrame([(1, 1, 'Say "x"?', {"A": "1", "B": "<2>"}, "A"), (2, 2, "Two,\r\nlines", {"A": "a", "B": "b", "E": "e"}, None)], "id int, number int, question string, options map<string,string>, answer string")
+    return spark.createDataFrame([(1, 1, 'Say "x"?', {"A": "1", "B": "<2>"}, "A"), (2, 2, "Two,\r\nlines", {"A": "a", "B": "b", "E": "e"}, None)], "id int, number int, question string, options map<string,string>, answer string").withColumn("confidence", F.lit("high")).withColumn("page", F.lit(3))
 
 
 def test_csv_contract_and_round_trip(spark, tmp_path):
@@ -132,3 +132,21 @@ def test_pages_are_sanitized(spark):
     (row,) = records.sanitize_pages(rows).collect()
     assert (row.page, row.width, row.height) == (1, 595.0, 10.0)
     assert len(row["items"]) == 1 and len(row["items"][0].str) == 2000 and row["items"][0].y == 0.0
+
+
+def test_blanks(spark):
+    rows = spark.createDataFrame(
+        [("The ___ pumps ____ through vessels", "The heart pumps «red» blood through vessels"), ("A ___ and a ___", "vein; artery"), ("One ___", "\"liver\""), ("None", "x"), ("___ ___", "one"), (None, None)], "s string, a string"
+    )
+    found = [r[0] for r in rows.select(quiz.blank_answers("s", "a")).collect()]
+    assert found == [["heart", "red blood"], ["vein", "artery"], ["liver"], None, None, None]
+    graded = spark.createDataFrame([(["Hart", "red blood"], ["heart", "red blood"]), (["heart"], ["heart", "blood"]), (["VEIN", "artery"], ["vein", "artery"])], "t array<string>, e array<string>")
+    assert [r[0] for r in graded.select(quiz.blanks_right(F.col("t"), F.col("e"))).collect()] == [False, False, True]
+
+
+def test_json_envelope(spark, tmp_path):
+    import json
+
+    assert export.write_json(questions(spark), str(tmp_path / "q.json")) == 2
+    held = json.loads((tmp_path / "q.json").read_text())
+    assert held["totalQuestions"] == 2 and held["questions"][1]["correctAnswer"] is None and held["questions"][0]["pageNumber"] == 3
