@@ -55,7 +55,7 @@ def figure_labels(votes: DataFrame) -> DataFrame:
     """
     share = F.when(F.col("earned").isNull() | F.col("maximum").isNull() | (F.col("maximum") <= 0), 0.5).otherwise(F.greatest(F.lit(0.05), F.col("earned") / F.col("maximum")))
     full = F.coalesce((F.col("earned") >= F.col("maximum")) & (F.col("maximum") > 0), F.lit(False))
-    sums = votes.withColumn("share", share).withColumn("full", full).groupBy("figure_id", "n", "value").agg(F.sum("share").alias("weight"), F.max("full").alias("trusted"))
+    sums = votes.withColumn("share", share).withColumn("full", full).groupBy("figure_id", "n", "value").agg(F.round(F.sum("share"), 6).alias("weight"), F.max("full").alias("trusted"))
     w = W.partitionBy("figure_id", "n").orderBy(F.desc("trusted"), F.desc("weight"), "value")
     return sums.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
