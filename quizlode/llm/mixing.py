@@ -25,6 +25,11 @@ def random_key(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def _source_key(source: Column) -> Column:
+    """A source as a key that is never null, so that joins and windows share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most_epochs: float) -> DataFrame:
     """``sizes`` (source, source_size) with each source's target.
 
@@ -83,10 +88,11 @@ def mix_sources(
     in_source = W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = ranges.withColumn("_before", F.coalesce(F.sum("_sum").over(in_source), F.lit(0)))
     offsets = offsets.join(targets, F.col("_source").eqNullSafe(F.col("source"))).select(
-        F.col("_source").alias("_s"), F.col("_range").alias("_r"), "_before", "source_size", "target"
+        _source_key(F.col("_source")).alias("_s"), F.col("_range").alias("_r"), "_before", "source_size", "target"
     )
-    placed = rows.join(cut(offsets, "mix-offsets"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    in_range = W.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", _source_key(F.col("_source")))
+    placed = rows.join(cut(offsets, "mix-offsets"), (F.col("_in") == F.col("_s")) & (F.col("_range") == F.col("_r")))
+    in_range = W.partitionBy("_in", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("_before") + F.coalesce(F.sum("size").over(in_range), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     placed = placed.withColumn("_start", start).withColumn("_epochs", epochs)
