@@ -260,6 +260,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     spread = classes.select("doc_id", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(spread.join(hubs, "bucket"), "buckets")
+    # the only texts that are looked at again; they go through one shuffle of all texts and are few afterwards
+    shared = plain.where("text IS NOT NULL").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    plain = cut(shared, "shared-texts")
     signed = classes.select("doc_id", "n_shingles", "signature")
     u, v = (
         signed.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "uv"
