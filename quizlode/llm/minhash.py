@@ -10,6 +10,9 @@ No bucket is ever expanded into all its pairs. First every member is compared wi
 the confirmed links are joined to components. Then only buckets that still hold more than one component are looked at
 again: there each member outside the bucket's largest component is compared, by signature and inside the join, with the
 members of the other components. Links inside one component can't change the result.
+
+A class is compared by one text, that of its smallest doc_id, known by doc_id and version (a hash of the text): rows that
+repeat it count once, and an id with several texts has a class, a place in the buckets and differences for each.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ MARGIN = 0.17
 
 _A = odd_constants(MINIMA, 11)
 _B = odd_constants(MINIMA, 12)
-_FEATURES = "doc_id long, n_shingles long, class binary, signature array<long>, bands array<long>"
-_DIFFERENCES = "u long, v long, linked boolean, hub_shingles long, missing array<long>, extra array<long>"
+_FEATURES = "doc_id long, version long, n_shingles long, class binary, signature array<long>, bands array<long>"
+_DIFFERENCES = "u long, uversion long, v long, vversion long, linked boolean, hub_shingles long, missing array<long>, extra array<long>"
 
 
 def shingle_hashes(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
@@ -67,7 +70,7 @@ def _features(size: int):
         hashes = WordHashes()
         for batch in batches:
             n, classes, signatures, bands = [], [], [], []
-            for text in batch.column(1).cast(pa.string()).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.string()).cast(pa.binary()).to_pylist():
                 found = shingle_hashes(text.lower().split(), hashes, size) if text else ()
                 n.append(len(found))
                 if not len(found):
@@ -80,12 +83,13 @@ def _features(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.array(classes, pa.binary()),
                     pa.array(signatures, pa.list_(pa.int64())),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "class", "signature", "bands"],
+                ["doc_id", "version", "n_shingles", "class", "signature", "bands"],
             )
 
     return scan
@@ -116,28 +120,29 @@ def _confirm(size: int, similarity: float):
         last, last_set = None, set()
         for batch in batches:
             keep = []
-            a, b = (batch.column(i).cast(pa.string()).cast(pa.binary()).to_pylist() for i in (2, 3))
+            a, b = (batch.column(i).cast(pa.string()).cast(pa.binary()).to_pylist() for i in (4, 5))
             for x, y in zip(a, b, strict=True):
                 if x != last:
                     last, last_set = x, shingles(x)
                 other = shingles(y)
                 both = len(last_set & other)
                 keep.append(100 * both >= share * (len(last_set) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
     return scan
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v, a, b): pairs of doc_ids with their texts; both joins read one exchange of the texts."""
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull())
-    with_v = pairs.join(texts, F.col("v") == F.col("_id")).select("u", "v", F.col("_text").alias("b"))
-    return with_v.join(texts, F.col("u") == F.col("_id")).select("u", "v", F.col("_text").alias("a"), "b")
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, uversion, v, vversion, a, b): pairs with their texts; both joins read one exchange of the texts."""
+    texts = texts.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("text").alias("_text"))
+    its = lambda x: (F.col(x) == F.col("_id")) & (F.col(f"{x}version") == F.col("_version"))
+    with_v = pairs.join(texts, its("v")).select("u", "uversion", "v", "vversion", F.col("_text").alias("b"))
+    return with_v.join(texts, its("u")).select("u", "uversion", "v", "vversion", F.col("_text").alias("a"), "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (u, v) of doc_ids whose texts' shingle sets are similar enough."""
-    return _with_texts(pairs, docs).mapInArrow(_confirm(size, similarity), "u long, v long")
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, v) of the ``pairs`` (u, uversion, v, vversion) whose texts' shingle sets are similar enough."""
+    return _with_texts(pairs, texts).mapInArrow(_confirm(size, similarity), "u long, v long")
 
 
 def _alike(similarity: float) -> Column:
@@ -179,14 +184,14 @@ def _linked(similarity: float) -> Column:
 
 
 def _differences(size: int, similarity: float):
-    """Pairs with both texts to (u, v, linked, hub_shingles, missing, extra): v's set against u's."""
+    """Pairs with both texts to (u, uversion, v, vversion, linked, hub_shingles, missing, extra): v's set against u's."""
     share = round(similarity * 100)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, hub = WordHashes(), None, np.empty(0, np.uint64)
         for batch in batches:
             linked, n, missing, extra = [], [], [], []
-            a, b = (batch.column(i).cast(pa.string()).cast(pa.binary()).to_pylist() for i in (2, 3))
+            a, b = (batch.column(i).cast(pa.string()).cast(pa.binary()).to_pylist() for i in (4, 5))
             for x, y in zip(a, b, strict=True):
                 if x != last:
                     last, hub = x, shingle_hashes(x.lower().split(), hashes, size)
@@ -197,15 +202,15 @@ def _differences(size: int, similarity: float):
                 n.append(len(hub)), missing.append(without.view(np.int64)), extra.append(more.view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(missing, longs), pa.array(extra, longs)],
-                ["u", "v", "linked", "hub_shingles", "missing", "extra"],
+                [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(missing, longs), pa.array(extra, longs)],
+                ["u", "uversion", "v", "vversion", "linked", "hub_shingles", "missing", "extra"],
             )
 
     return scan
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(bucket, doc_id, component, largest) of the buckets that hold several components."""
+    """(bucket, doc_id, version, component, largest) of the buckets that hold several components."""
     found = cut(connected_components(links), "components")
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = cut(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
@@ -222,23 +227,26 @@ def _central(members: DataFrame, signed: DataFrame, links: DataFrame, plain: Dat
     looking at pairs: what can't reach the bound with anyone is done. In each open bucket the document with the fewest
     such shingles, the most central one, becomes the hub of a second star.
     """
-    open_ = cut(_open(members.select("bucket", "doc_id"), links), "open")
-    texts = plain.where("text IS NOT NULL").join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(_sets(size), "doc_id long, version long, shingle long")
-    owned = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version")).alias("owner")).where("n = 1")
-    lone = owned.groupBy("owner").agg((F.count("*") - 1).alias("n")).groupBy("owner.doc_id").agg(F.min("n").alias("lone"))
-    known = signed.join(cut(lone, "lone-shingles"), "doc_id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
+    text_id = ["doc_id", "version"]
+    open_ = cut(_open(members.select("bucket", *text_id), links), "open")
+    texts = plain.join(open_.select(*text_id).distinct(), text_id, "left_semi")
+    sets = texts.select(*text_id, "text").mapInArrow(_sets(size), "doc_id long, version long, shingle long")
+    owned = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct(*text_id)).alias("owner")).where("n = 1")
+    lone = owned.groupBy("owner").agg((F.count("*") - 1).alias("lone")).select("owner.*", "lone")
+    known = signed.join(cut(lone, "lone-shingles"), text_id, "left").withColumn("common", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
     known = known.where(F.col("common") * 100 >= F.col("n_shingles") * round(similarity * 100)).drop("lone")
-    members = open_.select("bucket", "doc_id").join(known, "doc_id")
-    hubs = members.groupBy("bucket").agg(F.max_by("doc_id", F.struct(F.col("common") / F.col("n_shingles"), -F.col("doc_id"))).alias("hub"))
+    members = open_.select("bucket", *text_id).join(known, text_id)
+    central = F.max_by(F.struct(*text_id), F.struct(F.col("common") / F.col("n_shingles"), -F.col("doc_id"), "version"))
+    hubs = members.groupBy("bucket").agg(central.alias("h")).select("bucket", F.col("h.doc_id").alias("hub"), F.col("h.version").alias("hub_version"))
     members = cut(members.join(hubs, "bucket"), "open-members")
-    pairs = cut(members.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "central-pairs")
+    pairs = members.select(F.col("hub").alias("u"), F.col("hub_version").alias("uversion"), F.col("doc_id").alias("v"), F.col("version").alias("vversion"))
+    pairs = cut(pairs.distinct(), "central-pairs")
     found = cut(_with_texts(pairs, plain).mapInArrow(_differences(size, similarity), _DIFFERENCES), "differences")
     links = cut(links.unionByName(found.where("linked AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), "central-links")
-    # an id with several texts has several differences from a hub: its links are known, its differences say nothing
-    told = found.groupBy("u", "v").agg(F.count("*").alias("n"), F.min(F.struct("hub_shingles", "missing", "extra")).alias("d")).where("n = 1")
-    told = cut(told.select(F.col("u").alias("hub"), F.col("v").alias("doc_id"), "d.*"), "told")
-    again = _open(members.select("bucket", "doc_id"), links).join(members, ["bucket", "doc_id"]).join(told, ["hub", "doc_id"])
+    told = found.select(
+        F.col("u").alias("hub"), F.col("uversion").alias("hub_version"), F.col("v").alias("doc_id"), F.col("vversion").alias("version"), "hub_shingles", "missing", "extra"
+    )
+    again = _open(members.select("bucket", *text_id), links).join(members, ["bucket", *text_id]).join(told, ["hub", "hub_version", *text_id])
     return links, cut(again, "open-again")
 
 
@@ -253,23 +261,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     empty table gives no rows; other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = plain.select("doc_id", F.xxhash64("text").alias("version"), "text")
     rows = cut(plain.mapInArrow(_features(shingle_words), _FEATURES), "minhash")
-    first = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class")
-    classes = cut(first.agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("r")).select("class", "r.*"), "classes")
-
-    spread = classes.select("doc_id", F.explode("bands").alias("bucket"))
+    named = rows.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "version", "n_shingles", "signature", "bands")).alias("r"))
+    classes = cut(first.select("class", "r.*"), "classes")
+    # an id with several classes is linked with whoever stands for each of them
+    kind = F.xxhash64("class")
+    several = named.groupBy("doc_id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo < hi").select("doc_id")
+    own = named.select("doc_id", "class").join(cut(several, "several-texts"), "doc_id", "left_semi").join(classes.select("class", F.col("doc_id").alias("u")), "class")
+    own = own.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
+
+    spread = classes.select("doc_id", "version", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(spread.join(hubs, "bucket"), "buckets")
-    # the only texts that are looked at again; they go through one shuffle of all texts and are few afterwards
-    shared = plain.where("text IS NOT NULL").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    plain = cut(shared, "shared-texts")
-    signed = classes.select("doc_id", "n_shingles", "signature")
+    # the only texts that are looked at again, each once; they go through one shuffle of all texts and are few afterwards
+    text_id = ["doc_id", "version"]
+    shared = plain.where("text IS NOT NULL").join(members.select(*text_id).distinct(), text_id, "left_semi")
+    plain = cut(shared.dropDuplicates(text_id), "shared-texts")
+    signed = classes.select(*text_id, "n_shingles", "signature")
     u, v = (
-        signed.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "uv"
-    )
-    stars = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    stars = cut(stars.join(v, "v").join(u, "u").where(_alike(similarity)).select("u", "v"), "star-pairs")
-    links = cut(confirmed(stars, plain, shingle_words, similarity), "star-links")
+        signed.select(
+            F.col("doc_id").alias(x), F.col("version").alias(f"{x}version"), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")
+        )
+        for x in "uv"
+    )
+    stars = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), F.col("version").alias("vversion")).distinct()
+    stars = stars.join(v, ["v", "vversion"]).join(u, "u").where(_alike(similarity)).select("u", "uversion", "v", "vversion")
+    links = cut(confirmed(cut(stars, "star-pairs"), plain, shingle_words, similarity).unionByName(own), "star-links")
 
     # the second look: buckets that still hold several components, less what the rare shingles rule out
     links, open_ = _central(members, signed, links, plain, shingle_words, similarity)

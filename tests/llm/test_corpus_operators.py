@@ -68,6 +68,29 @@ def test_near_duplicates_equal_brute_force(spark):
         assert (found[d].n_shingles, found[d].component_id, found[d].kept) == (n, component, d == component)
 
 
+def test_near_duplicates_of_repeated_rows_in_large_buckets(spark):
+    """Links that neither star finds: the hubs, smaller ids, are alike with nobody; all rows are repeated verbatim."""
+    rnd = random.Random(12)
+    base = [f"{x}{i}" for i, x in enumerate(words(rnd, 600))]
+    rows = []
+    for d in range(90):
+        text = list(base)
+        for k in rnd.sample(range(0, 600, 4), 12 if d < 60 else 7):
+            text[k] = f"edit{d}x{k}"
+        rows.append((d, " ".join(text)))
+    found = minhash.near_duplicates(docs_of(spark, rows + rows), 3, 0.85).collect()
+    assert len(found) == 180 and {(r.doc_id, (r.n_shingles, r.component_id)) for r in found} == set(brute_components(rows, 3, 85).items())
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """An id whose texts are copies, or near ones, of two others links them."""
+    rnd = random.Random(13)
+    texts = [" ".join(words(rnd, 80)) for _ in range(6)]
+    rows = list(enumerate(texts)) + [(10, texts[1]), (10, texts[2]), (11, texts[3] + " q"), (11, texts[4] + " z"), (12, texts[0]), (12, texts[0])]
+    found = minhash.near_duplicates(docs_of(spark, rows), 3, 0.85).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(0, 0), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (10, 1), (11, 3), (12, 0)}
+
+
 def test_near_duplicates_awkward_rows(spark):
     found = minhash.near_duplicates(docs_of(spark, AWKWARD)).collect()
     assert len(found) == len(AWKWARD)
