@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def _state(edges: DataFrame) -> tuple[int, int | None]:
@@ -37,6 +37,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = cut(large.where(F.col("u") != F.col("v")).distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(least, F.col("u") == F.col("w")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small-star")
+        last, now = now, cut(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "small-star")
+        forget(last, large)
         before, state = state, _state(now)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

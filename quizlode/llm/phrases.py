@@ -1,16 +1,21 @@
 """Substring dedup by repeated-phrase automata.
 
 A passage repeats if a window of ``window`` words occurs in several documents. Every window is named by an anchor: the
-smallest hash among the phrases of half its length inside it, so equal windows have equal anchors, and only about one
-phrase in thirteen is an anchor. Anchors that occur in one document only are done with. Around the others the passages
-are cut out, repeated copies of one passage are folded, and they are dealt to shards by anchor. Each shard compiles an
-Aho-Corasick automaton of its anchors' phrases, streams its passages through it to locate every occurrence, and finds
-for each window around an occurrence the first document that has it. Documents meet only the automata whose phrases
-they hold, so the work grows with the repeated text and not with shards times texts. The locations go back to the
-documents, which drop the words of windows that start in an earlier document.
-
-Whole copies (equal sequences of words) are folded first: all but the first lose everything. An anchor with more than
-MOST_PASSAGES distinct passages is not given to one shard: its windows are grouped as rows of their own instead.
+smallest hash among the phrases of a quarter of its length inside it, so equal windows have equal anchors, and only
+about one phrase in twenty is an anchor. Anchors that occur in one document only are done with. Around the others the
+passages are cut out, repeated copies of one passage are folded, and they are dealt to shards by anchor. Each shard
+
+- confirms, word by word, which windows of its passages recur,
+- compiles an Aho-Corasick automaton of the phrases that confirmed windows stand around,
+- streams all its passages through that automaton and looks at the windows around every occurrence: one that is, word
+  by word, a confirmed window gets the first document that has it. What the automaton doesn't locate is not removed.
+
+Documents meet only the automata whose phrases they hold, so the work grows with the repeated text and not with shards
+times texts. The locations go back to the documents, which drop the words of windows that start in an earlier one.
+
+Whole copies (equal sequences of words) are folded first: all but the first lose everything. The passages of an anchor
+with more than SHARD_PASSAGES of them are dealt to several parts, each with its automaton. What one part locates may
+recur in another, so the parts' located windows are merged by 128-bit digests of their words.
 """
 
 from __future__ import annotations
@@ -26,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix, odd_constants, table
+from .common import WordHashes, cut, forget, mix, odd_constants, table
 
-#: Passages that a shard holds on average, and the most of one anchor that go to a shard.
-SHARD_PASSAGES, MOST_PASSAGES = 20_000, 20_000
+#: Passages that a shard holds on average, and a part of a larger anchor.
+SHARD_PASSAGES = 20_000
 
+_NEVER = np.iinfo(np.int64).max
 _BASE = int(odd_constants(1, 41)[0])
 
 
@@ -64,11 +70,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
 
 
+def phrase_length(window: int) -> int:
+    return max(1, window // 4)
+
+
 def anchors(words: np.ndarray, window: int, powers: Powers) -> np.ndarray:
     """The anchor of every window."""
     if len(words) < window:
         return np.empty(0, np.uint64)
-    return sliding_min(rolling(words, window // 2, powers), window - window // 2 + 1)
+    return sliding_min(rolling(words, phrase_length(window), powers), window - phrase_length(window) + 1)
 
 
 def _texts(column: pa.Array) -> list[bytes | None]:
@@ -119,83 +129,85 @@ def _passages(window: int):
     return scan
 
 
+def _windows(text: bytes, window: int) -> list[bytes]:
+    """The words of every window of a text with single blanks."""
+    blanks = [-1, *np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist(), len(text)]
+    return [text[a + 1 : b] for a, b in zip(blanks, blanks[window:], strict=False)]
+
+
 def locate(frame: pd.DataFrame, window: int) -> pd.DataFrame:
-    """One shard: for each passage (anchor, passage, text, first) the first document of each of its windows.
+    """One shard: for each passage (anchor, passage, text, first, last, parts) the first document of each of its windows.
 
-    The automaton holds the phrases that the anchors stand for, as sequences of word numbers; a window counts if an
-    occurrence of its anchor's phrase lies inside it.
+    first and last are the smallest and largest document that hold the passage. firsts has a huge number where nothing
+    was located. Of an anchor that is dealt to several parts, every window is located and told by its digest as well.
     """
-    half = window // 2
+    size = phrase_length(window)
     hashes, powers, numbers = WordHashes(), Powers(), {}
-    texts = [t.encode().split() for t in frame["text"]]
-    named = frame["anchor"].to_numpy(np.int64)
-    phrases: dict[tuple[int, ...], int] = {}
-    coded, owners, keys = [], [], []
-    for row, words in enumerate(texts):
-        h = hashes.of(words, len(words))
+    texts = [t.encode() for t in frame["text"]]
+    named, firsts, lasts = (frame[c].to_numpy(np.int64) for c in ("anchor", "first", "last"))
+    split = frame["parts"].to_numpy() > 1
+    windows = [_windows(t, window) for t in texts]
+
+    confirmed: dict[bytes, int] = {}
+    last: dict[bytes, int] = {}
+    for own, lo, hi in zip(windows, firsts.tolist(), lasts.tolist(), strict=True):
+        for w in own:
+            confirmed[w] = min(lo, confirmed.get(w, lo))
+            last[w] = max(hi, last.get(w, hi))
+    for w in [w for w, lo in confirmed.items() if lo == last[w]]:
+        del confirmed[w]
+    last.clear()
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    coded = []
+    for row, text in enumerate(texts):
+        words = text.split()
         code = tuple(numbers.setdefault(w, len(numbers)) for w in words)
         coded.append(code)
-        for at in np.flatnonzero(rolling(h, half, powers).view(np.int64) == named[row]):
-            phrases.setdefault(code[at : at + half], len(phrases))
-        keys.append(rolling(h, window, powers))
-        owners.append(np.full(len(keys[-1]), row))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for phrase, number in phrases.items():
-        automaton.add_word(phrase, number)
+        if split[row] or any(w in confirmed for w in windows[row]):
+            at = int(np.argmax(rolling(hashes.of(words, len(words)), size, powers).view(np.int64) == named[row]))
+            automaton.add_word(code[at : at + size], len(automaton))
     automaton.make_automaton()
-    owner, key = np.concatenate(owners), np.concatenate(keys)
-    located = np.zeros(len(owner), bool)
-    base = np.cumsum([0, *map(len, keys)])
-    for row, code in enumerate(coded):
-        for end, _ in automaton.iter(code):
-            lo, hi = max(0, end - window + 1), min(len(keys[row]), end - half + 2)
-            located[base[row] + lo : base[row] + hi] = True
-    group = named[owner]
-    first = frame["first"].to_numpy(np.int64)[owner]
-    order = np.lexsort((first, key, group))
-    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1])])
-    least = np.empty_like(first)
-    least[order] = first[order][new][np.cumsum(new) - 1]
-    least[~located] = np.iinfo(np.int64).max
-    return pd.DataFrame({"anchor": named, "passage": frame["passage"], "firsts": [least[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]})
-
-
-def _windows(window: int):
-    """Passages to rows of their windows, for anchors that no shard takes."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
-        for batch in batches:
-            keys = [rolling(hashes.of(w := t.split(), len(w)), window, powers).view(np.int64) for t in _texts(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(keys, pa.list_(pa.int64()))], ["anchor", "passage", "first", "keys"])
 
-    return scan
-
-
-def first_documents(passages: DataFrame, window: int, shard_passages: int = SHARD_PASSAGES, most_passages: int = MOST_PASSAGES) -> DataFrame:
-    """(anchor, passage, firsts) for distinct passages (anchor, passage, text, first)."""
-    counts = cut(passages.groupBy("anchor").agg(F.count("*").alias("n")), "anchor-counts")
-    total = counts.where(F.col("n") <= most_passages).agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // shard_passages))
-    large = counts.where(F.col("n") > most_passages).select("anchor")
-    some = passages.join(large, "anchor", "left_anti").withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    out = some.groupBy("shard").applyInPandas(lambda frame: locate(frame, window), "anchor long, passage long, firsts array<long>")
-    if large.isEmpty():
-        return out
-    rows = passages.join(large, "anchor", "left_semi").select("anchor", "passage", "text", "first").mapInArrow(
-        _windows(window), "anchor long, passage long, first long, keys array<long>"
-    )
-    rows = cut(rows.select("anchor", "passage", "first", F.posexplode("keys").alias("i", "key")), "windows")
-    least = cut(rows.groupBy("anchor", "key").agg(F.min("first").alias("least")), "window-firsts")
-    each = rows.join(least, ["anchor", "key"]).groupBy("anchor", "passage")
+    found, digests = [], []
+    for row, code in enumerate(coded):
+        own = windows[row]
+        least = np.full(len(own), _NEVER)
+        done = 0
+        for end, _ in automaton.iter(code) if len(automaton) else ():
+            # the windows that the phrase ending here lies in; what an earlier occurrence showed is not looked at again
+            for i in range(max(done, end - window + 1), done := max(done, min(len(own), end - size + 2))):
+                least[i] = firsts[row] if split[row] else confirmed.get(own[i], _NEVER)
+        found.append(least)
+        digests.append([xxhash.xxh3_128_digest(w) for w in own] if split[row] else None)
+    return pd.DataFrame({"anchor": named, "passage": frame["passage"], "firsts": found, "digests": digests})
+
+
+def first_documents(passages: DataFrame, window: int, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
+    """(anchor, passage, firsts) for distinct passages (anchor, passage, text, first, last)."""
+    counts = passages.groupBy("anchor").agg(F.ceil(F.count("*") / shard_passages).alias("parts"))
+    counts = cut(counts, "anchor-parts")
+    shards = max(1, -(-passages.count() // shard_passages))
+    some = passages.join(counts, "anchor").withColumn("shard", F.pmod("anchor", F.lit(shards))).withColumn("part", F.pmod("passage", "parts"))
+    out = some.groupBy("shard", "part").applyInPandas(
+        lambda frame: locate(frame, window), "anchor long, passage long, firsts array<long>, digests array<binary>"
+    )
+    out = cut(out, "located")
+    whole = out.where("digests IS NULL").select("anchor", "passage", "firsts")
+    if counts.where("parts > 1").isEmpty():
+        return whole
+    rows = out.where("digests IS NOT NULL").select("anchor", "passage", F.posexplode(F.arrays_zip("digests", "firsts")).alias("i", "w"))
+    rows = rows.select("anchor", "passage", "i", "w.digests", "w.firsts")
+    least = rows.groupBy("anchor", "digests").agg(F.min("firsts").alias("least"))
+    each = rows.join(least, ["anchor", "digests"]).groupBy("anchor", "passage")
     ordered = each.agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))
-    return out.unionByName(ordered.select("anchor", "passage", F.transform("w", lambda x: x["least"]).alias("firsts")))
+    return whole.unionByName(ordered.select("anchor", "passage", F.transform("w", lambda x: x["least"]).alias("firsts")))
 
 
 def _remove(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
+            removed, kept, shas = [], [], []
             for text, starts in zip(_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 open_ = np.zeros(len(words) + 1, np.int64)
@@ -203,23 +215,25 @@ def _remove(window: int):
                 np.add.at(open_, at, 1)
                 np.add.at(open_, at + window, -1)
                 gone = np.cumsum(open_)[:-1] > 0
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode())
+                left = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+                removed.append(int(gone.sum())), kept.append(left.decode()), shas.append(hashlib.sha256(left).digest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "version", "n_removed", "kept_text"]
+                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(shas, pa.binary())],
+                ["doc_id", "version", "removed", "left", "left_sha"],
             )
 
     return scan
 
 
-def repeated_phrases(docs: DataFrame, window: int = 50) -> DataFrame:
+def repeated_phrases(docs: DataFrame, window: int = 50, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
     """One row for each row of ``docs`` (doc_id long, text): doc_id, n_words, n_removed, kept_text and kept_sha256.
 
     Words are runs without ASCII white space. A word is removed if a run of ``window`` words around it also starts in a
     document with a smaller doc_id. kept_text is null where nothing is removed (the text stays as it is), else the words
     left, joined by blanks; kept_sha256 is the hash of the words left, joined by blanks, in either case. A null text has
     no words. Rows without a doc_id lose nothing and take nothing from others; rows that repeat a doc_id take nothing
-    from each other. An empty table gives no rows; other columns are ignored.
+    from each other, and those of them with the same words lose the same. An empty table gives no rows; other columns
+    are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     rows = cut(plain.mapInArrow(_scan(window), "doc_id long, version long, n_words long, sha binary, anchors array<long>"), "phrases")
@@ -229,34 +243,37 @@ def repeated_phrases(docs: DataFrame, window: int = 50) -> DataFrame:
 
     spread = classes.select("doc_id", "version", F.explode("anchors").alias("anchor"))
     ends = spread.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    recurring = cut(ends.select("anchor"), "recurring")
-    lists = spread.join(recurring, "anchor").groupBy("doc_id", "version").agg(F.collect_list("anchor").alias("anchors"))
+    lists = spread.join(ends.select("anchor"), "anchor").groupBy("doc_id", "version").agg(F.collect_list("anchor").alias("anchors"))
     texts = plain.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    holders = cut(texts.join(lists, ["doc_id", "version"]).select("doc_id", "version", "text", "anchors"), "phrase-holders")
+    holders = texts.join(lists.hint("merge"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    holders = cut(holders.select("doc_id", "version", "text", "anchors"), "phrase-holders")
     places = cut(holders.mapInArrow(_passages(window), "anchor long, passage long, doc_id long, version long, start long, text string"), "passages")
 
-    distinct = places.groupBy("anchor", "passage", "text").agg(F.min("doc_id").alias("first"))
-    firsts = cut(first_documents(cut(distinct, "distinct-passages"), window), "passage-firsts")
+    distinct = places.groupBy("anchor", "passage", "text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    distinct = cut(distinct, "distinct-passages")
+    firsts = first_documents(distinct, window, shard_passages)
     found = places.drop("text").join(firsts, ["anchor", "passage"])
     earlier = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     found = found.select("doc_id", "version", earlier.alias("starts")).where(F.size("starts") > 0)
-    found = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    parts = holders.select("doc_id", "version", "text").join(found, ["doc_id", "version"])
-    parts = parts.mapInArrow(_remove(window), "doc_id long, version long, n_removed long, kept_text string")
-    parts = cut(parts.dropDuplicates(["doc_id", "version"]), "phrase-parts")
-
-    first = classes.select(F.col("sha").alias("_sha"), F.col("doc_id").alias("_first"))
-    out = rows.drop("anchors").join(first, F.col("sha") == F.col("_sha"), "left")
-    parts = parts.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("n_removed").alias("_n"), F.col("kept_text").alias("_kept"))
-    out = out.join(parts, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left")
-    copy = F.coalesce(F.col("_first") < F.col("doc_id"), F.lit(False))
-    kept = F.when(copy, F.lit("")).otherwise(F.col("_kept"))
+    found = cut(found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts")), "phrase-starts")
+    forget(distinct, places)
+    parts = holders.select("doc_id", "version", "text").join(found.hint("merge"), ["doc_id", "version"])
+    parts = parts.mapInArrow(_remove(window), "doc_id long, version long, removed long, left string, left_sha binary")
+
+    # every row gets what the first row with its words loses, or all if that is of an earlier document
+    judged = classes.drop("anchors").join(parts, ["doc_id", "version"], "left")
+    judged = cut(judged.select(F.col("sha").alias("_sha"), F.col("doc_id").alias("_first"), "removed", "left", "left_sha"), "phrase-parts")
+    forget(holders, found, classes)
+    out = rows.drop("anchors").join(judged, F.col("sha") == F.col("_sha"), "left")
+    own = F.col("doc_id").isNotNull() & F.col("_first").isNotNull()
+    copy = own & (F.col("_first") < F.col("doc_id"))
+    kept = F.when(copy, F.lit("")).when(own, F.col("left"))
     return out.select(
         "doc_id",
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.col("n_words")).when(own, F.coalesce("removed", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         kept.alias("kept_text"),
-        F.coalesce(F.sha2(kept, 256), F.lower(F.hex("sha"))).alias("kept_sha256"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.when(own, F.coalesce("left_sha", "sha")).otherwise(F.col("sha"))))).alias("kept_sha256"),
     )
 
 

@@ -119,8 +119,8 @@ def brute_phrases(rows, window):
     return out
 
 
-@pytest.mark.parametrize("most", [phrases.MOST_PASSAGES, 2])
-def test_repeated_phrases_equal_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("most", [phrases.SHARD_PASSAGES, 2])
+def test_repeated_phrases_equal_brute_force(spark, most):
     rnd = random.Random(3)
     shared = [words(rnd, n) for n in (50, 51, 80, 160)]
     rows = []
@@ -132,12 +132,47 @@ def test_repeated_phrases_equal_brute_force(spark, monkeypatch, most):
             text[0:0] = s[a : a + rnd.choice([49, 50, 60, 200])]
         rows.append((d, " ".join(text) if d % 7 else "\n".join(text)))
     rows += [(100, rows[3][1]), (101, "tok " * 120), (102, "tok " * 60), (103, None), (104, "")]
-    defaults = phrases.first_documents.__defaults__
-    monkeypatch.setattr(phrases.first_documents, "__defaults__", (defaults[0], most))
-    found = phrases.repeated_phrases(docs_of(spark, rows)).collect()
+    found = phrases.repeated_phrases(docs_of(spark, rows), shard_passages=most).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute_phrases(rows, 50)
 
 
+def test_repeated_phrases_of_ids_with_several_texts(spark):
+    """Rows that repeat an id with the same words, blanks apart, lose the same; those with other words their own."""
+    a, b = (" ".join(words(random.Random(k), 60)) for k in (21, 22))
+    rows = [(5, a), (8, a + " X"), (8, a + "  X"), (8, b), (9, b + " y"), (9, "\n" + b.replace(" ", "  ") + " y"), (8, b)]
+    found = phrases.repeated_phrases(docs_of(spark, rows)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    expected = [(5, 60, 0, sha(a))] + [(8, 61, 60, sha("X"))] * 2 + [(8, 60, 0, sha(b))] * 2 + [(9, 61, 60, sha("y"))] * 2
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == sorted(expected)
+
+
+def test_automaton_locates_what_is_confirmed():
+    """Windows that recur get their first document, wherever the passage is cut; others get none."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(31)
+    shared = words(rnd, 70)
+    powers, hashes = phrases.Powers(), phrases.WordHashes()
+    texts = [" ".join(w) for w in (shared, shared[5:], shared[:65] + words(rnd, 5), words(rnd, 60))]
+    rows = []
+    for d, t in enumerate(texts):
+        w = t.encode().split()
+        named = phrases.anchors(hashes.of(w, len(w)), 50, powers).view(np.int64)
+        edge = [0, *(np.flatnonzero(named[1:] != named[:-1]) + 1), len(named)]
+        rows += [(int(named[i]), k, b" ".join(w[i : j + 49]).decode(), d, d, 1, d, i) for k, (i, j) in enumerate(zip(edge, edge[1:]))]
+    frame = pd.DataFrame(rows, columns=["anchor", "passage", "text", "first", "last", "parts", "doc", "start"])
+    frame["passage"] = range(len(frame))
+    out = phrases.locate(frame, 50)
+    located = {(r.doc, r.start + i): int(x) for r, own in zip(frame.itertuples(), out["firsts"]) for i, x in enumerate(own) if x < 1 << 62}
+    at = {d: [tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)] for d, t in enumerate(texts)}
+    holders = defaultdict(set)
+    for d, own in at.items():
+        for w in own:
+            holders[w].add(d)
+    assert located == {(d, i): min(holders[w]) for d, own in at.items() for i, w in enumerate(own) if len(holders[w]) > 1}
+
+
 def test_repeated_phrases_awkward_rows(spark):
     long = " ".join(words(random.Random(1), 70))
     rows = AWKWARD + [(None, long), (8, long), (8, long), (9, long)]
