@@ -1,14 +1,16 @@
 """Line dedup by a tree of log templates.
 
 Lines are parsed as a log parser does: tokens with digits become a wildcard, and a tree of fixed depth sorts lines by
-their number of tokens and then by their leading tokens. In each leaf the most widespread line is the template, and the
-lines that agree with it in most places belong to it: where they differ, the template is variable. Lines that differ
-more are templates of their own. A template that occurs in many documents is boilerplate: all its lines are dropped but
-the first of the corpus, so that no content is lost altogether. Documents with the same text count once, so mere copies
-of a document do not turn its lines into boilerplate.
-
-All counting is by 60-bit hashes with partial sums; the text of lines is moved only for leaves that are widespread and
-hold more than one line. Built-in functions alone, in every step.
+their number of tokens and then by their leading tokens. What follows the leading tokens is divided into fields, and a
+leaf's templates are its lines with up to two fields generalised, together at most a fifth of the tokens. So a leaf has
+as many templates as it has families of lines, and lines that differ more are templates of their own. Of the templates
+that fit a line and occur in many documents, the line belongs to the one with most lines. Such a template is
+boilerplate: all its lines are dropped but the first of the corpus, so that no content is lost altogether. Documents
+with the same text count once, so mere copies of a document do not turn its lines into boilerplate.
+
+All counting is by 60-bit hashes with partial sums over distinct lines, never over pairs of lines; a template's hash is
+the sum of its fields' hashes less the generalised ones. The text of lines is moved only for leaves that are widespread
+and hold more than one line. Built-in functions alone, in every step.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, forget, table
 
-#: Leading tokens of the tree, the share of places in which a line agrees with its template, and the documents
-#: (distinct texts) from which a template counts as recurring.
-DEPTH, SIMILARITY, LEAST_DOCS = 3, 0.8, 10
+#: Leading tokens of the tree, the percentage of tokens that a template fixes at least, and the documents (distinct
+#: texts) from which a template counts as recurring.
+DEPTH, FIXED, LEAST_DOCS = 3, 80, 10
 
 _BLANKS = r"[\x20\x09-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -44,47 +46,77 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return rows.select("doc_id", "version", "pos", "clean", _number(F.concat(n.cast("string"), F.lit(" "), lead)).alias("leaf"))
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, least_docs: int = LEAST_DOCS) -> DataFrame:
+def _templates(lines: DataFrame, depth: int, fixed: int) -> DataFrame:
+    """(leaf, line, n, i, j, key) for distinct lines (leaf, line, n, clean): each with its fields i and j generalised.
+
+    The tokens after the first ``depth`` are fields of half of the tokens that may vary, at least one each. Lines of
+    which no token may vary have no row here, those of which one may have a row for each token.
+    """
+    tokens = F.split("clean", " ")
+    rows = lines.select("leaf", "line", "n", F.slice(tokens, depth + 1, 1 << 30).alias("rest"), F.floor(F.size(tokens) * (100 - fixed) / 100).cast("int").alias("free"))
+    rows = rows.where("free > 0 AND size(rest) > 0").withColumn("width", F.greatest(F.lit(1), F.floor(F.col("free") / 2).cast("int")))
+    n = F.ceil(F.size("rest") / F.col("width")).cast("int")
+    field = lambda i: F.xxhash64(i, F.array_join(F.slice("rest", i * F.col("width") + 1, F.col("width")), " "))
+    rows = rows.withColumn("fields", F.transform(F.sequence(F.lit(0), n - 1), field))
+    rows = rows.withColumn("all", F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+    one = (F.col("free") == 1) | (F.size("fields") == 1)
+    rows = rows.select("leaf", "line", "n", "fields", "all", one.alias("one"), F.posexplode("fields").alias("i", "own"))
+    other = F.when(F.col("one"), F.array("i")).when(F.col("i") + 1 < F.size("fields"), F.sequence(F.col("i") + 1, F.size("fields") - 1))
+    rows = rows.select("leaf", "line", "n", "fields", "all", "one", "i", "own", F.explode(other).alias("j"))
+    rest = F.when(F.col("one"), F.lit(0).cast("long")).otherwise(F.get("fields", F.col("j")))
+    return rows.select("leaf", "line", "n", "i", "j", F.col("all").bitwiseXOR(F.col("own")).bitwiseXOR(rest).alias("key"))
+
+
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, fixed: int = FIXED, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(doc_id, version, positions): the lines of each text that are dropped, by position; version is a hash of the text."""
     lines = _lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), depth)
     narrow = cut(lines.select("doc_id", "version", "pos", "leaf", _number(F.col("clean")).alias("line")), "lines")
-    wide = narrow.select("leaf", "version").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
     by_line = narrow.select("leaf", "line", "version").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    leaves = by_line.groupBy("leaf").agg(F.max_by("line", F.struct("n", "line")).alias("top"), F.count("*").alias("lines"))
-    leaves = cut(leaves.join(wide.select("leaf"), "leaf", "left_semi"), "leaves")
-    one = narrow.join(leaves.where("lines = 1").select("leaf"), "leaf").select("doc_id", "version", "pos", F.struct("leaf", F.lit(0).cast("long").alias("line")).alias("template"))
-    several = lines.join(leaves.where("lines > 1").select("leaf", "top"), "leaf")
-    several = cut(several.withColumn("line", _number(F.col("clean"))), "leaf-lines")
-    tops = several.where("line = top").groupBy("leaf").agg(F.first("clean").alias("template_line"))
-    both = several.join(cut(tops, "leaf-templates"), "leaf")
-    tokens, template = F.split("clean", " "), F.split("template_line", " ")
-    equal = F.size(F.filter(F.zip_with(tokens, template, lambda a, b: a == b), lambda same: same))
-    own = F.when(equal >= similarity * F.size(tokens), F.lit(0).cast("long")).otherwise(F.col("line"))
-    many = both.select("doc_id", "version", "pos", F.struct("leaf", own.alias("line")).alias("template"))
-    placed = cut(one.unionByName(many).select("doc_id", "version", "pos", "template.leaf", "template.line"), "templates")
-    texts = placed.select("leaf", "line", "version").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    first = placed.groupBy("leaf", "line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    recurring = cut(texts.where(F.col("n") >= least_docs).join(first, ["leaf", "line"]).drop("n"), "recurring-templates")
-    gone = placed.join(recurring, ["leaf", "line"]).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
+    by_line = cut(by_line, "distinct-lines")
+    leaves = by_line.groupBy("leaf").agg(F.sum("n").alias("most"), F.count("*").alias("lines")).where(F.col("most") >= least_docs)
+    leaves = cut(leaves.select("leaf", "lines"), "leaves")
+
+    # lines of several in their leaf, once each, and the templates that fit them
+    several = lines.join(leaves.where("lines > 1").select("leaf"), "leaf").select("leaf", _number(F.col("clean")).alias("line"), "clean")
+    several = several.groupBy("leaf", "line").agg(F.first("clean").alias("clean")).join(by_line, ["leaf", "line"])
+    fits = cut(_templates(several, depth, fixed), "line-templates")
+    template = ["leaf", "i", "j", "key"]
+    wide = fits.groupBy(*template).agg(F.sum("n").alias("weight"), F.max("n").alias("most"), F.count("*").alias("members")).where((F.col("weight") >= least_docs) & (F.col("members") > 1))
+    wide = cut(wide.drop("members"), "wide-templates")
+    # only templates without any widespread line need their texts counted: lines of few texts each
+    unsure = fits.join(wide.where(F.col("most") < least_docs).select(*template), template).select("line", *template)
+    texts = unsure.join(narrow.select("leaf", "line", "version"), ["leaf", "line"]).select(*template, "version").distinct()
+    enough = texts.groupBy(*template).agg(F.count("*").alias("texts")).where(F.col("texts") >= least_docs).select(*template)
+    sure = wide.where(F.col("most") >= least_docs).select(*template).unionByName(enough).join(wide.drop("most"), template)
+    general = fits.join(sure, template).select("leaf", "line", "i", "j", "key", "weight")
+    alone = by_line.where(F.col("n") >= least_docs).select(
+        "leaf", "line", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("line").alias("key"), F.col("n").alias("weight")
     )
+    own = general.unionByName(alone).groupBy("leaf", "line").agg(F.max_by(F.struct("i", "j", "key"), F.struct("weight", -F.col("i"), -F.col("j"))).alias("t"))
+    own = cut(own.select("leaf", "line", "t.*"), "recurring-lines")
+
+    placed = cut(narrow.join(own, ["leaf", "line"]).drop("line"), "places")
+    forget(narrow, by_line, leaves, fits, wide)
+    at = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("pos"))
+    first = placed.groupBy(*template).agg(F.min(at).alias("first"))
+    gone = placed.join(first, template).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
     return gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("positions"))
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, least_docs: int = LEAST_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, fixed: int = FIXED, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Every row of ``docs`` as column ``row``, with ``n_lines``, ``n_dropped`` and the ``text`` that is left.
 
     docs has doc_id and text. Lines end at \\n; a line's tokens are its runs without ASCII white space. A template that
     occurs in ``least_docs`` distinct texts or more is dropped wherever it stands, save its first place by doc_id and
     position. Lines without tokens stay. A null text stays null and has no lines; an empty one has one line, without
-    tokens. Rows without a doc_id come after all others and keep a line only if no other row has it; rows that repeat a
-    doc_id and text lose the same lines. A document that loses every line keeps its row, with an empty text. An empty
+    tokens. Rows without a doc_id count as one document that comes after all others; rows that repeat a doc_id and text
+    lose the same lines, and lines of an id at one position are one place. A document that loses every line keeps its row, with an empty text. An empty
     table gives no rows; other columns are carried along.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_version")
     )
-    gone = recurring_lines(docs, depth, similarity, least_docs)
+    gone = cut(recurring_lines(docs, depth, fixed, least_docs), "dropped-lines").hint("merge")
     out = rows.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_version") == F.col("version")), "left")
     lines = F.split(F.col("row.text").cast("string"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("positions", i)), "\n")
@@ -106,20 +138,23 @@ SQL = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, md5(text) AS version, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT r, doc_id, version, ls, unnest(range(1, len(ls) + 1)) AS pos FROM d),
 v AS (SELECT r, doc_id, version, pos, trim(regexp_replace(regexp_replace(ls[pos], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM u),
-l AS MATERIALIZED (
-  SELECT r, doc_id, version, pos, string_split(clean, ' ') AS t, CAST('0x' || substr(md5(clean), 1, 15) AS BIGINT) AS line,
-         len(string_split(clean, ' ')) || ' ' || array_to_string(string_split(clean, ' ')[1:{DEPTH}], ' ') AS leaf
-  FROM v WHERE clean <> ''),
-w AS (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT version) >= {LEAST_DOCS}),
-b AS (SELECT leaf, line, count(DISTINCT version) AS n, any_value(t) AS t FROM l GROUP BY leaf, line),
-top AS (SELECT leaf, t AS tt FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY n DESC, line DESC) AS k FROM b JOIN w USING (leaf)) WHERE k = 1),
-p AS (SELECT r, doc_id, version, pos, leaf,
-             CASE WHEN len(list_filter(range(1, len(t) + 1), lambda i: t[i] = tt[i])) >= {SIMILARITY}::DOUBLE * len(t) THEN 0 ELSE line END AS line
-      FROM l JOIN top USING (leaf)),
-g AS (SELECT leaf, line, min((doc_id, pos)) AS first FROM p GROUP BY leaf, line HAVING count(DISTINCT version) >= {LEAST_DOCS}),
-x AS (SELECT r, list(pos) AS gone FROM p JOIN g USING (leaf, line) WHERE (doc_id, pos) <> first GROUP BY r)
+l AS MATERIALIZED (SELECT * FROM v WHERE clean <> ''),
+b AS MATERIALIZED (SELECT clean, string_split(clean, ' ') AS t, count(DISTINCT version) AS n FROM l GROUP BY clean),
+f AS (SELECT clean, t, n, len(t) * {100 - FIXED} // 100 AS free, greatest(1, len(t) * {100 - FIXED} // 100 // 2) AS w FROM b),
+g AS (SELECT *, CASE WHEN free = 0 OR len(t) <= {DEPTH} THEN 0 ELSE (len(t) - {DEPTH} + w - 1) // w END AS s FROM f),
+i AS (SELECT *, unnest(range(0, s)) AS i FROM g),
+j AS (SELECT *, unnest(CASE WHEN free = 1 OR s = 1 THEN [i] ELSE range(i + 1, s) END) AS j FROM i),
+m AS (SELECT clean, n, i, j, array_to_string(list_transform(range(1, len(t) + 1), lambda p: CASE WHEN p > {DEPTH} AND ((p - {DEPTH} - 1) // w = i OR (p - {DEPTH} - 1) // w = j) THEN '' ELSE t[p] END), ' ') AS template FROM j
+      UNION ALL SELECT clean, n, -1, -1, clean FROM g),
+k AS MATERIALIZED (SELECT i, j, template, sum(n) AS weight FROM m GROUP BY ALL HAVING sum(n) >= {LEAST_DOCS}),
+x AS MATERIALIZED (SELECT m.clean, k.* FROM m JOIN k USING (i, j, template)),
+e AS (SELECT i, j, template FROM x JOIN l USING (clean) GROUP BY ALL HAVING count(DISTINCT version) >= {LEAST_DOCS}),
+o AS (SELECT clean, arg_max((i, j, template), (weight, -i, -j)) AS own FROM x JOIN e USING (i, j, template) GROUP BY clean),
+p AS (SELECT r, doc_id, pos, own FROM l JOIN o USING (clean)),
+q AS (SELECT own, min((doc_id IS NULL, doc_id, pos)) AS first FROM p GROUP BY own),
+z AS (SELECT r, list(pos) AS gone FROM p JOIN q USING (own) WHERE (doc_id IS NULL, doc_id, pos) <> first GROUP BY r)
 SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
        sha256(coalesce(CASE WHEN gone IS NULL THEN text
                             ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END, '')) AS kept_sha256
-FROM d LEFT JOIN x USING (r)
+FROM d LEFT JOIN z USING (r)
 """

@@ -452,6 +452,69 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs_of(spark, []), F.col("source"), F.col("lang")).count() == 0
 
 
+def brute_templates(rows):
+    """Positions dropped from each row, by the rules told in words: plain loops over all lines and all templates."""
+    lines = []
+    for r, (d, text) in enumerate(rows):
+        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
+            t = ["<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
+            if t:
+                lines.append((r, d, text, pos, tuple(t)))
+    fits, texts, distinct = defaultdict(set), defaultdict(set), defaultdict(set)
+    for _, _, text, _, t in lines:
+        free = len(t) // 5
+        width = max(1, free // 2)
+        fields = [range(a, min(a + width, len(t))) for a in range(3, len(t), width)] if free else []
+        pairs = [(i, i) for i in range(len(fields))] if free == 1 or len(fields) == 1 else [(i, j) for j in range(len(fields)) for i in range(j)]
+        for i, j in pairs:
+            hidden = {*fields[i], *fields[j]}
+            fits[t].add((i, j, tuple(None if k in hidden else x for k, x in enumerate(t))))
+        fits[t].add((-1, -1, t))
+        distinct[t].add(text)
+    members = defaultdict(set)
+    for t, own in fits.items():
+        for x in own:
+            members[x].add(t)
+            texts[x] |= distinct[t]
+    own = {}
+    for t, all_ in fits.items():
+        good = [x for x in all_ if len(texts[x]) >= 10]
+        if good:
+            own[t] = max(good, key=lambda x: (sum(len(distinct[m]) for m in members[x]), -x[0], -x[1]))
+    first = {}
+    place = lambda d, pos: (d is None, d or 0, pos)
+    for _, d, _, pos, t in lines:
+        if t in own:
+            first[own[t]] = min(first.get(own[t], (True, 1 << 60, 0)), place(d, pos))
+    gone = defaultdict(set)
+    for r, d, _, pos, t in lines:
+        if t in own and first[own[t]] != place(d, pos):
+            gone[r].add(pos)
+    return ["\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[r]) if text is not None else None for r, (_, text) in enumerate(rows)]
+
+
+def test_line_templates_equal_brute_force(spark):
+    """Families that share a leaf, long lines, ties, repeated rows and rows without an id."""
+    rnd = random.Random(14)
+    rows = []
+    for d in range(60):
+        name, day, noun = (rnd.choice(words(random.Random(k), 12)) for k in (1, 2, 3))
+        own = [f"dear user of {name} your account was closed today", f"dear user of the {name} sent {noun} a note", f"dear user of {' '.join(words(rnd, 6))}", "a b", f"a b {name}"]
+        own += [f"all of our {name} pages are open on {day} from morning until the evening bell rings in town by the {noun}", "", " \t", f"Page {d} of 9"]
+        rnd.shuffle(own)
+        rows.append((rnd.choice([d, d, d // 2, None]), "\n".join(own[: rnd.randint(1, 9)])))
+    rows += rows[:5] + [(d, t) for d, t in AWKWARD if t is None or len(t) < 100]
+    found = line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()
+    assert Counter((r.row.doc_id, r.row.text, r.text) for r in found) == Counter((d, t, left) for (d, t), left in zip(rows, brute_templates(rows)))
+
+
+def test_two_families_of_one_leaf(spark):
+    names = words(random.Random(3), 40)
+    rows = [(d, f"to the team {names[d]} we wish good luck\nto the team send {names[-d]} more paper please\nkeep {d * 'x'} this") for d in range(1, 20)]
+    found = {r.row.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(docs_of(spark, rows + [(None, rows[0][1] + " ")])).collect()}
+    assert found == {1: 0, **{d: 2 for d in range(2, 20)}, None: 2}
+
+
 def test_line_templates(spark):
     rnd = random.Random(12)
     rows = []
