@@ -452,6 +452,30 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs_of(spark, []), F.col("source"), F.col("lang")).count() == 0
 
 
+def test_secrets_of_hard_texts(spark):
+    """A megabyte without a break, one of pattern beginnings, and many thousands of matches in one text."""
+    import time
+
+    many = "token=abcdef0 " * 50_000
+    rows = [(1, "abcdefghij" * 100_000), (2, "eyJ" * 300_000), (3, many), (4, "a://" * 200_000), (5, "password " + " " * 500_000)]
+    began = time.time()
+    found = secrets.scan_secrets(docs_of(spark, rows), F.col("source"), F.col("lang")).select("doc_id", "base").collect()
+    assert time.time() - began < 90
+    assert {r.doc_id: len(r.base) for r in found} == {1: 0, 2: 0, 3: 50_000, 4: 0, 5: 0}
+    last = next(r.base[-1] for r in found if r.doc_id == 3)
+    assert (last.start, last.end) == (len(many) - 14, len(many) - 1)
+
+
+def test_owners_and_repositories(spark):
+    """Two owners make an example only in many repositories; a null owner is another one than an empty one."""
+    key = lambda c: "sk_live_" + c * 20
+    rows = [(k, key("A"), "en", f"{k % 2}/{k}") for k in range(5)] + [(10 + k, key("B"), "en", f"{k % 2}/{k}") for k in range(4)] + [(20, key("C"), "en", None), (21, key("C"), "en", ""), (22, key("C"), "en", "x")]
+    owner = F.substring_index("source", "/", 1)
+    found = secrets.scan_secrets(docs_of(spark, rows), owner, F.col("source")).collect()
+    assert {r.doc_id for r in found if r.spans} == {10, 11, 12, 13}
+    assert {(r.candidates[0].n_owners, r.candidates[0].n_repositories) for r in found} == {(2, 5), (2, 4), (3, 3)}
+
+
 def brute_templates(rows):
     """Positions dropped from each row, by the rules told in words: plain loops over all lines and all templates."""
     lines = []
