@@ -5,10 +5,16 @@ transformed statistics, and for every language and source a minimum-covariance-d
 scatter is fitted to all their vectors: the three quarters of the rows that lie closest together. Rows at a large
 Mahalanobis distance from it are rejected.
 
-The fit is distributed. A concentration step scores all rows against the estimates of their group, finds each group's
+Every source has an estimate of its own. One of few rows is drawn towards that of its language, and a language of few
+rows towards that of all, as if PRIOR rows of the wider group had been added: there is no size from which a group is
+treated otherwise. Most clean texts are equal in some statistics, so an estimate may be flat in some directions; only
+those are widened, to three quarters of the spread that the statistics have in the language (see LEAST_SPREADS).
+
+The fit is distributed. A concentration step scores all rows against the estimates of their groups, finds each group's
 quantile from a histogram of distances (counts of fixed logarithmic buckets, combined before the shuffle), and sums
-the moments of the rows within it, so neither a task nor the driver ever holds a group's rows. Two starts run side by
-side; the one that ends with the smaller determinant wins and is reweighted once.
+the moments of the rows within it, so neither a task nor the driver ever holds a group's rows. Two starts (medians with
+the quartiles' spread, and medians with the flat directions' width) run side by side until no determinant changes any
+more; the one that ends with the smaller determinant wins and is reweighted once.
 """
 
 from __future__ import annotations
@@ -23,16 +29,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, gram_hashes, table
+from .common import WordHashes, cut, forget, gram_hashes, table
 
 #: The statistics: log mean word length, and square roots of symbols, punctuation and capitals per letter, repeated
-#: words and repeated lines. Beside each the least standard deviation it counts with, since most clean texts are equal in it.
+#: words and repeated lines.
 STATISTICS = ("word_length", "symbols", "punctuation", "capitals", "repeats", "lines")
-FLOORS = (0.06, 0.10, 0.06, 0.06, 0.20, 0.20)
+#: What a few symbols, one repeated line or one repeated phrase make in a short text: the least standard deviation of each.
+LEAST_SPREADS = (0.06, 0.08, 0.06, 0.06, 0.10, 0.10)
 P = len(STATISTICS)
-#: The share of rows that an estimate rests on, concentration steps, rows a group needs, and the distance (squared,
-#: the 0.999 quantile of a chi-square of six degrees) from which a row is an outlier.
-SHARE, STEPS, LEAST_ROWS, CUTOFF = 0.75, 4, 60, 22.46
+#: The share of rows that an estimate rests on, the most concentration steps (few are needed), the rows that a wider group
+#: counts for, the least width of a direction in standard deviations, and the distance (squared, the 0.999 quantile of a
+#: chi-square of six degrees) from which a row is an outlier.
+SHARE, MOST_STEPS, PRIOR, LEAST_WIDTH, CUTOFF = 0.75, 20, 30, 0.75, 22.46
 #: Fewest words, and the largest share of repeated words in percent.
 LEAST_WORDS, MOST_REPEATS = 50, 50
 
@@ -110,18 +118,12 @@ def _scan(least_words: int, most_repeats: int):
     return scan
 
 
-def _groups(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, source, group): sources with few rows share their language's group, and languages with few left share one."""
-    n = rows.where("x IS NOT NULL").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    rest = F.sum(F.when(F.col("n") < least, F.col("n"))).over(W.partitionBy("lang"))
-    return n.withColumn("rest", rest).select(
-        F.col("lang").alias("_lang"),
-        F.col("source").alias("_source"),
-        F.when(F.col("n") >= least, F.to_json(F.struct("lang", "source")))
-        .when(F.col("rest") >= least, F.to_json(F.struct("lang")))
-        .otherwise(F.lit("{}"))
-        .alias("group"),
-    )
+def _levels() -> Column:
+    """A row's groups with the next wider one of each: all, the language, the source in the language."""
+    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    every, language, source = F.lit("{}"), name("lang"), name("lang", "source")
+    pairs = ((every, F.lit("")), (language, every), (source, language))
+    return F.array(*[F.struct(g.alias("group"), p.alias("parent")) for g, p in pairs])
 
 
 def _distance(x: Column, centre: Column, precision: Column) -> Column:
@@ -137,52 +139,93 @@ def _bucket(d2: Column) -> Column:
     return F.floor(F.log2(F.greatest(d2, F.lit(1e-6))) * 64).cast("int")
 
 
-def _precision(scatter: np.ndarray) -> tuple[list[float], float]:
-    m = scatter + np.diag(np.square(FLOORS))
-    inverse = np.linalg.inv(m)
-    return [float(inverse[i, j]) for i, j in _PAIRS], float(np.linalg.slogdet(m)[1])
+def _precision(scatter: np.ndarray, spread: np.ndarray) -> tuple[list[float], float]:
+    """The inverse of a scatter whose flat directions are widened, and the logarithm of its determinant."""
+    values, vectors = np.linalg.eigh(scatter / np.outer(spread, spread))
+    values = np.maximum(values, LEAST_WIDTH**2)
+    inverse = (vectors / values) @ vectors.T / np.outer(spread, spread)
+    return [float(inverse[i, j]) for i, j in _PAIRS], float(np.log(values).sum() + 2 * np.log(spread).sum())
+
+
+def _square(pairs) -> np.ndarray:
+    m = np.zeros((P, P))
+    for (i, j), v in zip(_PAIRS, pairs, strict=True):
+        m[i, j] = m[j, i] = v
+    return m
+
+
+def _drawn(levels: list[tuple], factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of the last of ``levels`` (n, sums, sums of products; widest first), drawn towards the wider ones."""
+    centre = scatter = None
+    for n, total, products in levels:
+        mean = np.array(total) / n
+        own = (_square(products) / n - np.outer(mean, mean)) * factor
+        share = 1.0 if centre is None else n / (n + PRIOR)
+        centre = mean if centre is None else share * mean + (1 - share) * centre
+        scatter = own if scatter is None else share * own + (1 - share) * scatter
+    return centre, scatter
+
+
+_ESTIMATE = "group string, parent string, start int, centre array<double>, precision array<double>, logdet double"
+
 
+def _with_wider(moments: DataFrame) -> DataFrame:
+    """Moments (group, parent, start, n, s, ss) of every group beside those of the two wider ones; one row for each group and start."""
+    wider = [moments.select(F.col("group").alias(f"g{k}"), F.col("parent").alias(f"p{k}"), F.col("start").alias(f"t{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "s", "ss")]) for k in (1, 2)]
+    out = moments.join(wider[0], (F.col("parent") == F.col("g1")) & (F.col("start") == F.col("t1")), "left")
+    return out.join(wider[1], (F.col("p1") == F.col("g2")) & (F.col("start") == F.col("t2")), "left").drop("g1", "t1", "p1", "g2", "t2", "p2")
 
-def _from_moments(factor: float):
+
+def _chain(r) -> list[tuple]:
+    return [(n, s, ss) for n, s, ss in ((r.n2, r.s2, r.ss2), (r.n1, r.s1, r.ss1), (r.n, r.s, r.ss)) if s is not None]
+
+
+def _estimates(moments: DataFrame, spreads: DataFrame, factor: float) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                centre = np.array(r.s) / r.n
-                second = np.zeros((P, P))
-                for (i, j), v in zip(_PAIRS, r.ss, strict=True):
-                    second[i, j] = second[j, i] = v / r.n
-                precision, logdet = _precision((second - np.outer(centre, centre)) * factor)
-                out.append((r.group, r.start, [float(c) for c in centre], precision, logdet))
-            yield pd.DataFrame(out, columns=["group", "start", "centre", "precision", "logdet"])
-
-    return run
-
+                centre, scatter = _drawn(_chain(r), factor)
+                out.append((r.group, r.parent, r.start, [float(c) for c in centre], *_precision(scatter, np.array(r.spread))))
+            yield pd.DataFrame(out, columns=["group", "parent", "start", "centre", "precision", "logdet"])
 
-_ESTIMATE = "group string, start int, centre array<double>, precision array<double>, logdet double"
+    return _with_wider(moments).join(spreads, "group").mapInPandas(run, _ESTIMATE)
 
 
 def _moments(rows: DataFrame) -> DataFrame:
     x = [F.get("x", F.lit(i)) for i in range(P)]
-    sums = rows.groupBy("group", "start").agg(
+    sums = rows.groupBy("group", "parent", "start").agg(
         F.count("*").alias("n"),
         *[F.sum(x[i]).alias(f"s{i}") for i in range(P)],
         *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in _PAIRS],
     )
-    return sums.select("group", "start", "n", F.array(*[f"s{i}" for i in range(P)]).alias("s"), F.array(*[f"s{i}_{j}" for i, j in _PAIRS]).alias("ss"))
+    return sums.select("group", "parent", "start", "n", F.array(*[f"s{i}" for i in range(P)]).alias("s"), F.array(*[f"s{i}_{j}" for i, j in _PAIRS]).alias("ss"))
 
 
-def _starts(vectors: DataFrame) -> DataFrame:
-    """Both starts of every group: the medians, with the quartiles' spread (0) or only the floors (1) as scatter."""
+def _quantiles(vectors: DataFrame) -> DataFrame:
+    """(group, parent, q): for each statistic its median m, the quartiles' distance w and the spread that flat directions count with.
+
+    The spread is the distance of the outer tenths, as that of a normal distribution, and LEAST_SPREADS at least; a
+    source has the spreads of its language.
+    """
     step = 512
-    cells = vectors.select("group", F.posexplode("x").alias("i", "v")).groupBy(
-        "group", "i", F.floor(F.col("v") * step).cast("int").alias("b")
+    cells = vectors.select("group", "parent", F.posexplode("x").alias("i", "v")).groupBy(
+        "group", "parent", "i", F.floor(F.col("v") * step).cast("int").alias("b")
     ).agg(F.count("*").alias("n"))
-    w = W.partitionBy("group", "i")
+    w = W.partitionBy("group", "parent", "i")
     cells = cells.withColumn("below", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("below") >= F.col("all") * q, F.col("b"))) / step
-    spread = cells.groupBy("group", "i").agg(at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("c"))
-    lists = spread.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("i", "m", (F.col("c") - F.col("a")).alias("w")))).alias("q"))
+    found = cells.groupBy("group", "parent", "i").agg(at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("w"), ((at(0.9) - at(0.1)) / 2.563).alias("spread"))
+    least = F.element_at(F.array(*[F.lit(v) for v in LEAST_SPREADS]), F.col("i") + 1)
+    found = found.withColumn("spread", F.greatest("spread", least))
+    lists = cut(found.groupBy("group", "parent").agg(F.array_sort(F.collect_list(F.struct("i", "m", "w", "spread"))).alias("q")), "quantiles")
+    wider = lists.select(F.col("group").alias("_group"), F.transform("q", lambda q: q["spread"]).alias("spread"))
+    source = ~F.col("parent").isin("", "{}")
+    return lists.join(wider, F.when(source, F.col("parent")).otherwise(F.col("group")) == F.col("_group")).drop("_group")
+
+
+def _starts(quantiles: DataFrame) -> DataFrame:
+    """Both starts of every group: the medians, with the quartiles' distance (0) or only the least widths (1) as scatter."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -190,44 +233,56 @@ def _starts(vectors: DataFrame) -> DataFrame:
             for r in frame.itertuples(index=False):
                 centre = [float(q["m"]) for q in r.q]
                 for start, sd in enumerate(([q["w"] / 1.349 for q in r.q], [0.0] * P)):
-                    out.append((r.group, start, centre, *_precision(np.diag(np.square(sd)))))
-            yield pd.DataFrame(out, columns=["group", "start", "centre", "precision", "logdet"])
+                    out.append((r.group, r.parent, start, centre, *_precision(np.diag(np.square(sd)), np.array(r.spread))))
+            yield pd.DataFrame(out, columns=["group", "parent", "start", "centre", "precision", "logdet"])
 
-    return lists.mapInPandas(run, _ESTIMATE)
+    return quantiles.mapInPandas(run, _ESTIMATE)
 
 
-def mcd_estimates(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """(group, centre, precision) of the vectors (group, x array of six)."""
-    now = cut(_starts(vectors), "mcd-start")
-    for _ in range(steps):
-        scored = vectors.join(now, "group").select("group", "start", "x", _bucket(_distance(F.col("x"), F.col("centre"), F.col("precision"))).alias("b"))
+def mcd_estimates(vectors: DataFrame, share: float = SHARE, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(group, centre, precision) of the vectors (group, parent, x array of six); parent: the next wider group, or ''."""
+    quantiles = cut(_quantiles(vectors), "mcd-quantiles")
+    spreads = quantiles.select("group", "spread")
+    now, before = cut(_starts(quantiles), "mcd-start"), None
+    for _ in range(most_steps):
+        guess = now.drop("parent", "logdet")
+        scored = vectors.join(guess, "group").select("group", "parent", "start", "x", _bucket(_distance(F.col("x"), F.col("centre"), F.col("precision"))).alias("b"))
         counts = scored.groupBy("group", "start", "b").agg(F.count("*").alias("n"))
         w = W.partitionBy("group", "start")
         counts = counts.withColumn("below", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
         edge = counts.where(F.col("below") >= F.ceil(F.col("all") * share)).groupBy("group", "start").agg(F.min("b").alias("edge"))
-        inner = scored.join(cut(edge, "mcd-edge"), ["group", "start"]).where("b <= edge")
-        now = cut(_moments(inner).mapInPandas(_from_moments(_consistency(share)), _ESTIMATE), "mcd-step")
+        edge = cut(edge, "mcd-edge")
+        inner = scored.join(edge, ["group", "start"]).where("b <= edge")
+        last, now = now, cut(_estimates(_moments(inner), spreads, _consistency(share)), "mcd-step")
+        forget(last, edge)
+        state = now.agg(F.sum(F.round("logdet", 6))).first()[0]
+        if state is None or (before is not None and abs(state - before) < 1e-5):
+            break
+        before = state
     best = now.groupBy("group").agg(F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("e"))
     best = cut(best.select("group", "e.*"), "mcd-best")
     inner = vectors.join(best, "group").where(_distance(F.col("x"), F.col("centre"), F.col("precision")) <= _quantile(0.975))
-    last = _moments(inner.select("group", "start", "x")).mapInPandas(_from_moments(_consistency(0.975)), _ESTIMATE)
-    return cut(last.select("group", "centre", "precision"), "mcd")
+    inner = inner.select("group", "parent", F.lit(0).alias("start"), "x")
+    last = _estimates(_moments(inner), spreads, _consistency(0.975)).select("group", F.struct("centre", "precision").alias("last"))
+    # a small group may have no row near the estimate that it was drawn to
+    last = best.join(last, "group", "left").select("group", F.coalesce("last", F.struct("centre", "precision")).alias("e"))
+    last = cut(last.select("group", "e.*"), "mcd")
+    forget(now, best, quantiles)
+    return last
 
 
 def quality_rules(
     docs: DataFrame,
     least_words: int = LEAST_WORDS,
     most_repeats: int = MOST_REPEATS,
-    least_rows: int = LEAST_ROWS,
     cutoff: float = CUTOFF,
 ) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, lang, source), with its statistics and the verdict.
 
-    Returns doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, group,
-    distance (squared Mahalanobis distance, null if base_failed or in a group without an estimate) and kept. A null
-    text counts as empty and fails the base rules; a null language or source is a group like any other. Groups of fewer
-    than ``least_rows`` rows share one of their language, and languages with fewer rows left share one ("{}"), which is
-    fitted whatever its size; with one row it keeps that row. An empty table gives no rows; other columns are ignored.
+    Returns doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, group (the
+    language and source as JSON), distance (squared Mahalanobis distance, null if base_failed) and kept. A null text
+    counts as empty and fails the base rules; a null language or source is a group like any other; a row without others
+    is kept. An empty table gives no rows; other columns are ignored.
     """
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     schema = (
@@ -235,9 +290,10 @@ def quality_rules(
         "n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, x array<double>"
     )
     rows = cut(plain.mapInArrow(_scan(least_words, most_repeats), schema), "statistics")
-    groups = cut(_groups(rows, least_rows), "groups")
-    rows = rows.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    estimates = mcd_estimates(rows.where("x IS NOT NULL").select("group", "x")).withColumnRenamed("group", "_group")
+    rows = rows.withColumn("levels", _levels())
+    vectors = rows.where("x IS NOT NULL").select(F.inline("levels"), "x")
+    estimates = mcd_estimates(vectors).withColumnRenamed("group", "_group")
+    rows = rows.withColumn("group", F.get("levels", F.lit(2))["group"])
     rows = rows.join(estimates, F.col("group") == F.col("_group"), "left")
     rows = rows.withColumn("distance", F.when(F.col("x").isNotNull(), _distance(F.col("x"), F.col("centre"), F.col("precision"))))
     return rows.select(
