@@ -11,7 +11,6 @@ alone), whole texts each. Scoring is one scan without a shuffle; a worker scores
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,32 +74,48 @@ class Model(dict):
 
 def fit(rows: list[tuple[str | None, int]], rounds: int = 400, ridge: float = 0.02) -> Model:
     """Learn sentence weights from (text, label) by gradient steps on the noisy-or likelihood."""
-    docs = [[Counter(_WORD.findall(s.lower())) for s in SENTENCE.findall(text or "")] for text, _ in rows]
     y = np.array([label for _, label in rows], float)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model({}, 0.0)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    # texts as numbers of words, and words as numbers of their features: each string is held once
+    numbers: dict[str, int] = {}
+    names: dict[str, int] = {}
+    of_word: list[np.ndarray] = []
+    docs: list[list[np.ndarray]] = []
+    for text, _ in rows:
+        sentences = []
+        for m in SENTENCE.finditer(text or ""):
+            found = _WORD.findall(m[0].lower())
+            for x in found:
+                if x not in numbers:
+                    numbers[x] = len(numbers)
+                    of_word.append(np.array([names.setdefault(f, len(names)) for f in features(x)], np.int32))
+            sentences.append(np.array([numbers[x] for x in found], np.int32))
+        docs.append(sentences)
+    seen = np.zeros((2, len(names)), np.int64)
     for sentences, label in zip(docs, y, strict=True):
-        words = set().union(*sentences) if sentences else set()
-        seen[int(label)].update({f for w in words for f in features(w)})
+        if words := np.unique(np.concatenate(sentences)).tolist() if sentences else []:
+            seen[int(label), np.unique(np.concatenate([of_word[w] for w in words]))] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    ranked = []
-    for f in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][f], seen[0][f]
-        if max(a, b) >= LEAST_DOCS:
-            share = (a + b) / (n0 + n1)
-            z = (a / n1 - b / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1))
-            if abs(z) >= LEAST_Z:
-                ranked.append((-abs(z), f))
-    chosen = {f: i for i, (_, f) in enumerate(sorted(ranked)[:MOST_FEATURES])}
+    b, a = seen
+    share = (a + b) / (n0 + n1)
+    z = np.abs((a / n1 - b / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1)))
+    telling = (np.maximum(a, b) >= LEAST_DOCS) & (z >= LEAST_Z)
+    ranked = sorted((-z[i], f) for f, i in names.items() if telling[i])[:MOST_FEATURES]
+    chosen = {f: k for k, (_, f) in enumerate(ranked)}
+    place = np.full(len(names), -1, np.int32)
+    for f, k in chosen.items():
+        place[names[f]] = k
+    del seen, numbers, names
+    of_word = [p[p >= 0] for p in (place[f] for f in of_word)]
     sentence, column, value, bag = [], [], [], []
     for d, sentences in enumerate(docs):
         for words in sentences:
-            for w, n in words.items():
-                for f in features(w):
-                    if f in chosen:
-                        sentence.append(len(bag)), column.append(chosen[f]), value.append(n)
+            for w, n in zip(*(x.tolist() for x in np.unique(words, return_counts=True)), strict=True):
+                for k in of_word[w].tolist():
+                    sentence.append(len(bag)), column.append(k), value.append(n)
             bag.append(d)
+    del docs, of_word
     sentence, column, value, bag = np.array(sentence, int), np.array(column, int), np.array(value, float), np.array(bag, int)
     w, bias = np.zeros(len(chosen)), -4.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -131,8 +146,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = usable.orderBy(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), "doc_id").limit(most_labels)
-    # at most most_labels rows of an id and a number
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
+    # at most most_labels rows of an id and a number; of texts that repeat an id the smallest hash stands for all
+    text = F.min_by("text", F.xxhash64("text")).alias("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(text, F.max("toxic").alias("toxic"))
+    rows = rows.select("doc_id", "text", "toxic").collect()
     return fit([(t, y) for _, t, y in sorted(rows, key=lambda r: (r[0], r[1] or ""))])
 
 
