@@ -6,14 +6,16 @@ position of every training text is hashed with the same masks and joined with th
 is shuffled. Each hit names a diagonal (text position minus item position), on which the item is laid beside the text
 and the best window is counted token by token. The four masks together hit every window of 16 tokens with up to three
 substitutions, and every one of 20 with up to four. Items shorter than a window are also hashed by three tokens in a
-row, which finds them with every fifth token substituted.
+row, which finds them with every fifth token substituted; items under eight tokens must be equal throughout.
 
-The benchmark's table is broadcast in blocks of at most BLOCK_TOKENS tokens; a larger benchmark takes more blocks, each
-met with all texts, so that no bound on the benchmark's size changes the result.
+The benchmark's table is broadcast in blocks of about BLOCK_TOKENS tokens. A benchmark of one block is met in the scan
+that returns the rows. A larger one takes a pass over the texts for each block, one after another: neither the driver
+nor a worker holds more than one block, and what a pass finds is written down by text before the next one starts.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, gram_hashes, table
+from .common import WordHashes, cut, forget, gram_hashes, lower_ascii, table
 
 #: The token positions that each mask looks at.
 MASKS = ((0, 2, 3, 7, 8, 9), (0, 1, 2, 4, 5, 8), (0, 2, 4, 7, 8, 10), (0, 1, 2, 4, 5, 6))
 #: The mask of items shorter than a window, which the others do not fit often enough.
 SHORT_MASK = (0, 1, 2)
-#: Tokens of a verified window, the share of them that must be equal, and the fewest tokens of an item that can be evidence.
-WINDOW, SIMILARITY, LEAST_TOKENS = 16, 0.8, 8
+#: Tokens of a verified window, the share of them that must be equal, the fewest tokens of an item that can be evidence,
+#: and those from which a token may differ.
+WINDOW, SIMILARITY, LEAST_TOKENS, TOLERANT_TOKENS = 16, 0.8, 4, 8
 #: Tokens of the benchmark in one broadcast block (some 100 MB of tables on each worker at most).
 BLOCK_TOKENS = 1_000_000
 #: Cells (diagonals times item tokens) verified at a time.
@@ -91,7 +94,7 @@ class SeedTable:
     def needed(self, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of an item's window, and how many must be equal."""
         wide = np.minimum(length, self.window)
-        return wide, np.ceil(wide * self.similarity - 1e-9).astype(np.int64)
+        return wide, np.where(length < TOLERANT_TOKENS, wide, np.ceil(wide * self.similarity - 1e-9)).astype(np.int64)
 
     def overlaps(self, text: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item_id, start, item_start, n_tokens, n_equal), the best window of every row and item that share one.
@@ -149,18 +152,30 @@ class SeedTable:
                     best[row, int(item[j])] = x
 
 
-def _blocks(benchmark: DataFrame, block_tokens: int) -> list[list[tuple[int, bytes | None]]]:
-    """The items, in blocks of about block_tokens tokens (a longer item is a block of its own)."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    blocks, size = [[]], 0
-    for i, text in items.toLocalIterator():
-        n = len(text or b"") // 4 + 1
-        if size and size + n > block_tokens:
-            blocks.append([])
-            size = 0
-        size += n
-        blocks[-1].append((i, bytes(text) if text is not None else None))
-    return blocks
+def _scan(seeds, n_kept: int, only_hits: bool):
+    """Texts (the column ``text`` of the last input column, a struct, or that column itself) to their overlaps with one block."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, words = SeedTable(*seeds.value), WordHashes()
+        for batch in batches:
+            last = batch.column(batch.num_columns - 1)
+            texts = last.field(last.type.get_field_index("text")) if pa.types.is_struct(last.type) else last
+            each = [tokens(t) for t in texts.cast(pa.string()).cast(pa.binary()).to_pylist()]
+            n = np.array([len(t) for t in each], np.int64)
+            end = np.cumsum(n)
+            text = words.of((w for t in each for w in t), int(n.sum()))
+            found: list[list[dict]] = [[] for _ in each]
+            full = np.flatnonzero(n)
+            for row, *x in known.overlaps(text, (end - n)[full], end[full]):
+                found[full[row]].append(dict(zip(("item_id", "start", "item_start", "n_tokens", "n_equal"), x, strict=True)))
+            for x in found:
+                x.sort(key=lambda o: o["item_id"])
+            out = pa.RecordBatch.from_arrays(
+                [*batch.columns[:n_kept], pa.array(n), pa.array(found, _OVERLAPS_PA)], [*batch.schema.names[:n_kept], "n_tokens", "overlaps"]
+            )
+            yield out.filter(pa.array([bool(x) for x in found])) if only_hits else out
+
+    return scan
 
 
 def spaced_seed_overlaps(
@@ -175,38 +190,39 @@ def spaced_seed_overlaps(
 
     docs has a column text, benchmark has item_id and text. Tokens are runs of ASCII letters (A-Z as a-z), digits and
     non-ASCII characters. An overlap is the best window of an item in the text: ``n_tokens`` tokens (``window``, or the
-    whole of a shorter item), of which ``n_equal``, at least ``similarity`` of them, are equal place by place. Overlaps
-    are listed by item_id; of equally good windows the first is given. Null or empty texts have none; items of fewer
-    than ``least_tokens`` tokens or without an id are no evidence and match nothing; items that repeat an id count once
-    for each text; empty tables give no rows or no overlaps.
+    whole of a shorter item), of which ``n_equal``, at least ``similarity`` of them, are equal place by place; an item
+    under eight tokens must be equal throughout. Overlaps are listed by item_id; of equally good windows the first is
+    given. Null or empty texts have none; items of fewer than ``least_tokens`` tokens or without an id are no evidence
+    and match nothing; items that repeat an id count once for each text; empty tables give no rows or no overlaps.
     """
-    spark = docs.sparkSession
-    tables = [
-        spark.sparkContext.broadcast((block, window, similarity, least_tokens)) for block in _blocks(benchmark, block_tokens)
-    ]
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    context = docs.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0
+    blocks = max(1, int(-(-total // block_tokens)))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = [SeedTable(*b.value) for b in tables]
-        words = WordHashes()
-        for batch in batches:
-            rows = batch.column(0)
-            texts = rows.field(rows.type.get_field_index("text")).cast(pa.string()).cast(pa.binary()).to_pylist()
-            each = [tokens(t) for t in texts]
-            n = np.array([len(t) for t in each], np.int64)
-            end = np.cumsum(n)
-            text = words.of((w for t in each for w in t), int(n.sum()))
-            found: list[list[dict]] = [[] for _ in texts]
-            full = np.flatnonzero(n)
-            for s in seeds:
-                for row, *x in s.overlaps(text, (end - n)[full], end[full]):
-                    found[full[row]].append(dict(zip(("item_id", "start", "item_start", "n_tokens", "n_equal"), x, strict=True)))
-            for x in found:
-                x.sort(key=lambda o: o["item_id"])
-            yield pa.RecordBatch.from_arrays([rows, pa.array(n), pa.array(found, _OVERLAPS_PA)], ["row", "n_tokens", "overlaps"])
+    def seeds(block: int):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        return context.broadcast(([(i, bytes(t)) for i, t in own.collect()], window, similarity, least_tokens))
 
-    out = T.StructType([wrapped.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("overlaps", OVERLAPS)])
-    return wrapped.mapInArrow(scan, out)
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if blocks == 1:
+        out = T.StructType([wrapped.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("overlaps", OVERLAPS)])
+        return wrapped.mapInArrow(_scan(seeds(0), 1, False), out)
+
+    key = [F.xxhash64("text").alias("h1"), F.md5(F.col("text").cast("string")).alias("h2")]
+    texts = docs.where("text IS NOT NULL").select(*key, F.col("text").cast("string"))
+    out = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("overlaps", OVERLAPS)])
+    found = []
+    for block in range(blocks):
+        shared = seeds(block)
+        found.append(cut(texts.mapInArrow(_scan(shared, 2, True), out).distinct(), "block-overlaps"))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, found).groupBy("h1", "h2").agg(F.array_sort(F.flatten(F.collect_list("overlaps"))).alias("overlaps"))
+    every = cut(every, "overlaps")
+    forget(*found)
+    rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(every, ["h1", "h2"], "left")
+    text = lower_ascii(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    return rows.select("row", F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_tokens"), F.coalesce("overlaps", F.array().cast(OVERLAPS)).alias("overlaps"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
