@@ -2,9 +2,10 @@
 
 All rolling word k-grams of all texts are joined, by hash, with the k-grams of the license templates. Every hit votes
 for the diagonal (text position minus template position) on which the template would lie in that text. Votes are
-counted per diagonal (a vote is four words that agree in a 64-bit hash), neighbouring diagonals that follow one another are merged, which forgives inserted and lost words,
-and a merged span is verified: enough of its words, and enough of a template, are equal. The templates are a fixed
-table of a few hundred k-grams, the one side that is broadcast; texts are never shuffled, only votes are.
+counted per diagonal (a hit whose words differ from the template's is none), neighbouring diagonals that follow one
+another are merged, which forgives inserted and lost words, and a merged span is verified: enough of its words, and
+enough of a template, are equal. The templates are a fixed table of a few hundred k-grams, the one side that is
+broadcast; texts are never shuffled, only votes are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a gram, diagonals and words between spans that are merged, share of a span's words that must be equal, and
 #: equal words that are enough whatever the template's length.
 GRAM, NEAR, BETWEEN, SIMILARITY, ENOUGH = 4, 3, 8, 0.8, 12
+#: The score of a text that names a license without any passage of its templates.
+NAMED = 0.5
 
 #: Fixed phrases of the contract and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -100,8 +103,9 @@ def license_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("w"))
     rows = rows.where(F.size("w") >= GRAM)
     rolling = F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda i: _gram_hash(F.col("w"), i))
-    rolled = rows.select("doc_id", "version", F.posexplode(rolling).alias("p", "hash"))
-    hits = rolled.join(F.broadcast(grams), F.col("hash") == F.col("t_hash"))
+    rolled = rows.select("doc_id", "version", "w", F.posexplode(rolling).alias("p", "hash"))
+    same = F.array_join(F.slice("w", F.col("p") + 1, GRAM), " ") == F.col("t_gram")
+    hits = rolled.join(F.broadcast(grams), (F.col("hash") == F.col("t_hash")) & same).drop("w")
     votes = hits.groupBy("doc_id", "version", "template", "label", "n_template", (F.col("p") - F.col("q")).alias("diagonal")).agg(
         F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_set("q").alias("qs")
     )
@@ -140,7 +144,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): words, phrase places, labels, score and spans.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (coverage of the best span's
-    template, 0 without spans) and spans (null without). A null or empty text has no words, places or spans and score 0;
+    template, a half at least where a phrase stands, else 0 without spans) and spans (null without). A null or empty text has no words, places or spans and score 0;
     rows that repeat a doc_id are judged each by its own text; an empty table gives no rows; other columns are ignored.
     """
     none = F.array().cast("array<int>")
@@ -168,7 +172,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.array_max("at").cast("long").alias("last_word"),
         F.array_join(F.array_sort("names"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("names", more))), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
+        F.greatest(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.when(F.size("at") > 0, F.lit(NAMED)).otherwise(F.lit(0.0))).alias("score"),
         "spans",
     )
 
@@ -202,6 +206,6 @@ b AS (SELECT i.r, count(*) AS n_base, min(p) - 1 AS lo, max(p) - 1 AS hi, list(D
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(b.names), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.names, []), coalesce(k.more, [])))), ','), '') AS labels,
-       coalesce(k.score, 0.0::DOUBLE) AS score
+       greatest(coalesce(k.score, 0.0::DOUBLE), CASE WHEN b.n_base > 0 THEN {NAMED}::DOUBLE ELSE 0.0::DOUBLE END) AS score
 FROM d LEFT JOIN b USING (r) LEFT JOIN k USING (r)
 """
