@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
@@ -180,3 +180,39 @@ def count_phrase(text: Column, phrase: Column) -> Column:
     low, sought = F.lower(text), F.lower(phrase)
     n = (F.length(low) - F.length(F.replace(low, sought, F.lit("")))) / F.length(sought)
     return F.when(F.length(sought) >= 4, n.cast("int")).otherwise(F.lit(0))
+
+
+def clamp(x: Column, least, most) -> Column:
+    return F.greatest(F.least(x, F.lit(most)), F.lit(least))
+
+
+def percent(x: Column, whole: Column) -> Column:
+    """x of a whole in percent; 0 of nothing."""
+    return F.when(whole == 0, F.lit(0.0)).otherwise(x * 100.0 / whole)
+
+
+def union_box(boxes: DataFrame, by: str) -> DataFrame:
+    """(by, x, y, w, h): the box around all boxes (x, y, w, h) of each group."""
+    x, y = F.min("x"), F.min("y")
+    right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    return boxes.groupBy(by).agg(x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h"))
+
+
+def is_blank_picture(fine: Column) -> Column:
+    """Whether under 0.6 % of a fingerprint's cells (hex digits) are two shades or more from its commonest shade."""
+    levels = F.transform(F.filter(F.split(fine, ""), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda v: F.struct(F.size(F.filter(levels, lambda x: x == v)).alias("n"), (-v).alias("v")))
+    common = -F.array_max(counts)["v"]
+    far = F.size(F.filter(levels, lambda x: F.abs(x - common) >= 2))
+    return F.coalesce((F.length(fine) > 0) & (far / F.size(levels) < 0.006), F.lit(False))
+
+
+def iso(x: Column) -> Column:
+    """A moment as text, to the millisecond, in UTC."""
+    return F.concat(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
+def renamed_pairs(pairs: Column, names: Column) -> Column:
+    """A map with its keys by other names; pairs without a name or a value go."""
+    known = F.map_filter(pairs, lambda k, v: v.isNotNull() & F.map_contains_key(names, k))
+    return F.transform_keys(known, lambda k, v: F.element_at(names, k))

@@ -1 +1,3 @@
-"""quizlode plans."""
+"""Operators as registered queries."""
+
+from . import queries, screens, stored  # noqa: F401

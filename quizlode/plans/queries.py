@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, similarity, text
 from ..operators import bank, engine, evidence, exam, export, geometry, layout, lookup, quiz, records, resolve
 from ..sources import adapters, csv_bank, table, work_folder
+from .registry import QUERIES, SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query by its function's name."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 def joined(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda v: v.cast("string")), ",")

@@ -96,3 +96,63 @@ def positioned_pages(spark: SparkSession, folder: str) -> DataFrame:
     item = lambda x, y: F.struct(x.alias("str"), F.lit(160.0).alias("x"), y.cast("double").alias("y"), (F.length(x) * 5.2).cast("double").alias("w"), F.lit(11.0).alias("h"))
     items = F.transform(F.concat(lines, F.array(F.lit("https://example.org/review"))), lambda x, i: item(x, 40 + 16 * i))
     return rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").alias("page"), items.alias("items"))
+
+
+def _one_of(x, *values: str):
+    """The value at x modulo their number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (x % len(values) + 1).cast("int"))
+
+
+#: Statuses that the projections below give out in turn.
+ANSWERS, EXTRACTIONS = ("CONFLICT", "NEEDS_REVIEW", "UNRESOLVED", "CONFIRMED_BY_SCORE"), ("PARSED", "NEEDS_REVIEW", "FAILED")
+
+
+def document_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of orders: document_id, filename, subject, stage, created_at, and a nested column."""
+    rows = table(spark, folder, "orders")
+    return rows.select(
+        F.col("o_orderkey").alias("document_id"), F.concat(F.lit("file"), F.col("o_custkey").cast("string")).alias("filename"), F.col("o_orderpriority").alias("subject"),
+        F.col("o_orderstatus").alias("stage"), F.col("o_orderdate").alias("created_at"), F.struct("o_totalprice").alias("profile"),
+    )
+
+
+def canonical_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Canonical questions of parts: id, stem, subject, question_type, statuses, in_bank, confidence, updated_at, keys."""
+    size = F.col("p_size")
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("stem"), F.col("p_brand").alias("subject"), F.col("p_type").alias("question_type"), _one_of(size, *ANSWERS).alias("answer_status"),
+        F.lit("PENDING").alias("review_status"), (size % 2 == 0).alias("in_bank"), (size / 50).alias("confidence"), F.col("p_retailprice").alias("updated_at"),
+        F.array(_one_of(size, "A", "B", "C")).alias("keys"), F.split(F.lit("A,B,C,D"), ",").alias("valid_keys"),
+    )
+
+
+def instance_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Instances of lineitem: id, document_id, attempt_id, sequence, canonical_id, statuses, votes."""
+    rows = table(spark, folder, "lineitem")
+    order = F.col("l_orderkey")
+    return rows.select(
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), order.alias("document_id"), (F.col("l_suppkey") % 3).alias("attempt_id"),
+        F.col("l_linenumber").alias("sequence"), F.col("l_partkey").alias("canonical_id"), _one_of(F.col("l_quantity").cast("int"), *EXTRACTIONS).alias("extraction_status"),
+        _one_of(F.col("l_suppkey"), *ANSWERS).alias("answer_status"), F.col("l_quantity").cast("long").alias("votes"),
+    )
+
+
+def task_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Review tasks of events: task_id, canonical_id, document_id, kind, status."""
+    rows = table(spark, folder, "events")
+    status = F.when(F.col("value") > 50, "RESOLVED").otherwise("OPEN")
+    kind = F.when(F.col("event_type") == "error", "POSSIBLE_DUPLICATE").otherwise(F.upper("event_type"))
+    return rows.select(F.col("event_id").alias("task_id"), (F.col("event_id") % 400).alias("canonical_id"), F.col("user_id").alias("document_id"), kind.alias("kind"), status.alias("status"))
+
+
+def flat_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Flat questions of parts: id, number, question, options map, answer, status, confidence, category, image_id, tags, text."""
+    size = F.col("p_size")
+    answer = F.when(size % 3 != 0, _one_of(size, "A", "B", "Z"))
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_partkey").alias("number"), F.col("p_name").alias("question"), F.create_map(F.lit("A"), F.col("p_brand"), F.lit("B"), F.col("p_type")).alias("options"),
+        answer.alias("answer"), F.when(answer.isNull(), "missing_answer").when(size % 5 == 1, "needs_review").otherwise("answered").alias("status"),
+        F.when(size > 35, "high").when(size > 15, "medium").otherwise("needs-review").alias("confidence"), F.col("p_brand").alias("category"),
+        F.when(size % 7 == 0, F.concat(F.lit("img"), size.cast("string"))).alias("image_id"), F.when(size % 11 == 0, F.array(F.lit("figure"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+        F.when(size % 4 == 0, F.lit("typed")).alias("answer_text"),
+    )
