@@ -34,6 +34,23 @@ def sentence_evidence(questions: DataFrame, sources: DataFrame, least: float = 0
     return hits.withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= least).select("question_id", "source_id", "pos", "score")
 
 
+def phrase_places(sources: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(item_id, source_id, n): how often a whole phrase (item_id, phrase) stands in a text (source_id, key), if it does.
+
+    Both are normalised to words between single blanks. A text meets the phrases that begin with two of its neighbouring
+    words (a join on those), and is searched for those alone; phrases of one word are no evidence.
+    """
+    words = F.split("key", " ")
+    pair = lambda i, w: F.concat(w, F.lit(" "), F.get(F.col("w"), i + 1))
+    held = sources.withColumn("w", words).select("source_id", F.explode(F.array_distinct(F.slice(F.transform("w", lambda w, i: pair(i, w)), 1, F.greatest(F.size("w") - 1, F.lit(0))))).alias("pair"))
+    asked = phrases.where(F.col("phrase").contains(" ")).withColumn("pair", F.substring_index("phrase", " ", 2))
+    met = held.join(asked, "pair").select("item_id", "phrase", "source_id")
+    key = F.concat(F.lit(" "), F.col("key"), F.lit(" "))
+    left = F.replace(key, F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")), F.lit("  "))
+    found = met.join(sources.select("source_id", "key"), "source_id").withColumn("n", ((F.length(key) - F.length(left)) / F.length("phrase")).cast("long"))
+    return found.where("n > 0").select("item_id", "source_id", "n")
+
+
 def pick_winner(scores: DataFrame, least: float, margin: float) -> DataFrame:
     """(question_id, winner, score): the best of scores (question_id, label, score) if it is high and far enough ahead."""
     top = scores.groupBy("question_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "label")))), 1, 2).alias("t"))

@@ -79,12 +79,11 @@ def bank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stems(spark: SparkSession, folder: str) -> DataFrame:
-    """Question stems of documents: the first 200 characters of the matching key, options from language and source."""
+    """Whole texts of documents as question stems, options from language and source."""
     from ..functions import text
 
     docs = table(spark, folder, "documents")
-    key = F.substring(text.dedupe_key(F.col("text")), 1, 200)
-    return docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("stem"), key.alias("key"), F.array("lang", "source").alias("options"), F.lit("SINGLE_CHOICE").alias("type"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("stem"), text.dedupe_key(F.col("text")).alias("key"), F.array("lang", "source").alias("options"), F.lit("SINGLE_CHOICE").alias("type"))
 
 
 def positioned_pages(spark: SparkSession, folder: str) -> DataFrame:
