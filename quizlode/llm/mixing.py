@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
 Every row gets a hash-random key. Rows are ranged by that key within their source (equal key ranges, so that even a
-source with a third of all rows is spread evenly), token counts are summed per range, the sums of the ranges become
-offsets, and a running sum inside each range completes a prefix sum over the whole source that no single task ever
-sees. The mix is cut where the prefix sum reaches the source's budget; a source whose budget exceeds its size is
-repeated: full epochs first, then the cut.
+source with a third of all rows is spread evenly), token counts are summed per range, and the sums of the ranges become
+offsets: a prefix sum over the whole source that no single task ever sees. The mix is cut where the prefix sum reaches
+the source's budget; a source whose budget exceeds its size is repeated: full epochs first, then the cut.
+
+Only one range of a source holds its cut. A running sum over the ids and sizes of that range finds the row at the cut;
+every other row is judged where it lies, by comparing its key with the one of that row, so no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from .common import WORD, cut, table
 
 #: Bits of a row's random key; the first RANGE_BITS of them name its range within the source.
 KEY_BITS, RANGE_BITS = 60, 12
+#: Rows of some 100 bytes, one for each source, up to which they are broadcast; beyond, rows are joined by source.
+MOST_SOURCES = 100_000
 
 
 def random_key(doc_id: Column, seed: int) -> Column:
@@ -72,35 +76,60 @@ def mix_sources(
     (words taken, repeats counted) and the columns of ``carry``. The sum of ``taken`` over a source is the whole part
     of its target; the document at the cut is taken in part. Null texts have size 0 and take nothing; a null source is
     a source of its own, the last; rows that repeat a doc_id are ordered by size among themselves; an empty table gives
-    no rows; other columns of ``docs`` are ignored.
+    no rows; other columns of ``docs`` are ignored. A carried column named as one of the five gives way to it.
     """
-    rows = docs.select(
+    keyed = docs.select(
         F.col("doc_id").alias("doc_id"),
-        F.col("source").alias("_source"),
+        _source_key(F.col("source")).alias("_in"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         random_key(F.col("doc_id"), seed).alias("_key"),
-        *([F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("_carry")] if carry else []),
-    ).withColumn("_range", F.shiftright("_key", KEY_BITS - RANGE_BITS))
-    ranges = cut(rows.groupBy("_source", "_range").agg(F.sum("size").alias("_sum")), "mix-ranges")
-    targets = source_targets(
-        ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size")), list(weights), share, most_epochs
-    )
-    in_source = W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_sum").over(in_source), F.lit(0)))
-    offsets = offsets.join(targets, F.col("_source").eqNullSafe(F.col("source"))).select(
-        _source_key(F.col("_source")).alias("_s"), F.col("_range").alias("_r"), "_before", "source_size", "target"
+        F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row"),
     )
-    rows = rows.withColumn("_in", _source_key(F.col("_source")))
-    placed = rows.join(cut(offsets, "mix-offsets"), (F.col("_in") == F.col("_s")) & (F.col("_range") == F.col("_r")))
-    in_range = W.partitionBy("_in", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("size").over(in_range), F.lit(0))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    placed = placed.withColumn("_start", start).withColumn("_epochs", epochs)
-    left = F.floor("target") - F.col("_epochs") * F.col("source_size") - F.col("_start")
-    taken = F.col("_epochs") * F.col("size") + F.least(F.col("size"), F.greatest(left, F.lit(0)))
+    cuts = cut(source_cuts(keyed.drop("_row"), list(weights), share, most_epochs), "mix-cuts")
+    few, copies = cuts.agg(F.count("*") <= MOST_SOURCES, F.max("_copies")).first()
+    placed = keyed.join(F.broadcast(cuts) if few else cuts, F.col("_in") == F.col("_s"))
+    own = F.struct("_key", "doc_id", "size")
+    first_copy = F.least(F.col("size"), F.col("_left"))
+    at_cut = F.coalesce(own == F.col("_at"), F.lit(False))
+    taken = F.when(at_cut, first_copy).when(own < F.col("_at"), F.col("size")).otherwise(F.lit(0))
+    placed = placed.withColumn("_more", taken)
+    if copies and copies > 1:
+        # rows that repeat the id and size at a cut take of what is left one after another
+        ordinal = F.row_number().over(W.partitionBy("_in").orderBy(F.xxhash64(F.col("_row.text")))) - 1
+        again = F.least(F.col("size"), F.greatest(F.col("_left") - ordinal * F.col("size"), F.lit(0)))
+        placed = placed.where(~at_cut).unionByName(placed.where(at_cut).withColumn("_more", again))
     return placed.select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col("_carry")[c].alias(c) for c in carry if c != "doc_id"]
+        "doc_id", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_more")).cast("long").alias("taken"),
+        *[F.col("_row")[c].alias(c) for c in carry if c not in ("doc_id", "size", "source_size", "target", "taken")],
+    )
+
+
+def source_cuts(keyed: DataFrame, weights: list[float], share: float, most_epochs: float) -> DataFrame:
+    """One row for each source of ``keyed`` (doc_id, _in, size, _key): its target, full epochs, and the row at its cut.
+
+    _at is that row as (_key, doc_id, size), null in a source without words; _left is what it takes and _copies how many
+    rows are equal to it.
+    """
+    keyed = keyed.withColumn("_range", F.shiftright("_key", KEY_BITS - RANGE_BITS))
+    ranges = cut(keyed.groupBy("_in", "_range").agg(F.sum("size").alias("_sum")), "mix-ranges")
+    sizes = ranges.groupBy("_in").agg(F.sum("_sum").alias("source_size"))
+    sizes = sizes.select(F.when(F.col("_in") != "", F.substring("_in", 2, 1 << 30)).alias("source"), "source_size")
+    targets = source_targets(sizes, weights, share, most_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    targets = targets.select(_source_key(F.col("source")).alias("_s"), "source_size", "target", epochs.cast("long").alias("_epochs"))
+    targets = targets.withColumn("_whole", F.floor("target") - F.col("_epochs") * F.col("source_size"))
+    targets = cut(targets, "mix-targets")
+    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy("_in").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = offsets.join(targets, F.col("_in") == F.col("_s")).where("_before <= _whole AND _whole < _before + _sum")
+    inside = cut(inside.select("_s", F.col("_range").alias("_r"), "_before", "_whole"), "mix-inside")
+    near = keyed.join(inside, (F.col("_in") == F.col("_s")) & (F.col("_range") == F.col("_r")))
+    before = W.partitionBy("_in").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    near = near.withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    equal = near.groupBy(F.col("_in").alias("_of"), F.struct("_key", "doc_id", "size").alias("_at")).agg(
+        (F.first("_whole") - F.min("_start")).alias("_left"), F.count("*").alias("_copies")
     )
+    found = equal.where((F.col("_left") >= 0) & (F.col("_left") < F.col("_copies") * F.col("_at")["size"]))
+    return targets.join(found, F.col("_s") == F.col("_of"), "left").drop("_of", "_whole")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
