@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlode.llm import line_templates, minhash, mixing, spaced_seeds, toxicity
-from quizlode.llm.common import cut, table
+from quizlode.llm.common import cut, forget, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,7 +39,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Documents without words are in no group and stay; of rows that repeat an id, all stay or none.
     """
     kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(cut(kept.withColumnRenamed("doc_id", "_kept"), "kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = cut(kept.withColumnRenamed("doc_id", "_kept"), "kept").hint("merge")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{k}")
+            before, docs = docs, cut(docs, f"stage-{k}")
+            forget(before)
     return docs

@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(importlib.import_module(__package__))
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: The words a worker remembers the hash of, before it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,11 @@ rarely. What passes is confirmed on the full sets.
 No bucket is ever expanded into all its pairs. First every member is compared with the smallest one of its bucket, and
 the confirmed links are joined to components. Then only buckets that still hold more than one component are looked at
 again: there each member outside the bucket's largest component is compared, by signature and inside the join, with the
-members of the other components. Links inside one component can't change the result.
+members of the other components, large buckets in parts. Links inside one component can't change the result, and of the
+links between two components one that the full sets confirm is enough.
+
+Texts are joined with the ids that ask for them by sort-merge at every size: those ids grow with the corpus, so they
+are no side to broadcast.
 
 A class is compared by one text, that of its smallest doc_id, known by doc_id and version (a hash of the text): rows that
 repeat it count once, and an id with several texts has a class, a place in the buckets and differences for each.
@@ -25,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, gram_hashes, mix, odd_constants, table
+from .common import WordHashes, cut, forget, gram_hashes, mix, odd_constants, table
 from .graph import connected_components
 
 #: Minima of a signature, minima of a band, bits kept of each minimum.
 MINIMA, ROWS, BITS = 128, 5, 4
 #: By how much an estimate may lie below the similarity asked for.
 MARGIN = 0.17
+#: Members of a bucket that one task compares with those outside the largest component.
+PART = 256
 
 _A = odd_constants(MINIMA, 11)
 _B = odd_constants(MINIMA, 12)
@@ -136,6 +142,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, uversion, v, vversion, a, b): pairs with their texts; both joins read one exchange of the texts."""
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("text").alias("_text"))
     its = lambda x: (F.col(x) == F.col("_id")) & (F.col(f"{x}version") == F.col("_version"))
+    texts = texts.hint("merge")
     with_v = pairs.join(texts, its("v")).select("u", "uversion", "v", "vversion", F.col("_text").alias("b"))
     return with_v.join(texts, its("u")).select("u", "uversion", "v", "vversion", F.col("_text").alias("a"), "b")
 
@@ -210,13 +217,13 @@ def _differences(size: int, similarity: float):
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(bucket, doc_id, version, component, largest) of the buckets that hold several components."""
-    found = cut(connected_components(links), "components")
+    """(bucket, doc_id, version, component, largest, bucket_size) of the buckets that hold several components."""
+    found = connected_components(links)
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = cut(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
     several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     parts = placed.join(several.select("bucket"), "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    largest = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("bucket_size"))
     return placed.join(largest, "bucket")
 
 
@@ -229,7 +236,7 @@ def _central(members: DataFrame, signed: DataFrame, links: DataFrame, plain: Dat
     """
     text_id = ["doc_id", "version"]
     open_ = cut(_open(members.select("bucket", *text_id), links), "open")
-    texts = plain.join(open_.select(*text_id).distinct(), text_id, "left_semi")
+    texts = plain.join(open_.select(*text_id).distinct().hint("merge"), text_id, "left_semi")
     sets = texts.select(*text_id, "text").mapInArrow(_sets(size), "doc_id long, version long, shingle long")
     owned = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct(*text_id)).alias("owner")).where("n = 1")
     lone = owned.groupBy("owner").agg((F.count("*") - 1).alias("lone")).select("owner.*", "lone")
@@ -242,12 +249,15 @@ def _central(members: DataFrame, signed: DataFrame, links: DataFrame, plain: Dat
     pairs = members.select(F.col("hub").alias("u"), F.col("hub_version").alias("uversion"), F.col("doc_id").alias("v"), F.col("version").alias("vversion"))
     pairs = cut(pairs.distinct(), "central-pairs")
     found = cut(_with_texts(pairs, plain).mapInArrow(_differences(size, similarity), _DIFFERENCES), "differences")
+    before = links
     links = cut(links.unionByName(found.where("linked AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), "central-links")
     told = found.select(
         F.col("u").alias("hub"), F.col("uversion").alias("hub_version"), F.col("v").alias("doc_id"), F.col("vversion").alias("version"), "hub_shingles", "missing", "extra"
     )
     again = _open(members.select("bucket", *text_id), links).join(members, ["bucket", *text_id]).join(told, ["hub", "hub_version", *text_id])
-    return links, cut(again, "open-again")
+    again = cut(again, "open-again")
+    forget(before, open_, pairs, found, members)
+    return links, again
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -277,7 +287,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     members = cut(spread.join(hubs, "bucket"), "buckets")
     # the only texts that are looked at again, each once; they go through one shuffle of all texts and are few afterwards
     text_id = ["doc_id", "version"]
-    shared = plain.where("text IS NOT NULL").join(members.select(*text_id).distinct(), text_id, "left_semi")
+    shared = plain.where("text IS NOT NULL").join(members.select(*text_id).distinct().hint("merge"), text_id, "left_semi")
     plain = cut(shared.dropDuplicates(text_id), "shared-texts")
     signed = classes.select(*text_id, "n_shingles", "signature")
     u, v = (
@@ -292,24 +302,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
     # the second look: buckets that still hold several components, less what the rare shingles rule out
     links, open_ = _central(members, signed, links, plain, shingle_words, similarity)
+    salts = F.ceil(F.col("bucket_size") / PART)
+    salt = {"u": F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)), "v": F.pmod(F.xxhash64(*text_id), salts)}
     x, y = (
         open_.select(
-            F.col("bucket").alias(f"k{i}"), F.col("doc_id").alias(i), F.col("component").alias(f"c{i}"), F.col("largest").alias(f"l{i}"),
-            F.col("n_shingles").alias(f"n{i}"), F.col("signature").alias(f"s{i}"), F.col("common").alias(f"m{i}"),
-            F.col("hub_shingles").alias(f"h{i}"), F.col("missing").alias(f"without{i}"), F.col("extra").alias(f"with{i}"),
+            F.col("bucket").alias(f"k{i}"), F.col("doc_id").alias(i), F.col("version").alias(f"{i}version"), F.col("component").alias(f"c{i}"),
+            F.col("largest").alias(f"l{i}"), F.col("n_shingles").alias(f"n{i}"), F.col("signature").alias(f"s{i}"), F.col("common").alias(f"m{i}"),
+            F.col("hub_shingles").alias(f"h{i}"), F.col("missing").alias(f"without{i}"), F.col("extra").alias(f"with{i}"), salt[i].alias(f"p{i}"),
         )
         for i in "uv"
     )
     once = (F.col("cv") == F.col("lv")) | (F.col("u") < F.col("v"))
     alike = _possible(similarity) & _alike(similarity) & _linked(similarity)
-    across = x.where("cu <> lu").join(y, (F.col("ku") == F.col("kv")) & (F.col("cu") != F.col("cv")) & once & alike)
-    more = cut(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "rest-links")
-    final = cut(connected_components(links.unionByName(more)), "components")
+    across = x.where("cu <> lu").join(y, (F.col("ku") == F.col("kv")) & (F.col("pu") == F.col("pv")) & (F.col("cu") != F.col("cv")) & once & alike)
+    between = [F.least("cu", "cv").alias("c"), F.greatest("cu", "cv").alias("d")]
+    pair = ["u", "uversion", "v", "vversion"]
+    one = cut(across.groupBy(*between).agg(F.min(F.struct(*pair)).alias("p")).select("c", "d", "p.*"), "rest-pairs")
+    more = cut(confirmed(one.select(*pair), plain, shingle_words, similarity).distinct(), "rest-links")
+    failed = one.join(more, ["u", "v"], "left_anti").select("c", "d")
+    if not failed.isEmpty():  # two hashes were equal by chance: all links of those components are confirmed
+        rest = across.select(*between, *pair).join(failed.distinct(), ["c", "d"], "left_semi").select(*pair).distinct()
+        more = cut(more.unionByName(confirmed(rest, plain, shingle_words, similarity)), "rest-links-all")
+    final = connected_components(cut(links.unionByName(more), "all-links"))
 
     named = classes.select("class", F.col("doc_id").alias("first")).join(
         final.select(F.col("node").alias("first"), "component"), "first", "left"
     )
     named = cut(named.select(F.col("class").alias("_class"), F.coalesce("component", "first").alias("component")), "class-components")
+    forget(classes, members, plain, links, open_, one, more)
     out = rows.select("doc_id", "n_shingles", "class").join(named, F.col("class") == F.col("_class"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
