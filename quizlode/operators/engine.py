@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from . import evidence
+from . import evidence, layout
 
 PAGE = (
     "document_id string, page int, items array<struct<str:string,x:double,y:double,w:double,h:double>>"
@@ -330,6 +330,13 @@ def answers(rows: DataFrame) -> DataFrame:
     )
 
 
+def running_heads(lines: DataFrame) -> DataFrame:
+    """(document_id, key) of the lines that run through a document's pages at their margins."""
+    plain = lines.select(F.col("document_id").alias("document"), "page", "pos", F.col("text").alias("line"))
+    return layout.running_noise(plain).select(F.col("document").alias("document_id"), "key")
+
+
 def analyze(pages: DataFrame) -> DataFrame:
-    """Pages to answered instances."""
-    return answers(instances(segment(classify(build_lines(pages)))))
+    """Pages to answered instances; running heads are noise."""
+    lines = build_lines(pages)
+    return answers(instances(segment(classify(lines, running_heads(lines)))))

@@ -72,3 +72,54 @@ def solve_by_score(n_options: Column, picked: Column, grade: Column, tolerance:
 def attempts(rows: DataFrame) -> DataFrame:
     """(attempt_id, question_count, first_page, end_page) of question rows (attempt_id, page)."""
     return rows.groupBy("attempt_id").agg(F.count("*").alias("question_count"), F.min("page").alias("first_page"), F.max("page").alias("end_page"))
+
+
+def typed_answer(n_options: Column, inline: Column, response: Column, kind: Column) -> Column:
+    """(text_answer, status, confidence, complete) of a question without options, from an answer printed after it or typed in.
+
+    What the document prints after the question counts most; a typed response counts by its score, and a zero score only
+    tells what is wrong.
+    """
+    said = F.nullif(F.trim(inline), F.lit(""))
+    typed = F.nullif(F.trim(response), F.lit(""))
+    out = lambda x, status, confidence, complete: F.struct(
+        x.cast("string").alias("text_answer"), F.lit(status).alias("status"), F.lit(confidence).cast("double").alias("confidence"), F.lit(complete).alias("complete")
+    )
+    none = out(F.lit(None), "UNRESOLVED", 0.0, False)
+    return (
+        F.when(n_options > 0, none)
+        .when(said.isNotNull(), out(said, "CONFIRMED_BY_DOCUMENT", 0.88, True))
+        .when(typed.isNotNull() & (kind == "FULL_SCORE"), out(typed, "CONFIRMED_BY_SCORE", 0.92, True))
+        .when(typed.isNotNull() & (kind == "PARTIAL_SCORE"), out(typed, "NEEDS_REVIEW", 0.5, False))
+        .otherwise(none)
+    )
+
+
+def matching_answer(pairs: Column, kind: Column) -> Column:
+    """(matching, status, confidence, complete) of options with pairs (text, pair), if all of two and more have one."""
+    whole = (F.size(pairs) >= 2) & F.forall(pairs, lambda p: F.coalesce(p["pair"], F.lit("")) != "")
+    full = kind == "FULL_SCORE"
+    answer = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["text"].alias("key"), p["pair"].alias("value"))))
+    return F.when(
+        whole,
+        F.struct(
+            answer.alias("matching"), F.when(full, "CONFIRMED_BY_SCORE").otherwise("NEEDS_REVIEW").alias("status"), F.when(full, 0.9).otherwise(0.5).alias("confidence"), full.alias("complete")
+        ),
+    )
+
+
+#: Issues after which a person should look at a question.
+BLOCKING_ISSUES = (
+    "EMPTY_STEM", "NO_OPTIONS", "SINGLE_OPTION", "UNKNOWN_MARK_GLYPH", "UNASSOCIATED_MARK", "FEEDBACK_UNMATCHED", "FULL_SCORE_WITH_CROSS", "FEEDBACK_CONTRADICTS_MARKS",
+    "SINGLE_CHOICE_MULTIPLE_CORRECT", "BOUNDARY_UNCERTAIN", "LOW_OCR_CONFIDENCE", "FORMULA_FROM_OCR", "IMAGE_REFERENCED_BUT_NOT_FOUND", "DUPLICATE_OPTIONS", "EMPTY_OPTION",
+    "MARK_NOT_ASSOCIATED", "FORMULA_EXPONENT_MAY_BE_FLATTENED", "FORMULA_EXPONENT_DIGITS_MERGED", "FORMULA_REPLACEMENT_CHAR", "ORDER_CODES_INCOMPLETE",
+)
+
+
+def extraction(stem: Column, n_options: Column, issues: Column, confidence: Column, kind: Column, answer_status: Column, answer_confidence: Column) -> Column:
+    """(extraction_status, confidence) of an instance: nothing read, something in doubt, or parsed; an answer limits confidence."""
+    blocked = F.arrays_overlap(F.coalesce(issues, F.array().cast("array<string>")), F.array(*[F.lit(i) for i in BLOCKING_ISSUES]))
+    empty = (F.coalesce(stem, F.lit("")) == "") & (n_options == 0)
+    status = F.when(empty, "FAILED").when(blocked | (confidence < 0.6) | (kind == "UNKNOWN"), "NEEDS_REVIEW").otherwise("PARSED")
+    backed = 0.5 + 0.5 * F.greatest(answer_confidence, F.when(answer_status == "UNRESOLVED", 0.6).otherwise(0.0))
+    return F.struct(status.alias("extraction_status"), F.round(F.least(confidence, backed), 2).alias("confidence"))
