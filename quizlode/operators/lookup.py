@@ -112,3 +112,10 @@ def search_tally(hits: DataFrame) -> DataFrame:
     best = counts.groupBy("question_id").agg(F.max("n").alias("n"))
     tied = counts.join(best, ["question_id", "n"]).groupBy("question_id", "n").agg(F.count("*").alias("titles"), F.min("title").alias("title"))
     return tied.where("n >= 2 AND titles = 1").select("question_id", "title", "n")
+
+
+def resolve_titles(asked: DataFrame, normalized: DataFrame, redirects: DataFrame, documents: DataFrame) -> DataFrame:
+    """(asked, title, url): the document (title, url) that a title stands for, through its normal form (from, to) and a redirect (from, to)."""
+    step = lambda rows, names: rows.join(names.select(F.col("from").alias("title"), "to"), "title", "left").select("asked", F.coalesce("to", "title").alias("title"))
+    rows = step(step(asked.select("asked", F.col("asked").alias("title")), normalized), redirects)
+    return rows.join(documents.select("title", "url"), "title").select("asked", "title", "url")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .bank import answer_keys
 
 #: Limits of an incoming page: items, characters of an item, width and height where none is given.
@@ -107,3 +108,48 @@ def valid_uploads(files: DataFrame, most_bytes: int = 150 << 20) -> DataFrame:
     named = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
     fits = F.lower("name").endswith(".pdf") & (F.col("length") > 0) & (F.col("length") <= most_bytes)
     return named.where(fits).groupBy("name", "length", "modified").agg(F.min("path").alias("path"))
+
+
+_ITEM = "struct<number:string,question:string,options:map<string,string>,correctAnswer:string,explanation:string>"
+
+
+def parse_answers(replies: DataFrame) -> DataFrame:
+    """Questions of JSON replies (id, json), a list or an object with one: number, question, options, answer, confidence, status.
+
+    Code fences around the JSON go, keys of options and answers are normalised, and an answer "unknown" is none. Confidence
+    is by the number of options, and high only if the answer is one of four. A reply that is no such JSON has no rows.
+    """
+    plain = text.strip(F.regexp_replace("json", "(?i)```(?:json)?", ""))
+    items = F.when(plain.startswith("["), F.from_json(plain, f"array<{_ITEM}>")).otherwise(F.from_json(plain, f"struct<questions:array<{_ITEM}>>")["questions"])
+    rows = replies.select("id", F.posexplode(items).alias("i", "x")).where(F.coalesce(F.col("x.question"), F.lit("")) != "")
+    options = F.transform_values(F.transform_keys(F.coalesce("x.options", F.create_map().cast("map<string,string>")), lambda k, v: text.option_key(k)), lambda k, v: F.trim(v))
+    answer = text.option_key(F.nullif(F.col("x.correctAnswer"), F.lit("")))
+    rows = rows.select("id", "i", "x", options.alias("options"), F.when(~F.lower(answer).isin("unknown", "null"), answer).alias("answer"))
+    n, known = F.size("options"), F.map_contains_key("options", F.coalesce("answer", F.lit("")))
+    confidence = F.when((n >= 4) & known, "high").when((n >= 3) & F.col("answer").isNotNull(), "medium").otherwise("needs-review")
+    status = F.when(confidence != "needs-review", "answered").when((n >= 3) & F.col("answer").isNull(), "missing_answer").otherwise("needs_review")
+    number = F.coalesce(F.try_to_number(F.regexp_extract("x.number", "^[0-9]{1,9}", 0), F.lit("999999999")).cast("int"), F.col("i") + 1)
+    return rows.select("id", number.alias("number"), F.trim("x.question").alias("question"), "options", "answer", confidence.alias("confidence"), status.alias("status"), F.col("x.explanation").alias("explanation"))
+
+
+#: Prompts of figures, and from which share of a stem's words on they are a figure's captions.
+FIGURE_PROMPT, CAPTION_SHARE, LEAST_WORD = r"^(?:Назовите|Укажите|Подпишите|Обозначьте|Определите)", 0.6, 4
+
+
+def figure_noise(questions: DataFrame, figures: DataFrame) -> DataFrame:
+    """(id): questions (id, page, question, options map) that are a figure's list of labels read as text.
+
+    figures: first_page, last_page, labels (array). A question on their pages or the one before is noise if it lists
+    numbers, ends in one, is a prompt with numbered options, or consists of their captions' words.
+    """
+    pages = figures.select(F.explode(F.sequence(F.greatest(F.col("first_page") - 1, F.lit(1)), F.col("last_page"))).alias("page")).distinct()
+    words = lambda x: F.array_distinct(F.filter(F.split(F.translate(F.lower(x), "ё", "е"), r"[^\p{L}]+"), lambda w: F.length(w) >= LEAST_WORD))
+    captions = figures.select(F.explode("labels").alias("l")).select(F.explode(words(F.col("l"))).alias("word")).distinct().withColumn("known", F.lit(1))
+    near = questions.join(pages, "page", "left_semi")
+    listed = F.regexp_count("question", F.lit(r"(?:^|\s)\d{1,2}[.)]\s")) >= 2
+    cut_off = F.col("question").rlike(r"(?:^|\s)\d{1,2}[.)]?\s*$") & F.col("question").rlike(r"^[^?]*\p{L}")
+    numbered = F.size(F.filter(F.map_values("options"), lambda o: o.rlike(r"\s\d{1,2}[.)]\s")))
+    prompt = (numbered >= 1) & (F.size("options") >= 2) & F.col("question").rlike(f"(?iu){FIGURE_PROMPT}")
+    said = near.select("id", (listed | cut_off | prompt).alias("bare"), F.explode_outer(words(F.col("question"))).alias("word")).join(captions, "word", "left")
+    share = said.groupBy("id").agg(F.max("bare").alias("bare"), F.count("word").alias("n"), F.count("known").alias("hits"))
+    return share.where(F.col("bare") | (F.col("n") == 0) | (F.col("hits") >= CAPTION_SHARE * F.col("n"))).select("id")

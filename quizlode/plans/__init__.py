@@ -1,3 +1,3 @@
 """Operators as registered queries."""
 
-from . import composed, queries, screens, stored  # noqa: F401
+from . import composed, queries, reviewed, screens, stored  # noqa: F401
