@@ -78,14 +78,14 @@ def review_tasks(tasks: DataFrame, canonicals: DataFrame, documents: DataFrame,
 
 
 def duplicate_groups(rows: DataFrame, key: Column) -> DataFrame:
-    """(id, others): the ids that share a non-empty key, for rows (id) that have such."""
+    """(id, first, size) of rows (id) that share a non-empty key with others: their group's smallest id, and how many it has."""
     keyed = rows.select("id", key.alias("key")).where("key <> ''")
-    groups = keyed.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
-    return groups.select(F.explode("ids").alias("id"), "ids").select("id", F.array_remove("ids", F.col("id")).alias("others"))
+    groups = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    return keyed.join(groups, "key").select("id", "first", "size")
 
 
 def dedupe(rows: DataFrame, key: Column, has_answer: Column) -> DataFrame:
-    """One row (id, attempts, ...) per key: the first with an answer, else the first; attempts added up; renumbered."""
+    """One row (id, attempts, ...) per key: the first with an answer, else the first; attempts added up."""
     keyed = rows.withColumn("_key", key).withColumn("_has", has_answer)
     w = W.partitionBy("_key")
     keyed = keyed.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_has"), "id")))

@@ -210,11 +210,11 @@ def hash_hamming_pairs(spark, folder):
 # --- the bank --------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH k AS (SELECT doc_id AS id, {_COMPARE} AS key FROM documents), g AS (SELECT key, list_sort(list(id)) AS ids FROM k WHERE key <> '' GROUP BY key HAVING count(*) > 1)
-SELECT id, array_to_string(list_filter(ids, lambda x: x <> id), ',') AS others FROM k JOIN g USING (key)""")
+@query(f"""WITH k AS (SELECT doc_id AS id, {_COMPARE} AS key FROM documents)
+SELECT id, first, size FROM (SELECT id, min(id) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY key) AS size FROM k WHERE key <> '') WHERE size > 1""")
 def duplicate_groups(spark, folder):
     docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
-    return bank.duplicate_groups(docs, text.comparison_key(F.col("text"))).select("id", joined(F.col("others")).alias("others"))
+    return bank.duplicate_groups(docs, text.comparison_key(F.col("text")))
 
 
 @query(f"""WITH r AS (SELECT doc_id AS id, {_KEY} AS key, doc_id IN (SELECT doc_id FROM labels) AS has FROM documents)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geometry, lookup, records, review
+from ..operators import figures, geometry, lookup, records, review
 from ..sources import adapters, table
 from .registry import query
 
@@ -168,3 +168,61 @@ def figure_noise(spark, folder):
     questions = table(spark, folder, "orders").select(key.alias("id"), F.col("o_custkey").alias("page"), stem.alias("question"), F.create_map().cast("map<string,string>").alias("options"))
     figures = spark.sql("SELECT * FROM VALUES (5L, 7L, array('наружная вена', 'артерия')), (9L, 9L, array('нерв')) AS t(first_page, last_page, labels)")
     return records.figure_noise(questions, figures)
+
+
+# --- figures ---------------------------------------------------------------------------------------------------------
+
+
+def _placed(texts, left: float = 50.0):
+    """Texts as items, one under the other."""
+    return F.transform(texts, lambda s, i: F.struct(s.alias("str"), F.lit(left).alias("x"), (20 + 12 * i).cast("double").alias("y"), F.lit(30.0).alias("w"), F.lit(10.0).alias("h")))
+
+
+@query("""SELECT n_nationkey::VARCHAR AS document_id, 0 AS figure, 1 AS first_page, 2 AS last_page, n_nationkey::INTEGER AS question_no, 1.0::DOUBLE AS got, 2.0::DOUBLE AS maximum, '1:Вена ' || n_name || '|2:Артерия|3:Нерв' AS labels FROM nation""")
+def numbered_figures(spark, folder):
+    key = F.col("n_nationkey")
+    one = F.concat(F.array(F.lit("Вопрос"), key.cast("string"), F.lit("Баллов:"), F.lit("1,00"), F.lit("из"), F.lit("2,00"), F.lit("1."), F.lit("⟪вена⟫"), F.col("n_name"), F.lit("2."), F.lit("артерия")))
+    two = F.array(F.lit("3."), F.lit("нерв"), F.lit("Отметить"), F.lit("вопрос"))
+    rows = table(spark, folder, "nation")
+    pages = rows.select(key.cast("string").alias("document_id"), F.lit(1).alias("page"), _placed(one).alias("items")).unionByName(rows.select(key.cast("string").alias("document_id"), F.lit(2).alias("page"), _placed(two).alias("items")))
+    found = figures.figures(pages)
+    shown = F.array_join(F.transform("labels", lambda x: F.concat(x["n"].cast("string"), F.lit(":"), x["text"])), "|")
+    return found.select("document_id", "figure", "first_page", "last_page", "question_no", "got", "maximum", shown.alias("labels"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS document_id, '1:Жевательная мышца|2:Околоушная железа' AS labels FROM nation WHERE n_nationkey % 4 > 0")
+def slide_figures(spark, folder):
+    word = lambda s, x, y: F.struct(F.lit(s).alias("str"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(60.0).alias("w"), F.lit(10.0).alias("h"), F.lit(0.9).alias("conf"))
+    said = F.when(F.col("n_nationkey") % 4 > 0, "обозначенное на рисунке").otherwise("другое")
+    head = F.struct(said.alias("str"), F.lit(10.0).alias("x"), F.lit(5.0).alias("y"), F.lit(60.0).alias("w"), F.lit(10.0).alias("h"), F.lit(0.9).alias("conf"))
+    items = F.array(head, word("2", 10, 60), word("околоушная", 20, 61), word("железа,", 85, 60), word("1", 10, 40), word("жевательная", 25, 40), word("мышца", 90, 41), word("3", 10, 80), word("x1", 20, 80))
+    found = figures.slide_figures(table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("document_id"), F.lit(1).alias("page"), items.alias("items")))
+    return found.select("document_id", F.array_join(F.transform("labels", lambda x: F.concat(x["n"].cast("string"), F.lit(":"), x["text"])), "|").alias("labels"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS scope, o_orderkey AS id, o_orderkey % 3 AS k, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 5)::DOUBLE END AS got FROM orders), g AS (SELECT *, min(id) OVER (PARTITION BY scope, k = 2) AS grp FROM f),
+l AS (SELECT grp, id, got, unnest([1, 2, 3]) AS n, k FROM g), v AS (SELECT *, CASE WHEN k = 2 THEN 'nerve ' || n WHEN n = 3 AND k = 1 THEN 'other' ELSE 'vein ' || n END AS value FROM l),
+w AS (SELECT grp, n, value, round(sum(CASE WHEN got IS NULL THEN 0.5::DOUBLE ELSE greatest(0.05::DOUBLE, got / 4) END), 6) AS weight, bool_or(coalesce(got >= 4, false)) AS f FROM v GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, n ORDER BY f DESC, weight DESC, value) AS r, count(*) OVER (PARTITION BY grp, n) AS kinds FROM w), a AS (SELECT grp, count(DISTINCT id) AS n, bool_or(coalesce(got >= 4, false)) AS f FROM v GROUP BY 1),
+s AS (SELECT r.grp, r.n, value, kinds = 1 OR r.f AS sure FROM r WHERE r = 1)
+SELECT s.grp AS "group", s.n, value, sure AND (a.f OR (a.n > 1 AND bool_and(sure) OVER (PARTITION BY s.grp))) AS agreed FROM s JOIN a ON a.grp = s.grp""")
+def merged_figures(spark, folder):
+    key = F.col("o_orderkey")
+    value = lambda n: F.when(key % 3 == 2, f"nerve {n}").when((key % 3 == 1) & F.lit(n == 3), "other").otherwise(f"vein {n}")
+    labels = F.array(*[F.struct(F.lit(n).alias("n"), value(n).alias("text")) for n in (1, 2, 3)])
+    rows = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("scope"), key.alias("id"), labels.alias("labels"), F.lit(None).cast("string").alias("hash"), F.lit(False).alias("from_ocr"),
+        F.when(key % 5 > 0, (key % 5).cast("double")).alias("got"), F.lit(4.0).alias("maximum"),
+    )
+    return figures.merged(rows, figures.figure_groups(rows))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, o_custkey AS d, o_orderkey % 4 + 2 AS page, (o_orderkey % 300)::DOUBLE AS top FROM orders), p AS (SELECT o_custkey AS d, o_orderkey % 5 + 1 AS page, o_orderkey AS image_id, (o_orderkey % 7 * 40)::DOUBLE AS y, (50 + o_orderkey % 60)::DOUBLE AS w, 90.0::DOUBLE AS h FROM orders WHERE o_orderkey % 60 >= 10),
+b AS (SELECT id, p.page, image_id, CASE WHEN p.page < f.page THEN 0 WHEN y + h <= top + 40 THEN 2 ELSE 1 END AS rank, w * h AS area FROM f JOIN p ON f.d = p.d AND p.page IN (f.page, f.page - 1))
+SELECT id AS figure_id, arg_max(page, (rank, area, -image_id)) AS page, arg_max(image_id, (rank, area, -image_id)) AS image_id FROM b GROUP BY 1""")
+def figure_images(spark, folder):
+    key = F.col("o_orderkey")
+    rows = table(spark, folder, "orders")
+    found = rows.select(key.alias("figure_id"), F.col("o_custkey").alias("document_id"), (key % 4 + 2).alias("page"), (key % 300).cast("double").alias("top"))
+    pictures = rows.select(F.col("o_custkey").alias("document_id"), (key % 5 + 1).alias("page"), key.alias("image_id"), (key % 7 * 40).cast("double").alias("y"), (50 + key % 60).cast("double").alias("w"), F.lit(90.0).alias("h"))
+    return figures.images(found, pictures)
