@@ -216,3 +216,46 @@ def renamed_pairs(pairs: Column, names: Column) -> Column:
     """A map with its keys by other names; pairs without a name or a value go."""
     known = F.map_filter(pairs, lambda k, v: v.isNotNull() & F.map_contains_key(names, k))
     return F.transform_keys(known, lambda k, v: F.element_at(names, k))
+
+
+def looks_like_formula(x: Column) -> Column:
+    """Raised or lowered signs, a short name set equal to something, powers of ten, or a number with a unit."""
+    return F.coalesce(
+        x.rlike("[⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺₀₁₂₃₄₅₆₇₈₉√∫∑∆∂≈≤≥∞·⋅]")
+        | x.rlike(r"(?<![A-Za-zА-Яа-я])[A-Za-zА-Яа-яα-ωΑ-Ω]{1,3}\s*=\s*[A-Za-zА-Яа-яα-ωΑ-Ω0-9(]")
+        | x.rlike(r"\d\s*[*×·]\s*10\s*[\^⁻-]?\s*-?\d")
+        | x.rlike(rf"(?<![A-Za-z0-9_])\d+(?:[.,]\d+)?\s*(?:{rules.UNITS})(?![A-Za-zА-Яа-я])"),
+        F.lit(False),
+    )
+
+
+def quoted_phrase(x: Column) -> Column:
+    """A search phrase in quotes, its own quotes and parentheses gone."""
+    return F.concat(F.lit('"'), F.trim(F.regexp_replace(F.regexp_replace(x, r'["()]', " "), r"\s+", " ")), F.lit('"'))
+
+
+def core_term(x: Column) -> Column:
+    """A term without the general noun at its end, if four characters are left."""
+    core = F.trim(F.regexp_replace(x, rf"(?i)\s+({rules.GENERAL_NOUNS})$", ""))
+    return F.when(F.length(core) >= 4, core).otherwise(x)
+
+
+def picture_id(fine: Column) -> Column:
+    """An id that the same fingerprint always has: two multiplicative 32-bit hashes of its characters, in base 36."""
+    chars = F.transform(F.filter(F.split(fine, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    mixed = lambda start, factor: F.aggregate(chars, F.lit(start).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(factor).cast("long")).bitwiseAND(0xFFFFFFFF))
+    base36 = lambda h: F.lower(F.conv(h.cast("string"), 10, 36))
+    return F.concat(F.lit("mdl-img-"), base36(mixed(0x811C9DC5, 0x01000193)), base36(mixed(0x01000193, 0x5BD1E995)))
+
+
+def average_hash(gray: Column) -> Column:
+    """The cells of a picture (levels, a multiple of four) that are above its mean, as hex digits of four cells each."""
+    mean = F.aggregate(gray, F.lit(0.0), lambda s, v: s + v, lambda s: s / F.size(gray))
+    bits = F.get(F.transform(F.array(mean), lambda m: F.transform(gray, lambda v: F.when(v > m, "1").otherwise("0"))), F.lit(0))
+    nibbles = F.transform(F.sequence(F.lit(0), F.floor(F.size(gray) / 4).cast("int") - 1), lambda i: F.lower(F.conv(F.array_join(F.slice(bits, i * 4 + 1, F.lit(4)), ""), 2, 16)))
+    return F.array_join(nibbles, "")
+
+
+def fine_fingerprint(gray: Column) -> Column:
+    """A picture's cells at sixteen levels, a hex digit each."""
+    return F.array_join(F.transform(gray, lambda v: F.lower(F.conv(F.least(F.lit(15), F.floor(v / 16)).cast("string"), 10, 16))), "")

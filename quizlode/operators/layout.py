@@ -163,3 +163,20 @@ def subject_hints(texts: DataFrame) -> DataFrame:
         hits = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
         marks.append(F.when(hits >= 2, F.lit(subject)))
     return texts.select("id", F.array_compact(F.array(*marks)).alias("hints"))
+
+
+def audit(found: DataFrame) -> DataFrame:
+    """Counted documents (document_id, expected, found, orphans, failed, conflicts) with problems and status.
+
+    A document is complete if nothing is missing, no line belongs nowhere and no question failed; conflicts alone don't
+    keep it from that, but are named.
+    """
+    say = lambda test, what: F.when(test, F.lit(what))
+    missing, orphans, failed = F.col("expected") > F.col("found"), F.col("orphans") > 0, F.col("failed") > 0
+    problems = F.array_compact(F.array(say(missing, "MISSING_QUESTIONS"), say(orphans, "ORPHAN_LINES"), say(failed, "FAILED_QUESTIONS"), say(F.col("conflicts") > 0, "ANSWER_CONFLICTS")))
+    return found.withColumn("problems", problems).withColumn("status", F.when(missing | orphans | failed, "PROCESSING_INCOMPLETE").otherwise("COMPLETE"))
+
+
+def orphans(lines: DataFrame, used: DataFrame) -> DataFrame:
+    """Lines (document_id, page, pos, role) that are neither noise nor used (document_id, page, pos) by anything."""
+    return lines.where("role <> 'NOISE'").join(used.select("document_id", "page", "pos"), ["document_id", "page", "pos"], "left_anti")
