@@ -28,7 +28,7 @@ def review_detection(spark, folder):
 FROM orders CROSS JOIN (VALUES (1, true, 10.0::DOUBLE), (2, false, 11), (3, true, 24), (4, false, 40)) AS r("row", side, y)""")
 def review_rows(spark, folder):
     pages = _review_pages(spark, folder)
-    return review.review_rows(pages, review.side_cuts(pages)).drop("document_id")
+    return review.review_rows(pages, review.side_cuts(pages)).select("page", "row", "side", "y", "text")
 
 
 @query("""SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '1' WHEN 1 THEN '0,1' WHEN 2 THEN '' ELSE '' END AS told FROM part""")
@@ -226,3 +226,22 @@ def figure_images(spark, folder):
     found = rows.select(key.alias("figure_id"), F.col("o_custkey").alias("document_id"), (key % 4 + 2).alias("page"), (key % 300).cast("double").alias("top"))
     pictures = rows.select(F.col("o_custkey").alias("document_id"), (key % 5 + 1).alias("page"), key.alias("image_id"), (key % 7 * 40).cast("double").alias("y"), (50 + key % 60).cast("double").alias("w"), F.lit(90.0).alias("h"))
     return figures.images(found, pictures)
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)
+SELECT c::VARCHAR AS document_id, 'choice' AS kind, 'Which is ' || c || '?' AS stem, 'alpha|beta|gamma delta' AS options, '1' AS answer, 'answered' AS status, count(*) AS attempts FROM o WHERE total >= 2 GROUP BY 1, c
+UNION ALL SELECT c::VARCHAR, 'text', 'Name of ' || c || ' is', '', CASE WHEN count(*) FILTER (WHERE n % 2 = 1) > 0 THEN 'vein' END, 'answered', count(*) FROM o WHERE total >= 2 GROUP BY 1, c""")
+def review_questions(spark, folder):
+    """Two questions on each page, a choice and a text, read from customers of two orders and more."""
+    key, name = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    item = lambda text, x, y: F.struct((text if not isinstance(text, str) else F.lit(text)).alias("str"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(40.0).alias("w"), F.lit(10.0).alias("h"))
+    items = F.array(
+        item("Вопрос", 20, 10), item("7", 60, 10), item("Верно", 20, 24), item("Баллов: 1,00", 20, 38), item("из 1,00", 80, 38), item(F.concat(F.lit("Which is "), name, F.lit("?")), 20, 60),
+        item("Выберите один ответ:", 20, 80), item("□", 20, 100), item("a. alpha", 40, 100), item("■", 20, 120), item("b. beta", 40, 120), item("", 90, 120), item("□", 20, 140), item("c. gamma", 40, 140), item("delta", 40, 152),
+        item("Вопрос", 20, 200), item("8", 60, 200), item(F.when(key % 2 == 0, "Неверно").otherwise("Верно"), 20, 214), item("Баллов: 1,00 из 1,00", 20, 228), item(F.concat(F.lit("Name of "), name, F.lit(" is")), 20, 250),
+        item("Ответ: ⟪vein⟫", 20, 270), item("Тест начат вчера", 20, 300), item("chrome", 20, 320),
+    )
+    pages = table(spark, folder, "orders").select(name.alias("document_id"), key.cast("int").alias("page"), items.alias("items"))
+    found = review.extract(pages)
+    letters = F.array_join("options", "|")
+    return found.select("document_id", "kind", "stem", letters.alias("options"), "answer", "status", "attempts")
