@@ -59,13 +59,28 @@ def is_heading(x: Column) -> Column:
 
 
 def split_filled(x: Column) -> Column:
-    """(stem, answer) of a fill-in question that ends with its answer and a hint in parentheses; null for any other."""
+    """(stem, answer) of a fill-in question that ends with its answer and a hint how to give it; null for any other.
+
+    The hint stands in parentheses or is a plain request. The answer is what follows the question's last sign, or else the
+    last words after a verb that links them to the rest.
+    """
     s = F.regexp_replace(text.strip(x), r"[.]+\z", "")
-    pattern = rf"(?isu)^(.*[?!:.])\s+([^?!:.]{{2,120}}?)\s*({rules.HINT})\s*\z"
-    stem, answer, hint = (F.regexp_extract(s, pattern, g) for g in (1, 2, 3))
-    fits = (F.length(stem) >= 15) & (F.size(F.split(text.strip(answer), r"\s+")) <= 12)
-    first = F.concat(F.upper(F.substring(answer, 1, 1)), F.substr(answer, F.lit(2)))
-    return F.when(s.rlike(pattern) & fits, F.struct(F.concat_ws(" ", text.strip(stem), F.lit(rules.BLANK), hint).alias("stem"), first.alias("answer")))
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    closed, open_ = rf"(?isu)^(.*?)\s*({rules.HINT})\s*\z", rf"(?isu)^(.*?)\s*({rules.PLAIN_HINT})\s*\z"
+    in_brackets = s.rlike(closed)
+    part = lambda g: F.when(in_brackets, F.regexp_extract(s, closed, g)).otherwise(F.regexp_extract(s, open_, g))
+    before, said = part(1), text.strip(part(2))
+    hint = F.when(in_brackets, said).otherwise(F.concat(F.lit("("), F.regexp_replace(said, r"[.]+\z", ""), F.lit(")")))
+    sentence, link = r"(?su)^(.*[?!:.])\s+([^?!:.]{2,120})\z", rf"(?isu){rules.LINKED_ANSWER}"
+    answer = text.strip(F.regexp_extract(before, sentence, 2))
+    asked = F.regexp_extract(before, sentence, 1)
+    capital = F.concat(F.upper(F.substring(answer, 1, 1)), F.substr(answer, F.lit(2)))
+    stem, linked = F.regexp_extract(before, link, 1), text.strip(F.regexp_extract(before, link, 2))
+    out = lambda head, tail: F.struct(F.concat_ws(" ", text.strip(head), F.lit(rules.BLANK), hint).alias("stem"), tail.alias("answer"))
+    found = in_brackets | s.rlike(open_)
+    by_sign = before.rlike(sentence) & (F.length(asked) >= 15) & (words(answer) <= 12)
+    by_verb = before.rlike(link) & (F.length(stem) >= 15) & (words(linked) <= 6)
+    return F.when(found & by_sign, out(asked, capital)).when(found & by_verb, out(stem, linked))
 
 
 def wrap(x: Column, width: int = 42) -> Column:
