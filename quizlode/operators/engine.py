@@ -112,7 +112,7 @@ def classify(lines: DataFrame, noise: DataFrame | None = None) -> DataFrame:
         .when(is_(rules.SCORE_LINE) | is_(rules.SCORE_MAX_LINE), "SCORE")
         .when(is_(rules.FLAG_LINE), "FLAG")
         .when(is_(rules.FEEDBACK_LINE), "FEEDBACK")
-        .when(is_(rules.META_LINE), "ATTEMPT_META")
+        .when(is_(rules.META_LINE) & ((take(rules.META_LINE, 2) != "") | is_(rules.META_START)), "ATTEMPT_META")
         .when(instruction, "INSTRUCTION")
         .when(kind.isNotNull(), "OPTION")
         .otherwise("TEXT")
