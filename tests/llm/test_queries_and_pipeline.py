@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from quizlode.llm import minhash, registry, spaced_seeds
 
-from .test_corpus_operators import AWKWARD, docs_of, words
+from .test_corpus_operators import AWKWARD, brute_components, brute_phrases, docs_of, words
 from quizlode.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,6 +39,34 @@ def test_query_equals_sql(spark, duck, name):
     assert rows == sorted((tuple(map(plain, r)) for r in cursor.fetchall()), key=repr)
 
 
+def test_registered_near_duplicates_and_phrases_equal_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in table(spark, FOLDER, "documents").collect()]
+    found = registry.QUERIES["op3_near_duplicates"](spark, FOLDER).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, 3, 85) and all(r.kept == (r.doc_id == r.component_id) for r in found)
+    found = registry.QUERIES["op8_repeated_phrases"](spark, FOLDER).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute_phrases(rows, 50)
+
+
+def test_registered_decontamination_equals_brute_force(spark):
+    """Every item beside every text, on all diagonals."""
+    numbers: dict[bytes, int] = {}
+    coded = lambda text: np.array([numbers.setdefault(t, len(numbers)) for t in spaced_seeds.tokens((text or "").encode())], int)
+    items = {r.item_id: coded(r.text) for r in table(spark, FOLDER, "benchmark").collect()}
+    docs = {r.doc_id: coded(r.text) for r in table(spark, FOLDER, "documents").collect()}
+
+    def held(t, q):
+        w = min(16, len(q))
+        least = w if len(q) < 8 else int(np.ceil(w * 0.8 - 1e-9))
+        if len(q) < 4 or len(t) < w:
+            return False
+        equal = (t[:, None] == q[None, :]).astype(np.int8)
+        total = sum(equal[k : len(t) - w + 1 + k, k : len(q) - w + 1 + k] for k in range(w))
+        return bool((total >= least).any())
+
+    found = {r.doc_id: r.item_ids for r in registry.QUERIES["op10_spaced_seed_decontamination"](spark, FOLDER).collect()}
+    assert found == {d: ",".join(str(i) for i in sorted(items) if held(t, items[i])) for d, t in docs.items()}
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, FOLDER, "documents")
     before = {r.doc_id for r in docs.collect()}
