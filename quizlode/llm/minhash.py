@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, forget, gram_hashes, mix, odd_constants, table
+from .common import WordHashes, cut, forget, gram_hashes, mix, odd_constants, pieces, table
 from .graph import connected_components
 
 #: Minima of a signature, minima of a band, bits kept of each minimum.
@@ -37,7 +37,7 @@ MINIMA, ROWS, BITS = 128, 5, 4
 #: By how much an estimate may lie below the similarity asked for.
 MARGIN = 0.17
 #: Members of a bucket that one task compares with those outside the largest component.
-PART = 256
+PART = 2048
 
 _A = odd_constants(MINIMA, 11)
 _B = odd_constants(MINIMA, 12)
@@ -74,7 +74,7 @@ def band_hashes(values: np.ndarray) -> np.ndarray:
 def _features(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             n, classes, signatures, bands = [], [], [], []
             for text in batch.column(2).cast(pa.string()).cast(pa.binary()).to_pylist():
                 found = shingle_hashes(text.lower().split(), hashes, size) if text else ()
@@ -124,7 +124,7 @@ def _confirm(size: int, similarity: float):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             a, b = (batch.column(i).cast(pa.string()).cast(pa.binary()).to_pylist() for i in (4, 5))
             for x, y in zip(a, b, strict=True):
@@ -170,7 +170,7 @@ def _sets(size: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc_id, version, text in zip(ids, versions, batch.column(2).cast(pa.string()).cast(pa.binary()).to_pylist(), strict=True):
                 own = xxhash.xxh3_64_intdigest(f"{doc_id}:{version}".encode())
@@ -196,7 +196,7 @@ def _differences(size: int, similarity: float):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, hub = WordHashes(), None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in pieces(batches):
             linked, n, missing, extra = [], [], [], []
             a, b = (batch.column(i).cast(pa.string()).cast(pa.binary()).to_pylist() for i in (4, 5))
             for x, y in zip(a, b, strict=True):
@@ -317,10 +317,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     across = x.where("cu <> lu").join(y, (F.col("ku") == F.col("kv")) & (F.col("pu") == F.col("pv")) & (F.col("cu") != F.col("cv")) & once & alike)
     between = [F.least("cu", "cv").alias("c"), F.greatest("cu", "cv").alias("d")]
     pair = ["u", "uversion", "v", "vversion"]
-    one = cut(across.groupBy(*between).agg(F.min(F.struct(*pair)).alias("p")).select("c", "d", "p.*"), "rest-pairs")
+    # any one pair will do; columns of plain longs are aggregated in place, without a sort of all pairs
+    one = cut(across.groupBy(*between).agg(*[F.first(x).alias(x) for x in pair]), "rest-pairs")
     more = cut(confirmed(one.select(*pair), plain, shingle_words, similarity).distinct(), "rest-links")
     failed = one.join(more, ["u", "v"], "left_anti").select("c", "d")
-    if not failed.isEmpty():  # two hashes were equal by chance: all links of those components are confirmed
+    if not failed.isEmpty():  # a pair that the sets don't bear out: all links of those components are confirmed
         rest = across.select(*between, *pair).join(failed.distinct(), ["c", "d"], "left_semi").select(*pair).distinct()
         more = cut(more.unionByName(confirmed(rest, plain, shingle_words, similarity)), "rest-links-all")
     final = connected_components(cut(links.unionByName(more), "all-links"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, forget, mix, odd_constants, table
+from .common import WordHashes, cut, forget, mix, odd_constants, pieces, table
 
 #: Passages that a shard holds on average, and a part of a larger anchor.
 SHARD_PASSAGES = 20_000
@@ -88,7 +88,7 @@ def _texts(column: pa.Array) -> list[bytes | None]:
 def _scan(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
-        for batch in batches:
+        for batch in pieces(batches):
             n, shas, found = [], [], []
             for text in _texts(batch.column(2)):
                 words = (text or b"").split()
@@ -111,7 +111,7 @@ def _passages(window: int):
         hashes, powers = WordHashes(), Powers()
         names = ["anchor", "passage", "doc_id", "version", "start", "text"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[list] = [[] for _ in names]
             ids, versions, wanted = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for doc_id, version, text, own in zip(ids, versions, _texts(batch.column(2)), wanted, strict=True):
@@ -206,7 +206,7 @@ def first_documents(passages: DataFrame, window: int, shard_passages: int = SHAR
 
 def _remove(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             removed, kept, shas = [], [], []
             for text, starts in zip(_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 words = text.split()

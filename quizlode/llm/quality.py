@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, forget, gram_hashes, table
+from .common import WordHashes, cut, forget, gram_hashes, pieces, table
 
 #: The statistics: log mean word length, and square roots of symbols, punctuation and capitals per letter, repeated
 #: words and repeated lines.
@@ -105,7 +105,7 @@ def text_statistics(text: str | None, hashes: WordHashes) -> tuple[int, int, int
 def _scan(least_words: int, most_repeats: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [text_statistics(t, hashes) for t in batch.column(1).to_pylist()]
             failed = [r[0] < least_words or 100 * r[4] > most_repeats * r[0] for r in rows]
             counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]

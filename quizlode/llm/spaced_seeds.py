@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, cut, forget, gram_hashes, lower_ascii, table
+from .common import WordHashes, cut, forget, gram_hashes, lower_ascii, pieces, table
 
 #: The token positions that each mask looks at.
 MASKS = ((0, 2, 3, 7, 8, 9), (0, 1, 2, 4, 5, 8), (0, 2, 4, 7, 8, 10), (0, 1, 2, 4, 5, 6))
@@ -157,7 +157,7 @@ def _scan(seeds, n_kept: int, only_hits: bool):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words = SeedTable(*seeds.value), WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             last = batch.column(batch.num_columns - 1)
             texts = last.field(last.type.get_field_index("text")) if pa.types.is_struct(last.type) else last
             each = [tokens(t) for t in texts.cast(pa.string()).cast(pa.binary()).to_pylist()]

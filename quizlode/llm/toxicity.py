@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, table
+from .common import CACHE_WORDS, pieces, table
 
 #: Labelled documents to fit on, features kept, and the score from which a document counts as toxic.
 MOST_LABELS, MOST_FEATURES, THRESHOLD = 6_000, 4_000, 0.7
@@ -164,7 +164,7 @@ def score_toxicity(docs: DataFrame, model: Model, least: float = 0.5) -> DataFra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = batch.column(0)
             texts = rows.field(rows.type.get_field_index("text")).to_pylist()
             scores, found = [], []
