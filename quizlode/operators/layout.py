@@ -143,14 +143,16 @@ def question_type(rows: DataFrame) -> DataFrame:
 def subjects(texts: DataFrame, terms: DataFrame, least: int = 3) -> DataFrame:
     """(id, subject, hits, confidence): the subject of which texts (id, text) hold most terms (subject, term), if enough.
 
-    terms is a word list, broadcast for its fixed size.
+    terms is a word list that people write: it goes to every row as one array, so that no text is joined or shuffled.
     """
-    low = F.lower("text")
-    places = (F.length(low) - F.length(F.replace(low, F.col("term"), F.lit("")))) / F.length("term")
-    hits = texts.join(F.broadcast(terms), F.lower("text").contains(F.col("term"))).groupBy("id", "subject").agg(F.sum(places.cast("int")).alias("hits"))
-    w = W.partitionBy("id").orderBy(F.desc("hits"), "subject")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("hits").over(w), F.lit(0)))
-    best = ranked.where((F.col("rank") == 1) & (F.col("hits") >= least))
+    listed = terms.groupBy("subject").agg(F.collect_list("term").alias("terms"))
+    listed = listed.agg(F.array_sort(F.collect_list(F.struct("subject", "terms"))).alias("s"))
+    rows = texts.select("id", F.lower("text").alias("low")).withColumn("listed", listed.scalar())
+    places = lambda t: ((F.length("low") - F.length(F.replace("low", t, F.lit("")))) / F.length(t)).cast("int")
+    count = lambda s: F.struct((-F.aggregate(s["terms"], F.lit(0), lambda n, t: n + places(t))).alias("n"), s["subject"].alias("subject"))
+    rows = rows.select("id", F.array_sort(F.filter(F.transform("listed", count), lambda c: c["n"] < 0)).alias("ranked"))
+    hits, second = -F.get("ranked", F.lit(0))["n"], F.coalesce(-F.get("ranked", F.lit(1))["n"], F.lit(0))
+    best = rows.select("id", F.get("ranked", F.lit(0))["subject"].alias("subject"), hits.cast("long").alias("hits"), second.alias("second")).where(F.col("hits") >= least)
     confidence = F.least(F.lit(0.95), 0.4 + 0.6 * (F.col("hits") - F.col("second")) / F.col("hits"))
     return best.select("id", "subject", "hits", F.round(confidence, 6).alias("confidence"))
 

@@ -75,11 +75,13 @@ def lone_twins(without: DataFrame, having: DataFrame) -> DataFrame:
 def override(questions: DataFrame, rules: DataFrame) -> DataFrame:
     """Questions (id, question, answer) with the answer of the first rule (priority, fragment, answer) whose fragment they hold.
 
-    Rules are a short list that people write; the join broadcasts it while it is small and falls back by itself beyond.
+    Rules are a short list that people write: it goes to every row as one array, in order of priority.
     """
-    asked = questions.select("id", "question")
-    hits = asked.join(rules.withColumnRenamed("answer", "given"), F.col("question").contains(F.col("fragment"))).groupBy("id").agg(F.min_by("given", "priority").alias("given"))
-    return questions.join(hits, "id", "left").select("id", "question", F.coalesce("given", "answer").alias("answer"), F.col("given").isNotNull().alias("overridden"))
+    listed = rules.agg(F.array_sort(F.collect_list(F.struct("priority", "fragment", "answer"))).alias("r"))
+    rows = questions.select("id", "question", "answer").withColumn("listed", listed.scalar())
+    first = F.get(F.filter("listed", lambda r: F.contains(F.col("question"), r["fragment"])), F.lit(0))
+    rows = rows.withColumn("given", first)
+    return rows.select("id", "question", F.coalesce(F.col("given")["answer"], "answer").alias("answer"), F.col("given").isNotNull().alias("overridden"))
 
 
 def review_tasks(canonicals: DataFrame) -> DataFrame:

@@ -16,8 +16,7 @@ def exam_pages(spark: SparkSession, folder: str, style: str = "inline") -> DataF
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     names = region.groupBy().agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("r"))
     rows = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    # one row of five names
-    rows = rows.join(F.broadcast(names), F.lit(True))
+    rows = rows.withColumn("r", names.scalar())
     number = F.row_number().over(_by_region())
     rows = rows.withColumn("number", number)
     letters = "কখগঘঙ" if style == "bengali" else "ABCDE"
