@@ -31,6 +31,28 @@ def test_attempts_that_disagree(spark):
     assert [(r.answer, r.status) for r in zero] == [("2", "answered")]
 
 
+def test_pairs_and_orders(spark):
+    """Ticked rows are known, the last free one follows, and a second attempt adds what the first does not know."""
+    def page(n, marks, values, score, stem="Match the parts"):
+        head = [item("Вопрос", 20, 10), item(str(n), 60, 10), item(f"Баллов: {score} из 3,00", 20, 30), item(stem, 20, 50)]
+        rows = [item(x, 20 + dx, 70 + 20 * k) for k, (t, v, m) in enumerate(zip(("artery", "vein", "nerve"), values, marks)) for dx, x in ((0, t), (90, f"⟪{v}⟫"), (150, m)) if x]
+        return ("d", n, head + rows)
+
+    ok, no = "\u0019", "\u001a"
+    pages = [page(1, (ok, no, ""), ("red", "white", "blue"), "1,00"), page(2, ("", "", ""), ("red", "blue", "white"), "1,00"), page(3, (no, "", ok), ("blue", "red", "white"), "1,00")]
+    found = review.extract(spark.createDataFrame(pages, PAGES)).collect()
+    assert [(r.kind, r.stem, r.answer, r.status, r.attempts) for r in found] == [("match", "Match the parts", "artery → red; vein → blue; nerve → white", "answered", 3)]
+    orders = [page(k, ("", "", ""), ("[02]", "[01]", "[03]"), "3,00", "Put in order") for k in (1, 2, 3)]
+    found = review.extract(spark.createDataFrame(orders, PAGES)).collect()
+    assert [(r.kind, r.answer, r.status) for r in found] == [("order", "artery → [02]; vein → [01]; nerve → [03]", "answered")]
+
+
+def test_blanks_inside_a_sentence(spark):
+    pages = [("d", k, [item("Вопрос", 20, 10), item("4", 60, 10), item("Баллов: 1,00 из 1,00", 20, 30), item("The", 20, 50), item("⟪heart⟫", 50, 50), item("beats", 120, 50)]) for k in (1, 2, 3)]
+    found = review.extract(spark.createDataFrame(pages, PAGES)).collect()
+    assert [(r.kind, r.stem, r.answer, r.status) for r in found] == [("text", "The ___ beats", "heart", "answered")]
+
+
 def test_solved_rows():
     rows = [{"value": "x", "wrong": False}, {"value": "y", "wrong": True}, {"value": "z", "wrong": False}]
     assert review.remaining(["x", "y", "z"], rows, ["x", None, None]) == ["x", "z", "y"]
