@@ -46,3 +46,66 @@ def test_repeats_across_attempts_are_one_question(spark, tmp_path):
 
 def test_no_questions(spark, tmp_path):
     assert resolve.cluster(rows_of(spark, []), str(tmp_path)).count() == 0
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def _grams(key):
+    return {f" {key} "[i : i + 3] for i in range(len(key))}
+
+
+def test_registered_groups_equal_plain_loops(spark):
+    """The registered query on whole texts: every question in order against every group before it, by rules told here."""
+    from quizlode.plans import queries
+    from quizlode.sources import adapters
+
+    rows = adapters.stems(spark, FOLDER).withColumn("generic", resolve.is_generic(F.col("stem"))).where("stem <> ''").orderBy("id").collect()
+    of, groups, copies = {}, [], {}
+    for r in rows:
+        same = (r.stem, tuple(sorted(o or "" for o in r.options)))
+        if same in copies:
+            of[r.id] = copies[same]
+            continue
+        options, grams = {o for o in r.options if o}, _grams(r.key)
+        long = sorted(dict.fromkeys(t for t in r.key.split(" ") if len(t) >= 4), key=lambda t: -len(t))
+        keys, best = set(long[:4]) or {r.key[:12]}, None
+        for g in groups:
+            if not keys & g["keys"]:
+                continue
+            shared = len(options & g["options"]) / len(options | g["options"])
+            generic = r.generic or g["generic"]
+            if r.stem == g["stem"] or r.key == g["key"]:
+                score, merge = 1.0 if r.stem == g["stem"] else 0.98, shared >= (0.99 if generic else 0.75)
+            else:
+                stem = len(grams & g["grams"]) / len(grams | g["grams"])
+                score, merge = 0.65 * stem + 0.35 * shared, not generic and (stem >= 0.9 and shared >= 0.9 or stem >= 0.8 and shared >= 0.99)
+                if stem < 0.6:
+                    continue
+            if best is None or score > best[0]:
+                best = (score, merge, g)
+        if best and best[1]:
+            best[2]["options"] |= options
+            of[r.id] = best[2]["id"]
+        else:
+            groups.append({"id": r.id, "stem": r.stem, "key": r.key, "grams": grams, "keys": keys, "generic": r.generic, "options": set(options)})
+            of[r.id] = r.id
+        copies[same] = of[r.id]
+    found = {r.id: r.canonical_id for r in queries.QUERIES["greedy_clusters"](spark, FOLDER).collect()}
+    assert found == of
+
+
+def test_registered_cards_hold_their_questions(spark):
+    """Every card is well-formed and shows number, question, options in order and answer."""
+    from xml.etree import ElementTree
+
+    from quizlode.plans import queries
+    from quizlode.sources import adapters
+
+    bank = {r.id: r for r in adapters.bank(spark, FOLDER).collect()}
+    cards = queries.QUERIES["svg_cards"](spark, FOLDER).collect()
+    assert {c.id for c in cards} == set(bank)
+    for c in cards:
+        b = bank[c.id]
+        shown = [t.text for t in ElementTree.fromstring(c.svg).iter("{http://www.w3.org/2000/svg}text")]
+        assert shown == [f"{c.number}. {b.question}", f"A) {b.category}", f"B) {b.document}", f'C) say "{b.category}"', f"Answer: {b.answer or '-'}"]
