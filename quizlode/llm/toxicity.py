@@ -111,12 +111,15 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 400, ridge: float = 0.
     sentence, column, value, bag = [], [], [], []
     for d, sentences in enumerate(docs):
         for words in sentences:
-            for w, n in zip(*(x.tolist() for x in np.unique(words, return_counts=True)), strict=True):
-                for k in of_word[w].tolist():
-                    sentence.append(len(bag)), column.append(k), value.append(n)
+            seen_words, counts = np.unique(words, return_counts=True)
+            own = [of_word[w] for w in seen_words.tolist()]
+            sizes = np.array([len(p) for p in own], int)
+            if sizes.sum():
+                column.append(np.concatenate(own)), value.append(np.repeat(counts, sizes).astype(np.float32)), sentence.append(np.full(sizes.sum(), len(bag), np.int32))
             bag.append(d)
     del docs, of_word
-    sentence, column, value, bag = np.array(sentence, int), np.array(column, int), np.array(value, float), np.array(bag, int)
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    sentence, column, value, bag = joined(sentence, np.int32), joined(column, np.int32), joined(value, np.float32), np.array(bag, int)
     w, bias = np.zeros(len(chosen)), -4.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for k in range(1, rounds + 1):
