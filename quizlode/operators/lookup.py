@@ -25,23 +25,14 @@ def sentences(sources: DataFrame) -> DataFrame:
 def sentence_evidence(questions: DataFrame, sources: DataFrame, least: float = 0.5) -> DataFrame:
     """(question_id, source_id, pos, score): sentences that cover at least so much of a question's roots.
 
-    A sentence that covers enough of n roots holds one of any n - ceil(least * n) + 1 of them: of each question (question_id,
-    text) the rarest so many are joined, so common roots make no pairs. A pair is met through the first of them that the
-    sentence has, and counted on all roots.
+    The join is on roots, so a sentence meets only questions (question_id, text) with which it shares one; hits are summed
+    before they are shuffled.
     """
-    asked = questions.select("question_id", roots(F.col("text")).alias("r")).where(F.size("r") > 0)
-    said = sentences(sources).select("source_id", "pos", roots(F.col("sentence")).alias("held"))
-    met = said.select("source_id", "pos", "held", F.explode("held").alias("root"))
-    often = met.join(asked.select(F.explode("r").alias("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.count("*").alias("often"))
-    ranked = asked.select("question_id", "r", F.explode("r").alias("root")).join(often, "root", "left")
-    ranked = ranked.groupBy("question_id", "r").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "root"))).alias("by"))
-    few = F.size("r") - F.ceil(least * F.size("r")).cast("int") + 1
-    rare = ranked.select("question_id", "r", F.transform(F.slice("by", F.lit(1), few), lambda x: x["root"]).alias("rare"))
-    wanted = rare.select("question_id", "r", "rare", F.explode("rare").alias("root"))
-    first = F.get(F.filter("rare", lambda x: F.array_contains("held", x)), F.lit(0)) == F.col("root")
-    pairs = met.join(wanted, "root").where(first)
-    score = F.size(F.array_intersect("r", "held")) / F.size("r")
-    return pairs.select("question_id", "source_id", "pos", score.alias("score")).where(F.col("score") >= least)
+    asked = questions.select("question_id", roots(F.col("text")).alias("r"))
+    asked = asked.select("question_id", F.size("r").alias("n"), F.explode("r").alias("root"))
+    said = sentences(sources).select("source_id", "pos", F.explode(roots(F.col("sentence"))).alias("root"))
+    hits = said.join(asked, "root").groupBy("question_id", "source_id", "pos", "n").agg(F.count("*").alias("hits"))
+    return hits.withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= least).select("question_id", "source_id", "pos", "score")
 
 
 def phrase_places(sources: DataFrame, phrases: DataFrame) -> DataFrame:
