@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_templates, minhash, mixing, phrases, quality, secrets, spaced_seeds, toxicity, url_cascade
+from . import licenses, line_templates, minhash, mixing, phrases, quality, ranked, secrets, spaced_seeds, spelling, toxicity, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_cascade": url_cascade.op1_url_cascade,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_phrases": phrases.op8_repeated_phrases,
     "op9_line_templates": line_templates.op9_line_templates,
     "op10_spaced_seed_decontamination": spaced_seeds.op10_spaced_seed_decontamination,
+    "op12_ranked_search": ranked.op12_ranked_search,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +29,5 @@ SQL: dict[str, str] = {
     "op5_mix_sources": mixing.SQL,
     "op6_secret_scan": secrets.SQL,
     "op9_line_templates": line_templates.SQL,
+    "op12_ranked_search": ranked.SQL,
 }
