@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_templates, minhash, mixing, phrases, quality, ranked, secrets, spaced_seeds, spelling, toxicity, url_cascade
+from . import licenses, line_templates, minhash, mixing, phrases, quality, ranked, secrets, spaced_seeds, spelling, substrings, toxicity, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_cascade": url_cascade.op1_url_cascade,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_phrases": phrases.op8_repeated_phrases,
     "op9_line_templates": line_templates.op9_line_templates,
     "op10_spaced_seed_decontamination": spaced_seeds.op10_spaced_seed_decontamination,
+    "op11_repeated_substrings": substrings.op11_repeated_substrings,
     "op12_ranked_search": ranked.op12_ranked_search,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
