@@ -35,7 +35,9 @@ def _number(text: Column) -> Column:
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """(doc_id, version, pos, clean, leaf) of all lines with tokens."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # a text is hashed before it is divided, once and not for every line
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    rows = rows.select("doc_id", "version", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _VARIABLE, "<*>")).otherwise(F.col("line"))
     # most lines have single blanks already
@@ -103,6 +105,15 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, fixed: int = FIXED, lea
     return gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("positions"))
 
 
+def _without(lines: Column, positions: Column) -> Column:
+    """Lines but those at ``positions``: both are sorted by position, so that a dropped line has its mark next to it."""
+    of_line = F.transform(lines, lambda line, i: F.struct(i.alias("pos"), F.lit(0).alias("mark"), line.alias("line")))
+    of_mark = F.transform(positions, lambda p: F.struct(p.alias("pos"), F.lit(1).alias("mark"), F.lit("").alias("line")))
+    row = F.sort_array(F.concat(of_line, of_mark))
+    pairs = F.zip_with(row, F.slice(row, 2, 1 << 30), lambda x, y: F.struct(x["line"].alias("line"), ((x["mark"] == 0) & ~(F.coalesce(y["mark"], F.lit(0)) == 1)).alias("stays")))
+    return F.transform(F.filter(pairs, lambda x: x["stays"] & x["line"].isNotNull()), lambda x: x["line"])
+
+
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, fixed: int = FIXED, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Every row of ``docs`` as column ``row``, with ``n_lines``, ``n_dropped`` and the ``text`` that is left.
 
@@ -119,7 +130,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, fixed: int = FIXED
     gone = cut(recurring_lines(docs, depth, fixed, least_docs), "dropped-lines").hint("merge")
     out = rows.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_version") == F.col("version")), "left")
     lines = F.split(F.col("row.text").cast("string"), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("positions", i)), "\n")
+    left = F.array_join(_without(lines, F.col("positions")), "\n")
     return out.select(
         "row",
         F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
