@@ -37,6 +37,8 @@ WINDOW, SIMILARITY, LEAST_TOKENS, TOLERANT_TOKENS = 16, 0.8, 4, 8
 BLOCK_TOKENS = 1_000_000
 #: Cells (diagonals times item tokens) verified at a time.
 CELLS = 2_000_000
+#: Hits of seeds laid out at a time.
+HITS = 1_000_000
 
 #: Bytes as tokens see them: A-Z in lower case, ASCII that is no letter or digit as a blank.
 _FOLD = bytes(
@@ -103,24 +105,33 @@ class SeedTable:
         """
         if not len(self.hashes) or not len(text):
             return []
-        found = []
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        most = int(self.lengths.max())
+        step = max(1, CELLS // most)
+        # a diagonal as one number: what an item may begin before the text, and the item above the place
+        span = len(text) + most
+        known = np.empty(0, np.int64)
         for k, mask in enumerate(self.masks):
             h = gram_hashes(text, mask, k)
             at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
             lo, hi = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
             n = hi - lo
-            if n.any():
-                hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            # a seed that many items share is laid out in parts, each of at most HITS hits or one place's
+            part = np.cumsum(n) // HITS
+            edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(n)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True) if len(n) else ():
+                m = n[a:b]
+                hit = np.repeat(lo[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 place = self.at[hit]
                 item = np.searchsorted(self.starts, place, "right") - 1
-                found.append(np.stack([item, np.repeat(at, n) - (place - self.starts[item])]))
-        if not found:
-            return []
-        diagonals = np.unique(np.concatenate(found, axis=1), axis=1)
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        step = max(1, CELLS // int(self.lengths.max()))
-        for i in range(0, diagonals.shape[1], step):
-            self._verify(*diagonals[:, i : i + step], text, first, end, best)
+                diagonals = np.unique(item * span + np.repeat(at[a:b], m) - (place - self.starts[item]) + most)
+                # what an earlier mask or part has shown is not looked at again; only the last ones are remembered
+                diagonals = diagonals[~np.isin(diagonals, known, assume_unique=True)]
+                known = diagonals if len(known) > HITS else np.union1d(known, diagonals)
+                for i in range(0, len(diagonals), step):
+                    some = diagonals[i : i + step]
+                    self._verify(some // span, some % span - most, text, first, end, best)
         return [(row, int(self.ids[item]), *x) for (row, item), x in sorted(best.items())]
 
     def _verify(self, item, base, text, first, end, best) -> None:
