@@ -4,8 +4,8 @@ Only documents carry labels, so a document is a bag of sentences: each sentence
 word beginnings in it, and the document is toxic unless all its sentences are harmless (noisy-or). The sentence weights
 are learned from document labels through that combination, and the same sentence scores then locate what offends.
 
-Fitting takes at most MOST_LABELS labelled documents (a documented bound; which ones depends on a hash of their ids
-alone), whole texts each. Scoring is one scan without a shuffle; a worker scores each distinct word once.
+Fitting takes at most MOST_LABELS labelled documents of MOST_BYTES of text (documented bounds; which ones depends on a
+hash of their ids alone), whole texts each. Scoring is one scan without a shuffle; a worker scores each distinct word once.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, pieces, table
+from .common import CACHE_WORDS, cut, forget, pieces, table
 
 #: Labelled documents to fit on, features kept, and the score from which a document counts as toxic.
 MOST_LABELS, MOST_FEATURES, THRESHOLD = 6_000, 4_000, 0.7
+#: Bytes of text to fit on, all together.
+MOST_BYTES = 32 << 20
 #: Lengths of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature needs so many documents of a label, and to differ so many standard errors between the labels.
@@ -141,18 +144,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, most_bytes: int = MOST_BYTES) -> Model:
     """A model of labels (doc_id, toxic) on the texts of docs (doc_id, text); rows that are held out take no part.
 
-    Labels without an id or a value are ignored; of labels that repeat an id the largest counts.
+    Labels without an id, a value or a document are ignored; of labels that repeat an id the largest counts. Of the rest
+    at most ``most_labels`` take part, in the order of a hash of their ids, and as many of them as have ``most_bytes`` of
+    text together (a text of more than a sixteenth of that takes no part). Without labels of both kinds the model has no
+    weights and scores everything 0.
     """
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = usable.orderBy(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), "doc_id").limit(most_labels)
+    sizes = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("size"))
+    usable = usable.join(sizes, "doc_id").where(F.col("size") <= most_bytes // 16)
+    rank = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")))
+    sample = usable.select("doc_id", "toxic", "size", rank.alias("rank")).orderBy("rank", "doc_id").limit(most_labels)
+    sample = sample.withColumn("total", F.sum("size").over(W.orderBy("rank", "doc_id"))).where(F.col("total") <= most_bytes)  # most_labels rows
+    sample = cut(sample.select("doc_id", "toxic"), "label-sample")
     # at most most_labels rows of an id and a number; of texts that repeat an id the smallest hash stands for all
     text = F.min_by("text", F.xxhash64("text")).alias("text")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(text, F.max("toxic").alias("toxic"))
     rows = rows.select("doc_id", "text", "toxic").collect()
+    forget(sample)
     return fit([(t, y) for _, t, y in sorted(rows, key=lambda r: (r[0], r[1] or ""))])
 
 
