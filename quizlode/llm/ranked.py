@@ -34,7 +34,7 @@ from .common import cut, forget, lower_ascii, pieces, table
 #: A term: a run of ASCII letters, digits and everything beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Postings of a block, and the most documents of one.
-BLOCK_POSTINGS, BLOCK_DOCS = 1_000_000, 16_384
+BLOCK_POSTINGS, BLOCK_DOCS = 300_000, 16_384
 #: Distinct terms up to which a vocabulary is broadcast (some 50 bytes each), and terms of a batch of queries.
 BROADCAST_TERMS, BATCH_TERMS = 1_000_000, 200_000
 #: Bits of an impact; sums are as much longer as they need.

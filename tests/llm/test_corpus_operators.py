@@ -219,6 +219,18 @@ def test_spaced_seeds_never_reach_into_the_next_row(spark):
     assert sorted(r.doc_id for r in left.collect()) == [1, 2] and left.columns == docs_of(spark, rows).columns
 
 
+def test_spaced_seeds_that_many_items_share(spark, monkeypatch):
+    """Hundreds of items with the same first words, and texts that repeat these all over, laid out in small parts."""
+    monkeypatch.setattr(spaced_seeds, "HITS", 20_000)
+    rnd = random.Random(14)
+    lead = words(rnd, 6)
+    items = [(i, " ".join(lead + words(rnd, 20))) for i in range(400)]
+    rows = [(d, " ".join(x for _ in range(230) for x in (lead if rnd.random() < 0.9 else words(rnd, 3)))) for d in range(20)]
+    rows += [(100, rows[0][1] + " " + items[7][1] + " " + rows[1][1])]
+    found = spaced_seeds.spaced_seed_overlaps(docs_of(spark, rows).coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.row.doc_id: [o.item_id for o in r.overlaps] for r in found if r.overlaps} == {100: [7]}
+
+
 def test_spaced_seeds_awkward_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert spaced_seeds.spaced_seed_overlaps(docs_of(spark, AWKWARD), none).count() == len(AWKWARD)
@@ -281,6 +293,18 @@ def test_toxicity_scores_equal_a_plain_noisy_or(spark):
         assert r.held_out == (__import__("zlib").crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
+def test_toxicity_of_labels_beyond_the_documents(spark):
+    """Labels of other documents take no place in the sample, and the sample's bytes are bounded."""
+    rows, labels = toxic_rows(random.Random(5), 300)
+    docs, own = docs_of(spark, rows), spark.createDataFrame([x[:2] for x in labels], "doc_id long, toxic int")
+    others = spark.range(10_000, 60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    alone, among = toxicity.learn(docs, own, 150), toxicity.learn(docs, own.unionByName(others), 150)
+    assert alone.weights and alone.weights == among.weights and alone.bias == among.bias
+    fewer = toxicity.learn(docs, own, 150, most_bytes=30_000)
+    assert fewer.weights and fewer.weights != alone.weights
+    assert not toxicity.learn(docs, others).weights
+
+
 def test_toxicity_awkward_rows(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (4, 1), (4, 0), (6, 1)], "doc_id long, toxic int")
     scored = toxicity.score_toxicity(docs_of(spark, AWKWARD), toxicity.learn(docs_of(spark, AWKWARD), labels)).collect()
@@ -608,3 +632,12 @@ def test_line_templates(spark):
     awkward = line_templates.drop_recurring_lines(docs_of(spark, AWKWARD)).collect()
     assert len(awkward) == len(AWKWARD) and {r.row.doc_id: (r.n_lines, r.text) for r in awkward if r.row.doc_id in (1, 2, 3)} == {1: (0, None), 2: (1, ""), 3: (3, "  \n\t \n")}
     assert line_templates.drop_recurring_lines(docs_of(spark, [])).count() == 0
+
+
+def test_line_templates_of_a_long_text(spark):
+    """Two hundred thousand lines, half of which go."""
+    rows = [(d, "\n".join(["a line that stands in all of the texts", f"own {'x' * d}"])) for d in range(12)]
+    long = "\n".join(f"a line that stands in all of the texts\nline of its own {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(100_000))
+    found = {r.row.doc_id: r for r in line_templates.drop_recurring_lines(docs_of(spark, [*rows, (50, long)])).collect()}
+    assert (found[50].n_lines, found[50].n_dropped) == (200_000, 100_000)
+    assert found[50].text == "\n".join(long.split("\n")[1::2]) and found[0].n_dropped == 0 and found[3].text == "own xxx"
