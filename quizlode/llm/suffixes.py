@@ -80,25 +80,30 @@ def _induced_by_bucket(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarr
 
 
 def _induced_one_by_one(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    symbols, kinds = text.tolist(), smaller.tolist()
-    sa = [-1] * len(symbols)
+    n = len(text)
+    sa = [-1] * n
     edge = ends.tolist()
-    for i in leftmost[::-1].tolist():
-        c = symbols[i]
+    for i, c in zip(leftmost[::-1].tolist(), text[leftmost[::-1]].tolist(), strict=True):
         edge[c] -= 1
         sa[edge[c]] = i
-    edge = starts.tolist()
+    # the symbol in front of each suffix if it begins one of the kind, else -1, as behind the end, where empty places look
+    larger, less = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    symbols = text[:-1].astype(np.int64)
+    larger[1:n] = np.where(smaller[:-1], -1, symbols)
+    less[1:n] = np.where(smaller[:-1], symbols, -1)
+    front, edge = larger.tolist(), starts.tolist()
     for i in sa:  # what is put ahead is met later
-        if i > 0 and not kinds[i - 1]:
-            c = symbols[i - 1]
-            sa[edge[c]] = i - 1
-            edge[c] += 1
-    edge = ends.tolist()
+        c = front[i]
+        if c >= 0:
+            e = edge[c]
+            sa[e] = i - 1
+            edge[c] = e + 1
+    front, edge = less.tolist(), ends.tolist()
     for i in reversed(sa):
-        if i > 0 and kinds[i - 1]:
-            c = symbols[i - 1]
-            edge[c] -= 1
-            sa[edge[c]] = i - 1
+        c = front[i]
+        if c >= 0:
+            e = edge[c] = edge[c] - 1
+            sa[e] = i - 1
     return np.array(sa, np.int32)
 
 
@@ -191,21 +196,23 @@ def _shared(text: np.ndarray, x: int, y: int, step: int = 4096) -> int:
 
 
 def repeated_starts(texts: list[bytes], copies: list[int], window: int) -> list[np.ndarray]:
-    """For every text, which of its runs of ``window`` bytes start anywhere else too; a text counts as often as it has copies."""
-    both = [(t, k) for t, n in zip(texts, copies, strict=True) for k in range(min(n, 2))]
-    joined = np.zeros(sum(len(t) + 1 for t, _ in both) + 1, np.uint16)
-    can = np.zeros(len(joined), bool)
+    """For every text, which of its runs of ``window`` bytes start anywhere else too; a text counts as often as it has copies.
+
+    Copies are told by a number and not written out: the neighbour of such a suffix is its own copy, as long as it is.
+    """
+    joined = np.zeros(sum(len(t) + 1 for t in texts) + 1, np.uint16)
+    can, several = np.zeros(len(joined), bool), np.zeros(len(joined), bool)
     at, starts = 0, []
-    for t, k in both:
+    for t, n in zip(texts, copies, strict=True):
         joined[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.uint16) + 2
         joined[at + len(t)] = 1
         can[at : at + max(0, len(t) - window + 1)] = True
-        if not k:
-            starts.append(at)
+        several[at : at + len(t)] = n > 1
+        starts.append(at)
         at += len(t) + 1
     sa = suffix_array(joined, 258)
     shared = common_prefixes(joined, sa) >= window
-    found = shared.copy()
+    found = shared | several
     found[sa[:-1]] |= shared[sa[1:]]
     found &= can
     return [found[a : a + max(0, len(t) - window + 1)] for a, t in zip(starts, texts, strict=True)]
