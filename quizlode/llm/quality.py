@@ -2,18 +2,19 @@
 
 Two plain rules come first (too few words, too much repetition). The texts that pass them become vectors of six
 transformed statistics, and for every language and source a minimum-covariance-determinant estimate (MCD) of centre and
-scatter is fitted to all their vectors: the three quarters of the rows that lie closest together. Rows at a large
+scatter is fitted to all their vectors: the three fifths of the rows that lie closest together. Rows at a large
 Mahalanobis distance from it are rejected.
 
 Every source has an estimate of its own. One of few rows is drawn towards that of its language, and a language of few
 rows towards that of all, as if PRIOR rows of the wider group had been added: there is no size from which a group is
-treated otherwise. Most clean texts are equal in some statistics, so an estimate may be flat in some directions; only
-those are widened, to three quarters of the spread that the statistics have in the language (see LEAST_SPREADS).
+treated otherwise. Most clean texts are equal in some statistics (no symbol, no repeated line), where an estimate is
+flat; so the statistics' own resolution, what one symbol or one repeated line makes, is added to every scatter as
+independent noise (see RESOLUTION). It never takes the scatter's place: both are summed.
 
 The fit is distributed. A concentration step scores all rows against the estimates of their groups, finds each group's
 quantile from a histogram of distances (counts of fixed logarithmic buckets, combined before the shuffle), and sums
 the moments of the rows within it, so neither a task nor the driver ever holds a group's rows. Two starts (medians with
-the quartiles' spread, and medians with the flat directions' width) run side by side until no determinant changes any
+the quartiles' spread, and medians with the resolution alone) run side by side until no determinant changes any
 more; the one that ends with the smaller determinant wins and is reweighted once.
 """
 
@@ -34,13 +35,13 @@ from .common import WordHashes, cut, forget, gram_hashes, pieces, table
 #: The statistics: log mean word length, and square roots of symbols, punctuation and capitals per letter, repeated
 #: words and repeated lines.
 STATISTICS = ("word_length", "symbols", "punctuation", "capitals", "repeats", "lines")
-#: What a few symbols, one repeated line or one repeated phrase make in a short text: the least standard deviation of each.
-LEAST_SPREADS = (0.06, 0.08, 0.06, 0.06, 0.10, 0.10)
+#: What one count more makes of each in a text of 300 letters: a letter more in every hundred, a symbol where there is none
+#: (the root of 1/300), a mark or a capital beside the usual ones; and one word or line in a hundred that is repeated.
+RESOLUTION = (0.01, 0.06, 0.01, 0.013, 0.10, 0.10)
 P = len(STATISTICS)
 #: The share of rows that an estimate rests on, the most concentration steps (few are needed), the rows that a wider group
-#: counts for, the least width of a direction in standard deviations, and the distance (squared, the 0.999 quantile of a
-#: chi-square of six degrees) from which a row is an outlier.
-SHARE, MOST_STEPS, PRIOR, LEAST_WIDTH, CUTOFF = 0.75, 20, 30, 0.75, 22.46
+#: counts for, and the distance (squared, the 0.999 quantile of a chi-square of six degrees) from which a row is an outlier.
+SHARE, MOST_STEPS, PRIOR, CUTOFF = 0.6, 20, 30, 22.46
 #: Fewest words, and the largest share of repeated words in percent.
 LEAST_WORDS, MOST_REPEATS = 50, 50
 
@@ -139,12 +140,11 @@ def _bucket(d2: Column) -> Column:
     return F.floor(F.log2(F.greatest(d2, F.lit(1e-6))) * 64).cast("int")
 
 
-def _precision(scatter: np.ndarray, spread: np.ndarray) -> tuple[list[float], float]:
-    """The inverse of a scatter whose flat directions are widened, and the logarithm of its determinant."""
-    values, vectors = np.linalg.eigh(scatter / np.outer(spread, spread))
-    values = np.maximum(values, LEAST_WIDTH**2)
-    inverse = (vectors / values) @ vectors.T / np.outer(spread, spread)
-    return [float(inverse[i, j]) for i, j in _PAIRS], float(np.log(values).sum() + 2 * np.log(spread).sum())
+def _precision(scatter: np.ndarray) -> tuple[list[float], float]:
+    """The inverse of a scatter with the statistics' resolution, and the logarithm of its determinant."""
+    whole = scatter + np.diag(np.square(RESOLUTION))
+    inverse = np.linalg.inv(whole)
+    return [float(inverse[i, j]) for i, j in _PAIRS], float(np.linalg.slogdet(whole)[1])
 
 
 def _square(pairs) -> np.ndarray:
@@ -180,16 +180,16 @@ def _chain(r) -> list[tuple]:
     return [(n, s, ss) for n, s, ss in ((r.n2, r.s2, r.ss2), (r.n1, r.s1, r.ss1), (r.n, r.s, r.ss)) if s is not None]
 
 
-def _estimates(moments: DataFrame, spreads: DataFrame, factor: float) -> DataFrame:
+def _estimates(moments: DataFrame, factor: float) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
                 centre, scatter = _drawn(_chain(r), factor)
-                out.append((r.group, r.parent, r.start, [float(c) for c in centre], *_precision(scatter, np.array(r.spread))))
+                out.append((r.group, r.parent, r.start, [float(c) for c in centre], *_precision(scatter)))
             yield pd.DataFrame(out, columns=["group", "parent", "start", "centre", "precision", "logdet"])
 
-    return _with_wider(moments).join(spreads, "group").mapInPandas(run, _ESTIMATE)
+    return _with_wider(moments).mapInPandas(run, _ESTIMATE)
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -203,11 +203,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def _quantiles(vectors: DataFrame) -> DataFrame:
-    """(group, parent, q): for each statistic its median m, the quartiles' distance w and the spread that flat directions count with.
-
-    The spread is the distance of the outer tenths, as that of a normal distribution, and LEAST_SPREADS at least; a
-    source has the spreads of its language.
-    """
+    """(group, parent, q): for each statistic its median m and the quartiles' distance w."""
     step = 512
     cells = vectors.select("group", "parent", F.posexplode("x").alias("i", "v")).groupBy(
         "group", "parent", "i", F.floor(F.col("v") * step).cast("int").alias("b")
@@ -215,17 +211,12 @@ def _quantiles(vectors: DataFrame) -> DataFrame:
     w = W.partitionBy("group", "parent", "i")
     cells = cells.withColumn("below", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("below") >= F.col("all") * q, F.col("b"))) / step
-    found = cells.groupBy("group", "parent", "i").agg(at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("w"), ((at(0.9) - at(0.1)) / 2.563).alias("spread"))
-    least = F.element_at(F.array(*[F.lit(v) for v in LEAST_SPREADS]), F.col("i") + 1)
-    found = found.withColumn("spread", F.greatest("spread", least))
-    lists = cut(found.groupBy("group", "parent").agg(F.array_sort(F.collect_list(F.struct("i", "m", "w", "spread"))).alias("q")), "quantiles")
-    wider = lists.select(F.col("group").alias("_group"), F.transform("q", lambda q: q["spread"]).alias("spread"))
-    source = ~F.col("parent").isin("", "{}")
-    return lists.join(wider, F.when(source, F.col("parent")).otherwise(F.col("group")) == F.col("_group")).drop("_group")
+    found = cells.groupBy("group", "parent", "i").agg(at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("w"))
+    return found.groupBy("group", "parent").agg(F.array_sort(F.collect_list(F.struct("i", "m", "w"))).alias("q"))
 
 
 def _starts(quantiles: DataFrame) -> DataFrame:
-    """Both starts of every group: the medians, with the quartiles' distance (0) or only the least widths (1) as scatter."""
+    """Both starts of every group: the medians, with the quartiles' distance (0) or nothing (1) as scatter."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -233,7 +224,7 @@ def _starts(quantiles: DataFrame) -> DataFrame:
             for r in frame.itertuples(index=False):
                 centre = [float(q["m"]) for q in r.q]
                 for start, sd in enumerate(([q["w"] / 1.349 for q in r.q], [0.0] * P)):
-                    out.append((r.group, r.parent, start, centre, *_precision(np.diag(np.square(sd)), np.array(r.spread))))
+                    out.append((r.group, r.parent, start, centre, *_precision(np.diag(np.square(sd)))))
             yield pd.DataFrame(out, columns=["group", "parent", "start", "centre", "precision", "logdet"])
 
     return quantiles.mapInPandas(run, _ESTIMATE)
@@ -241,9 +232,7 @@ def _starts(quantiles: DataFrame) -> DataFrame:
 
 def mcd_estimates(vectors: DataFrame, share: float = SHARE, most_steps: int = MOST_STEPS) -> DataFrame:
     """(group, centre, precision) of the vectors (group, parent, x array of six); parent: the next wider group, or ''."""
-    quantiles = cut(_quantiles(vectors), "mcd-quantiles")
-    spreads = quantiles.select("group", "spread")
-    now, before = cut(_starts(quantiles), "mcd-start"), None
+    now, before = cut(_starts(_quantiles(vectors)), "mcd-start"), None
     for _ in range(most_steps):
         guess = now.drop("parent", "logdet")
         scored = vectors.join(guess, "group").select("group", "parent", "start", "x", _bucket(_distance(F.col("x"), F.col("centre"), F.col("precision"))).alias("b"))
@@ -253,7 +242,7 @@ def mcd_estimates(vectors: DataFrame, share: float = SHARE, most_steps: int = MO
         edge = counts.where(F.col("below") >= F.ceil(F.col("all") * share)).groupBy("group", "start").agg(F.min("b").alias("edge"))
         edge = cut(edge, "mcd-edge")
         inner = scored.join(edge, ["group", "start"]).where("b <= edge")
-        last, now = now, cut(_estimates(_moments(inner), spreads, _consistency(share)), "mcd-step")
+        last, now = now, cut(_estimates(_moments(inner), _consistency(share)), "mcd-step")
         forget(last, edge)
         state = now.agg(F.sum(F.round("logdet", 6))).first()[0]
         if state is None or (before is not None and abs(state - before) < 1e-5):
@@ -263,11 +252,11 @@ def mcd_estimates(vectors: DataFrame, share: float = SHARE, most_steps: int = MO
     best = cut(best.select("group", "e.*"), "mcd-best")
     inner = vectors.join(best, "group").where(_distance(F.col("x"), F.col("centre"), F.col("precision")) <= _quantile(0.975))
     inner = inner.select("group", "parent", F.lit(0).alias("start"), "x")
-    last = _estimates(_moments(inner), spreads, _consistency(0.975)).select("group", F.struct("centre", "precision").alias("last"))
+    last = _estimates(_moments(inner), _consistency(0.975)).select("group", F.struct("centre", "precision").alias("last"))
     # a small group may have no row near the estimate that it was drawn to
     last = best.join(last, "group", "left").select("group", F.coalesce("last", F.struct("centre", "precision")).alias("e"))
     last = cut(last.select("group", "e.*"), "mcd")
-    forget(now, best, quantiles)
+    forget(now, best)
     return last
 
 

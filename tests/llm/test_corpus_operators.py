@@ -352,6 +352,40 @@ def test_quality_base_counts_and_outliers(spark):
             assert r.kept == (d % 20 != 0), (d, r.distance)
 
 
+def plain_fit(x, wider):
+    """Centre and scatter of all rows in memory, by exact ranks; ``wider``: for each wider group its rows and the reverse."""
+    import numpy as np
+
+    noise = np.diag(np.square(quality.RESOLUTION))
+    outside = lambda rows, centre, scatter: np.einsum("ij,jk,ik->i", rows - centre, np.linalg.inv(scatter + noise), rows - centre)
+    groups = [*wider, x]
+
+    def start(rows, sd):
+        return np.median(rows, 0), np.diag(np.square(sd))
+
+    def moments(rows, factor):
+        return len(rows), rows.mean(0), np.cov(rows.T, bias=True) * factor
+
+    def drawn(levels):
+        centre = scatter = None
+        for n, m, c in levels:
+            share = 1.0 if centre is None else n / (n + quality.PRIOR)
+            centre, scatter = (m, c) if centre is None else (share * m + (1 - share) * centre, share * c + (1 - share) * scatter)
+        return centre, scatter
+
+    ends = []
+    for wide in (True, False):
+        now = [start(g, (np.quantile(g, 0.75, 0) - np.quantile(g, 0.25, 0)) / 1.349 * wide) for g in groups]
+        for _ in range(quality.MOST_STEPS):
+            inner = [g[np.argsort(outside(g, *e), kind="stable")[: int(np.ceil(quality.SHARE * len(g)))]] for g, e in zip(groups, now)]
+            own = [moments(g, quality._consistency(quality.SHARE)) for g in inner]
+            now = [drawn(own[: k + 1]) for k in range(len(groups))]
+        ends.append(now)
+    best = [min((e[k] for e in ends), key=lambda e: np.linalg.slogdet(e[1] + noise)[1]) for k in range(len(groups))]
+    inner = [g[outside(g, *e) <= quality._quantile(0.975)] for g, e in zip(groups, best)]
+    return drawn([moments(g, quality._consistency(0.975)) for g in inner])
+
+
 def test_quality_estimates_equal_a_plain_fit(spark):
     """The distributed steps against the same steps on one group in memory."""
     import numpy as np
@@ -361,29 +395,58 @@ def test_quality_estimates_equal_a_plain_fit(spark):
     vectors = spark.createDataFrame([("{}", "", [float(v) for v in r]) for r in x], "group string, parent string, x array<double>")
     found = quality.mcd_estimates(vectors).collect()
     assert len(found) == 1
-    # a reference fit: concentrate from the medians by exact ranks, no direction narrower than its share of the whole spread
-    spread = np.maximum((np.quantile(x, 0.9, 0) - np.quantile(x, 0.1, 0)) / 2.563, quality.LEAST_SPREADS)
-
-    def widened(scatter):
-        values, vectors = np.linalg.eigh(scatter / np.outer(spread, spread))
-        return (vectors * np.maximum(values, quality.LEAST_WIDTH**2)) @ vectors.T * np.outer(spread, spread)
-
-    def outside(centre, scatter):
-        return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(widened(scatter)), x - centre)
-
-    centre, scatter = np.median(x, 0), np.zeros((quality.P, quality.P))
-    for _ in range(30):
-        inner = x[np.argsort(outside(centre, scatter))[: int(np.ceil(0.75 * len(x)))]]
-        centre, scatter = inner.mean(0), np.cov(inner.T, bias=True) * quality._consistency(0.75)
-    inner = x[outside(centre, scatter) <= quality._quantile(0.975)]
-    centre, scatter = inner.mean(0), np.cov(inner.T, bias=True) * quality._consistency(0.975)
+    centre, scatter = plain_fit(x, [])
     assert np.allclose(found[0].centre, centre, atol=0.03)
     precision = quality._square(found[0].precision)
-    assert np.allclose(precision, np.linalg.inv(widened(scatter)), rtol=0.1, atol=0.1)
+    assert np.allclose(precision, np.linalg.inv(scatter + np.diag(np.square(quality.RESOLUTION))), rtol=0.1, atol=0.1)
     d = np.einsum("ij,jk,ik->i", x - np.array(found[0].centre), precision, x - np.array(found[0].centre))
     assert (d[:300] < quality.CUTOFF).mean() > 0.98 and (d[300:] > quality.CUTOFF).all()
 
 
+def test_quality_verdicts_equal_plain_fits_and_the_scatter_decides(spark, monkeypatch):
+    """sf0.01: every language and source against fits in memory; what is labelled bad goes, what is good stays; and
+    without the scatter the verdicts are others."""
+    import numpy as np
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    hashes = quality.WordHashes()
+    stats = {r.doc_id: (r.lang, r.source, quality.text_statistics(r.text, hashes)[5]) for r in docs.collect() if not found[r.doc_id].base_failed}
+    x = np.array([v for *_, v in stats.values()])
+    langs, sources = (np.array([s[k] for s in stats.values()], object) for k in (0, 1))
+    noise, ids, agree = np.diag(np.square(quality.RESOLUTION)), np.array(list(stats)), 0
+    for lang, source in set(zip(langs, sources)):
+        own = (langs == lang) & (sources == source)
+        centre, scatter = plain_fit(x[own], [x, x[langs == lang]])
+        d = np.einsum("ij,jk,ik->i", x[own] - centre, np.linalg.inv(scatter + noise), x[own] - centre)
+        agree += sum((v <= quality.CUTOFF) == found[i].kept for i, v in zip(ids[own].tolist(), d))
+    assert agree >= 0.985 * len(x)
+    good = {r.doc_id: r.quality for r in labels.where("quality IS NOT NULL").collect()}
+    kept = {y: [found[d].kept for d, q in good.items() if q == y and d in stats] for y in (0, 1)}
+    assert sum(kept[1]) >= 0.96 * len(kept[1]) and sum(kept[0]) <= 0.02 * len(kept[0])
+    whole = quality._precision
+    monkeypatch.setattr(quality, "_precision", lambda scatter: whole(scatter * 0))
+    without = {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
+    assert sum(r.kept != without[d] for d, r in found.items()) >= 50
+
+
+def test_quality_outliers_off_the_correlation(spark):
+    """Rows inside the range of each statistic, but off the line that two of them lie on."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(0, 0.02, (400, quality.P)) + 0.2
+    x[:, 2] = x[:, 0] + rnd.normal(0, 0.004, 400)
+    off = np.full((20, quality.P), 0.2)
+    off[:, 0], off[:, 2] = 0.24, 0.16
+    rows = np.concatenate([x, off])
+    e = quality.mcd_estimates(spark.createDataFrame([("{}", "", [float(v) for v in r]) for r in rows], "group string, parent string, x array<double>")).first()
+    d = np.einsum("ij,jk,ik->i", rows - np.array(e.centre), quality._square(e.precision), rows - np.array(e.centre))
+    assert (d[:400] <= quality.CUTOFF).mean() > 0.99 and (d[400:] > quality.CUTOFF).all()
+    assert x[:, 0].max() > 0.24 and x[:, 2].min() < 0.16
+
+
 def test_quality_verdicts_follow_the_distances(spark):
     """The registered query: kept is the base rule and the distance, which is that of the row's own estimate."""
     import numpy as np
