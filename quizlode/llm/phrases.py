@@ -3,99 +3,57 @@
 A passage repeats if a window of ``window`` words occurs in several documents. Every window is named by an anchor: the
 smallest hash among the phrases of a quarter of its length inside it, so equal windows have equal anchors, and only
 about one phrase in twenty is an anchor. Anchors that occur in one document only are done with. Around the others the
-passages are cut out, repeated copies of one passage are folded, and they are dealt to shards by anchor. Each shard
+passages are cut out, repeated copies of one passage are folded, and they are dealt to shards by anchor; the passages of
+a phrase that stands everywhere are dealt again by their surroundings, so that bytes bound a shard. Each shard
 
-- confirms, word by word, which windows of its passages recur,
-- compiles an Aho-Corasick automaton of the phrases that confirmed windows stand around,
-- streams all its passages through that automaton and looks at the windows around every occurrence: one that is, word
-  by word, a confirmed window gets the first document that has it. What the automaton doesn't locate is not removed.
+- confirms its phrases: one counts if some window around it recurs, word by word, in passages of different documents;
+- compiles an Aho-Corasick automaton of the confirmed phrases, which is all that it keeps of this step;
+- streams all its passages through that automaton. The windows around the places that it locates, and no others, are
+  compared word by word, phrase after phrase, and each gets the first document that has it.
 
 Documents meet only the automata whose phrases they hold, so the work grows with the repeated text and not with shards
 times texts. The locations go back to the documents, which drop the words of windows that start in an earlier one.
 
-Whole copies (equal sequences of words) are folded first: all but the first lose everything. The passages of an anchor
-with more than SHARD_PASSAGES of them are dealt to several parts, each with its automaton. What one part locates may
-recur in another, so the parts' located windows are merged by 128-bit digests of their words.
+Whole copies (equal sequences of words) are folded first: all but the first lose everything.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, forget, mix, odd_constants, pieces, table
+from .common import cut, forget, pieces, table
+from .passages import PASSAGES, Powers, anchors, as_bytes, parts, passages, sharded, words
 
-#: Passages that a shard holds on average, and a part of a larger anchor.
-SHARD_PASSAGES = 20_000
+#: Bytes of passages that a shard holds.
+SHARD_BYTES = 2 << 20
 
 _NEVER = np.iinfo(np.int64).max
-_BASE = int(odd_constants(1, 41)[0])
-
-
-class Powers:
-    """Powers of the rolling hash's base and of its inverse, as many as the longest text needed so far."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 2 * n
-            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-        return self.up[:n], self.down[:n]
-
-
-def rolling(words: np.ndarray, size: int, powers: Powers) -> np.ndarray:
-    """A hash of every run of ``size`` words."""
-    n = len(words)
-    if n < size:
-        return np.empty(0, np.uint64)
-    up, down = powers.upto(n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up)])
-    return mix((total[size:] - total[:-size]) * down[: n - size + 1])
-
-
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    k = 1
-    while 2 * k <= width:
-        x, k = np.minimum(x[:-k], x[k:]), 2 * k
-    return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
 
 
 def phrase_length(window: int) -> int:
     return max(1, window // 4)
 
 
-def anchors(words: np.ndarray, window: int, powers: Powers) -> np.ndarray:
-    """The anchor of every window."""
-    if len(words) < window:
-        return np.empty(0, np.uint64)
-    return sliding_min(rolling(words, phrase_length(window), powers), window - phrase_length(window) + 1)
-
-
-def _texts(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.string()).cast(pa.binary()).to_pylist()
-
-
 def _scan(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
+        powers, units = Powers(), words()
         for batch in pieces(batches):
             n, shas, found = [], [], []
-            for text in _texts(batch.column(2)):
-                words = (text or b"").split()
-                n.append(len(words))
-                shas.append(hashlib.sha256(b" ".join(words)).digest())
-                own = np.unique(anchors(hashes.of(words, len(words)), window, powers)) if len(words) >= window else np.empty(0, np.uint64)
-                found.append(own.view(np.int64))
+            for text in as_bytes(batch.column(2)):
+                own = text.split()
+                n.append(len(own))
+                shas.append(hashlib.sha256(b" ".join(own)).digest())
+                named = anchors(units.hashes(own), window, phrase_length(window), powers)[0] if len(own) >= window else np.empty(0, np.int64)
+                found.append(np.unique(named))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(shas, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
                 ["doc_id", "version", "n_words", "sha", "anchors"],
@@ -104,118 +62,99 @@ def _scan(window: int):
     return scan
 
 
-def _passages(window: int):
-    """Texts with their recurring anchors to (anchor, passage, doc_id, version, start, text)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
-        names = ["anchor", "passage", "doc_id", "version", "start", "text"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        for batch in pieces(batches):
-            rows: list[list] = [[] for _ in names]
-            ids, versions, wanted = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for doc_id, version, text, own in zip(ids, versions, _texts(batch.column(2)), wanted, strict=True):
-                words = text.split()
-                named = anchors(hashes.of(words, len(words)), window, powers).view(np.int64)
-                keep = np.isin(named, np.array(own, np.int64))
-                edge = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
-                for a, b in zip(edge, np.append(edge[1:], len(named)), strict=True):
-                    if keep[a]:
-                        part = b" ".join(words[a : b - 1 + window])
-                        for column, x in zip(rows, (int(named[a]), xxhash.xxh3_64_intdigest(part) - (1 << 63), doc_id, version, int(a), part.decode()), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names)
-
-    return scan
-
-
-def _windows(text: bytes, window: int) -> list[bytes]:
-    """The words of every window of a text with single blanks."""
-    blanks = [-1, *np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist(), len(text)]
-    return [text[a + 1 : b] for a, b in zip(blanks, blanks[window:], strict=False)]
-
-
-def locate(frame: pd.DataFrame, window: int) -> pd.DataFrame:
-    """One shard: for each passage (anchor, passage, text, first, last, parts) the first document of each of its windows.
-
-    first and last are the smallest and largest document that hold the passage. firsts has a huge number where nothing
-    was located. Of an anchor that is dealt to several parts, every window is located and told by its digest as well.
-    """
-    size = phrase_length(window)
-    hashes, powers, numbers = WordHashes(), Powers(), {}
-    texts = [t.encode() for t in frame["text"]]
-    named, firsts, lasts = (frame[c].to_numpy(np.int64) for c in ("anchor", "first", "last"))
-    split = frame["parts"].to_numpy() > 1
-    windows = [_windows(t, window) for t in texts]
-
-    confirmed: dict[bytes, int] = {}
-    last: dict[bytes, int] = {}
-    for own, lo, hi in zip(windows, firsts.tolist(), lasts.tolist(), strict=True):
-        for w in own:
-            confirmed[w] = min(lo, confirmed.get(w, lo))
-            last[w] = max(hi, last.get(w, hi))
-    for w in [w for w, lo in confirmed.items() if lo == last[w]]:
-        del confirmed[w]
-    last.clear()
-
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    coded = []
-    for row, text in enumerate(texts):
-        words = text.split()
-        code = tuple(numbers.setdefault(w, len(numbers)) for w in words)
-        coded.append(code)
-        if split[row] or any(w in confirmed for w in windows[row]):
-            at = int(np.argmax(rolling(hashes.of(words, len(words)), size, powers).view(np.int64) == named[row]))
-            automaton.add_word(code[at : at + size], len(automaton))
-    automaton.make_automaton()
-
-    found, digests = [], []
-    for row, code in enumerate(coded):
-        own = windows[row]
-        least = np.full(len(own), _NEVER)
-        done = 0
-        for end, _ in automaton.iter(code) if len(automaton) else ():
-            # the windows that the phrase ending here lies in; what an earlier occurrence showed is not looked at again
-            for i in range(max(done, end - window + 1), done := max(done, min(len(own), end - size + 2))):
-                least[i] = firsts[row] if split[row] else confirmed.get(own[i], _NEVER)
-        found.append(least)
-        digests.append([xxhash.xxh3_128_digest(w) for w in own] if split[row] else None)
-    return pd.DataFrame({"anchor": named, "passage": frame["passage"], "firsts": found, "digests": digests})
-
-
-def first_documents(passages: DataFrame, window: int, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
-    """(anchor, passage, firsts) for distinct passages (anchor, passage, text, first, last)."""
-    counts = passages.groupBy("anchor").agg(F.ceil(F.count("*") / shard_passages).alias("parts"))
-    counts = cut(counts, "anchor-parts")
-    shards = max(1, -(-passages.count() // shard_passages))
-    some = passages.join(counts, "anchor").withColumn("shard", F.pmod("anchor", F.lit(shards))).withColumn("part", F.pmod("passage", "parts"))
-    out = some.groupBy("shard", "part").applyInPandas(
-        lambda frame: locate(frame, window), "anchor long, passage long, firsts array<long>, digests array<binary>"
-    )
-    out = cut(out, "located")
-    whole = out.where("digests IS NULL").select("anchor", "passage", "firsts")
-    if counts.where("parts > 1").isEmpty():
-        return whole
-    rows = out.where("digests IS NOT NULL").select("anchor", "passage", F.posexplode(F.arrays_zip("digests", "firsts")).alias("i", "w"))
-    rows = rows.select("anchor", "passage", "i", "w.digests", "w.firsts")
-    least = rows.groupBy("anchor", "digests").agg(F.min("firsts").alias("least"))
-    each = rows.join(least, ["anchor", "digests"]).groupBy("anchor", "passage")
-    ordered = each.agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))
-    return whole.unionByName(ordered.select("anchor", "passage", F.transform("w", lambda x: x["least"]).alias("firsts")))
+def _edges(text: bytes) -> np.ndarray:
+    """Where the words of a text with single blanks begin, and where one after the last would."""
+    return np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1, [len(text) + 1]])
+
+
+class Shard:
+    """Passages (texts of words with single blanks) and the first and last document of each."""
+
+    def __init__(self, texts: list[bytes], firsts: list[int], lasts: list[int], window: int) -> None:
+        self.texts, self.firsts, self.lasts, self.window, self.size = texts, firsts, lasts, window, phrase_length(window)
+        self.edges = [_edges(t) for t in texts]
+        numbers: dict[bytes, int] = {}
+        self.codes = [tuple(numbers.setdefault(w, len(numbers)) for w in t.split()) for t in texts]
+
+    def windows(self, row: int, places: list[int]) -> Iterator[tuple[int, bytes]]:
+        """The windows (start, words) of a passage that hold one of the phrases which begin at ``places``, each once."""
+        e, text, done = self.edges[row], self.texts[row], 0
+        for p in places:
+            for i in range(max(done, p + self.size - self.window), done := max(done, min(len(e) - self.window, p + 1))):
+                yield i, text[e[i] : e[i + self.window] - 1]
+
+    def phrases(self) -> dict[tuple, dict[int, list[int]]]:
+        """The anchors of the passages, each with the passages that are named by it and where it stands in them."""
+        powers, units = Powers(), words()
+        found: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for row, text in enumerate(self.texts):
+            _, at = anchors(units.hashes(text.split()), self.window, self.size, powers)
+            for p in np.unique(at).tolist():
+                found[self.codes[row][p : p + self.size]][row].append(p)
+        return found
+
+    def first_documents(self, places: dict[int, list[int]]) -> dict[bytes, int]:
+        """The windows around ``places`` that are in passages of different documents, and the first document of each."""
+        first: dict[bytes, int] = {}
+        last: dict[bytes, int] = {}
+        for row, at in places.items():
+            for _, w in self.windows(row, at):
+                first[w] = min(self.firsts[row], first.get(w, _NEVER))
+                last[w] = max(self.lasts[row], last.get(w, -_NEVER))
+        return {w: d for w, d in first.items() if d < last[w]}
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """An automaton of the phrases around which some window recurs."""
+        found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for phrase, places in self.phrases().items():
+            if self.first_documents(places):
+                found.add_word(phrase, phrase)
+        found.make_automaton()
+        return found
+
+    def located(self, automaton: ahocorasick.Automaton) -> list[np.ndarray]:
+        """For each passage the first document of each of its windows, a huge number where the automaton shows nothing."""
+        hits: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for row, code in enumerate(self.codes):
+            for end, phrase in automaton.iter(code) if len(automaton) else ():
+                hits[phrase][row].append(end - self.size + 1)
+        out = [np.full(max(0, len(c) - self.window + 1), _NEVER) for c in self.codes]
+        while hits:
+            _, places = hits.popitem()
+            known = self.first_documents(places)
+            for row, at in places.items() if known else ():
+                for i, w in self.windows(row, at):
+                    out[row][i] = min(out[row][i], known.get(w, _NEVER))
+        return out
+
+
+_FOUND = "key long, passage_of_key binary, firsts array<long>"
+
+
+def _located(window: int):
+    """A shard (key, text, first, last): the first document of each window of each text."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        shard = Shard(frame["text"].tolist(), frame["first"].tolist(), frame["last"].tolist(), window)
+        found = shard.located(shard.automaton())
+        rows = [(k, hashlib.sha256(t).digest(), f) for k, t, f in zip(frame["key"].tolist(), shard.texts, found, strict=True) if (f < _NEVER).any()]
+        return pd.DataFrame(rows, columns=["key", "passage_of_key", "firsts"])
+
+    return run
 
 
 def _remove(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             removed, kept, shas = [], [], []
-            for text, starts in zip(_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                words = text.split()
-                open_ = np.zeros(len(words) + 1, np.int64)
+            for text, starts in zip(as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                own = text.split()
+                open_ = np.zeros(len(own) + 1, np.int64)
                 at = np.array(starts, np.int64)
                 np.add.at(open_, at, 1)
                 np.add.at(open_, at + window, -1)
                 gone = np.cumsum(open_)[:-1] > 0
-                left = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+                left = b" ".join(w for w, g in zip(own, gone, strict=True) if not g)
                 removed.append(int(gone.sum())), kept.append(left.decode()), shas.append(hashlib.sha256(left).digest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(shas, pa.binary())],
@@ -225,7 +164,7 @@ def _remove(window: int):
     return scan
 
 
-def repeated_phrases(docs: DataFrame, window: int = 50, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
+def repeated_phrases(docs: DataFrame, window: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each row of ``docs`` (doc_id long, text): doc_id, n_words, n_removed, kept_text and kept_sha256.
 
     Words are runs without ASCII white space. A word is removed if a run of ``window`` words around it also starts in a
@@ -247,21 +186,32 @@ def repeated_phrases(docs: DataFrame, window: int = 50, shard_passages: int = SH
     texts = plain.where("doc_id IS NOT NULL AND text IS NOT NULL")
     holders = texts.join(lists.hint("merge"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
     holders = cut(holders.select("doc_id", "version", "text", "anchors"), "phrase-holders")
-    places = cut(holders.mapInArrow(_passages(window), "anchor long, passage long, doc_id long, version long, start long, text string"), "passages")
-
-    distinct = places.groupBy("anchor", "passage", "text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    distinct = cut(distinct, "distinct-passages")
-    firsts = first_documents(distinct, window, shard_passages)
-    found = places.drop("text").join(firsts, ["anchor", "passage"])
-    earlier = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
+    size = phrase_length(window)
+    # passages know their text by its id and version
+    named = holders.select(F.to_binary(F.concat_ws(" ", "doc_id", "version"), F.lit("utf-8")).alias("sha"), "text", "anchors")
+    places = named.mapInArrow(passages(window, size, words), PASSAGES)
+    own = F.split(F.decode("sha", "utf-8"), " ")
+    places = places.select(own[0].cast("long").alias("doc_id"), own[1].cast("long").alias("version"), "start", "anchor", "passage", "text")
+    places = cut(places, "passages")
+
+    whole = places.groupBy("anchor", "passage", "text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    whole = cut(whole, "distinct-passages")
+    dealt, written = parts(whole, window, size, words, shard_bytes, ["first", "last"], F.min("first") < F.max("last"))
+    distinct = dealt.groupBy("key", "text").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    n_bytes = whole.agg(F.sum(F.length("text"))).first()[0] or 0
+    firsts = cut(sharded(distinct, n_bytes, shard_bytes).groupBy("shard").applyInPandas(_located(window), _FOUND), "located")
+    told = dealt.select("anchor", "passage", "offset", "key", F.unhex(F.sha2("text", 256)).alias("passage_of_key")).join(firsts, ["key", "passage_of_key"])
+    told = cut(told.select("anchor", "passage", "offset", "firsts"), "told-passages")
+    found = places.drop("text").join(told, ["anchor", "passage"])
+    earlier = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + F.col("offset") + i)), lambda x: x.isNotNull())
     found = found.select("doc_id", "version", earlier.alias("starts")).where(F.size("starts") > 0)
     found = cut(found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts")), "phrase-starts")
-    forget(distinct, places)
-    parts = holders.select("doc_id", "version", "text").join(found.hint("merge"), ["doc_id", "version"])
-    parts = parts.mapInArrow(_remove(window), "doc_id long, version long, removed long, left string, left_sha binary")
+    forget(whole, places, firsts, told, *written)
+    rests = holders.select("doc_id", "version", "text").join(found.hint("merge"), ["doc_id", "version"])
+    rests = rests.mapInArrow(_remove(window), "doc_id long, version long, removed long, left string, left_sha binary")
 
     # every row gets what the first row with its words loses, or all if that is of an earlier document
-    judged = classes.drop("anchors").join(parts, ["doc_id", "version"], "left")
+    judged = classes.drop("anchors").join(rests, ["doc_id", "version"], "left")
     judged = cut(judged.select(F.col("sha").alias("_sha"), F.col("doc_id").alias("_first"), "removed", "left", "left_sha"), "phrase-parts")
     forget(holders, found, classes)
     out = rows.drop("anchors").join(judged, F.col("sha") == F.col("_sha"), "left")

@@ -7,11 +7,8 @@ are cut out, equal passages are folded (with their number, up to two), and they
 shard builds the suffix array of its passages by induced sorting and the permuted common prefixes, and a window is
 repeated where its suffix shares ``window`` bytes with a neighbour. What shards find goes back to the texts.
 
-A phrase may stand in a third of all texts, each time in other surroundings. The passages of such an anchor are dealt
-again by their surroundings: windows that reach far to the right of the phrase by what stands there, the others, which
-reach far to the left, by what stands there, and what is alone under its new key is done with. That is repeated, by
-halves of the reach, until no key holds more bytes than a shard; at the end a key is the whole window, so it can always
-be done. No windows are compared by hashes: those only choose the shard.
+The passages of a phrase that stands everywhere are dealt again by their surroundings until no key holds more bytes than
+a shard. No windows are compared by hashes: those only choose the shard.
 
 Equal texts are folded first: one of them stands for all, with their number.
 """
@@ -24,63 +21,32 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, forget, pieces, table
-from .phrases import Powers, rolling, sliding_min
+from .passages import PASSAGES, Powers, anchors, as_bytes, parts, passages, runs, sharded, single_bytes
 from .suffixes import repeated_starts
 
 #: Bytes of passages that a shard holds.
 SHARD_BYTES = 1 << 20
 
-_LOW = np.uint64(0xFFFFFFFF)
-
 
 def phrase_bytes(window: int) -> int:
     return max(1, window // 5)
 
 
-def anchors(text: bytes, window: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of every window, and where it stands (the first place in the window).
-
-    Phrases are chosen by half of their hash, then by place, which is the same for equal windows wherever they are.
-    """
-    size = phrase_bytes(window)
-    if len(text) < window:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    hashes = rolling(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), size, powers)
-    chosen = sliding_min((hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64), window - size + 1) & _LOW
-    return hashes[chosen].view(np.int64), chosen.astype(np.int64)
-
-
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values, and the end."""
-    n = len(columns[0])
-    new = np.zeros(n, bool)
-    if n:
-        new[0] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return np.append(np.flatnonzero(new), n)
-
-
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.string()).cast(pa.binary()).to_pylist()]
-
-
 def _scan(window: int):
     """Texts to their anchors; ``twice`` are those that the text has at several places."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, units = Powers(), single_bytes()
         for batch in pieces(batches):
             n, once, twice = [], [], []
-            for text in _bytes(batch.column(2)):
+            for text in as_bytes(batch.column(2)):
                 n.append(len(text))
-                named, at = anchors(text, window, powers)
-                edges = _runs(named)
+                named, at = anchors(units.hashes(text), window, phrase_bytes(window), powers)
+                edges = runs(named)
                 first = edges[:-1]
                 values, counts = np.unique(np.concatenate([named[first], named[first[at[first] != at[edges[1:] - 1]]]]), return_counts=True)
                 once.append(values[counts == 1]), twice.append(values[counts > 1])
@@ -93,86 +59,6 @@ def _scan(window: int):
     return scan
 
 
-_PASSAGES = "sha binary, start long, anchor long, passage binary, text binary"
-
-
-def _passages(window: int):
-    """Texts with their recurring anchors to the passages around them."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in pieces(batches, 100):
-            rows: list[list] = [[] for _ in range(5)]
-            for sha, text, wanted in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                named, _ = anchors(text, window, powers)
-                edges = _runs(named)
-                keep = np.isin(named[edges[:-1]], np.array(wanted, np.int64))
-                for a, b in zip(edges[:-1][keep].tolist(), edges[1:][keep].tolist(), strict=True):
-                    part = text[a : b - 1 + window]
-                    for column, x in zip(rows, (sha, a, int(named[a]), xxhash.xxh3_128_digest(part), part), strict=True):
-                        column.append(x)
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], ["sha", "start", "anchor", "passage", "text"])
-
-    return scan
-
-
-_PARTS = "anchor long, passage binary, offset long, key long, least int, most int, text binary, n long"
-
-
-def _dealt_again(window: int):
-    """Parts (of _PARTS) to smaller ones, by what stands around their phrase; least and most bound how far a window
-    reaches to the right of it."""
-    size = phrase_bytes(window)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in pieces(batches, 100):
-            rows = []
-            for p in batch.to_pylist():
-                text, middle = p["text"], (p["least"] + p["most"] + 1) // 2
-                _, at = anchors(text, window, powers)
-                reach = np.arange(len(at)) + window - size - at
-                right = reach >= middle
-                fits = (reach >= p["least"]) & (reach <= p["most"])
-                edges = _runs(at, right, fits)
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    if not fits[a]:
-                        continue
-                    x = int(at[a])
-                    around = text[x + size : x + size + middle] if right[a] else text[x - (window - size - middle + 1) : x]
-                    key = xxhash.xxh3_64_intdigest(around, p["key"] % (1 << 64) ^ int(right[a])) - (1 << 63)
-                    least, most = (middle, p["most"]) if right[a] else (p["least"], middle - 1)
-                    rows.append({**p, "offset": p["offset"] + a, "key": key, "least": least, "most": most, "text": text[a : b - 1 + window]})
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
-
-    return scan
-
-
-def _parts(passages: DataFrame, window: int, shard_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Passages (anchor, passage, text, n) as parts whose keys hold ``shard_bytes`` at most, and the tables they lie in."""
-    open_ = passages.select(
-        "anchor", "passage", F.lit(0).cast("long").alias("offset"), F.col("anchor").alias("key"), F.lit(0).alias("least"), F.lit(window - phrase_bytes(window)).alias("most"), "text", "n"
-    )
-    settled, written = None, []
-    while True:
-        # equal texts of a key count once
-        texts = open_.groupBy("key", F.xxhash64("text").alias("h")).agg(F.first(F.length("text")).alias("size"), F.max("most").alias("most"), F.max("least").alias("least"))
-        keys = texts.groupBy("key").agg(F.sum("size").alias("bytes"), F.max("most").alias("most"), F.max("least").alias("least"))
-        hot = cut(keys.where((F.col("bytes") > shard_bytes) & (F.col("most") > F.col("least"))).select("key"), "hot-keys")
-        written.append(hot)
-        if hot.isEmpty():
-            return open_ if settled is None else settled.unionByName(open_), written
-        calm = open_.join(hot, "key", "left_anti")
-        settled = calm if settled is None else settled.unionByName(calm)
-        again = open_.join(hot, "key", "left_semi").select(*[c.split()[0] for c in _PARTS.split(", ")]).mapInArrow(_dealt_again(window), _PARTS)
-        again = cut(again, "dealt-again")
-        several = again.groupBy("key").agg(F.sum("n").alias("_n")).where("_n > 1").select("key")
-        open_ = cut(again.join(several, "key", "left_semi").select(again.columns), "dealt-parts")
-        written.append(open_)
-        forget(again)
-
-
 _FOUND = "key long, passage_of_key binary, starts array<long>, ends array<long>"
 
 
@@ -197,10 +83,10 @@ def _remove(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 100):
             removed, spans, kept, shas = [], [], [], []
-            for text, runs in zip(_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, gone in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 left, at, n = [], 0, 0
                 end = -1
-                for r in sorted(runs, key=lambda r: r["s"]):
+                for r in sorted(gone, key=lambda r: r["s"]):
                     if r["s"] > end:  # else the runs overlap or touch
                         n += 1
                         left.append(text[at : r["s"]])
@@ -243,24 +129,23 @@ def repeated_substrings(docs: DataFrame, window: int = 400, shard_bytes: int = S
     lists = lists.select(F.col("sha").alias("_sha"), F.col("first").alias("_first"), "anchors").hint("merge")
     holders = plain.join(lists, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["sha"])
     holders = cut(holders.select("sha", "text", "anchors"), "substring-holders")
-    places = cut(holders.mapInArrow(_passages(window), _PASSAGES), "substring-passages")
+    size = phrase_bytes(window)
+    places = cut(holders.mapInArrow(passages(window, size, single_bytes), PASSAGES), "substring-passages")
 
     counted = places.join(classes.select("sha", several.alias("n")), "sha")
-    passages = cut(counted.groupBy("anchor", "passage", "text").agg(F.sum("n").alias("n")), "distinct-substrings")
-    parts, written = _parts(passages, window, shard_bytes)
-    distinct = parts.groupBy("key", "text").agg(F.sum("n").alias("n"))
-    size = passages.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    found = cut(sharded.groupBy("shard").applyInPandas(_located(window), _FOUND), "repeated-substrings")
-
-    told = parts.select("anchor", "passage", "offset", "key", F.unhex(F.sha2("text", 256)).alias("passage_of_key")).join(found, ["key", "passage_of_key"])
-    runs = F.transform(F.arrays_zip("starts", "ends"), lambda r: F.struct((r["starts"] + F.col("offset")).alias("s"), (r["ends"] + F.col("offset")).alias("e")))
-    told = cut(told.select("anchor", "passage", runs.alias("runs")), "told-substrings")
-    runs = F.transform("runs", lambda r: F.struct((r["s"] + F.col("start")).alias("s"), (r["e"] + F.col("start")).alias("e")))
-    own = places.drop("text").join(told, ["anchor", "passage"]).groupBy("sha").agg(F.flatten(F.collect_list(runs)).alias("runs"))
+    whole = cut(counted.groupBy("anchor", "passage", "text").agg(F.sum("n").alias("n")), "distinct-substrings")
+    dealt, written = parts(whole, window, size, single_bytes, shard_bytes, ["n"], F.sum("n") > 1)
+    distinct = dealt.groupBy("key", "text").agg(F.sum("n").alias("n"))
+    n_bytes = whole.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = cut(sharded(distinct, n_bytes, shard_bytes).groupBy("shard").applyInPandas(_located(window), _FOUND), "repeated-substrings")
+
+    told = dealt.select("anchor", "passage", "offset", "key", F.unhex(F.sha2("text", 256)).alias("passage_of_key")).join(found, ["key", "passage_of_key"])
+    at = F.transform(F.arrays_zip("starts", "ends"), lambda r: F.struct((r["starts"] + F.col("offset")).alias("s"), (r["ends"] + F.col("offset")).alias("e")))
+    told = cut(told.select("anchor", "passage", at.alias("runs")), "told-substrings")
+    at = F.transform("runs", lambda r: F.struct((r["s"] + F.col("start")).alias("s"), (r["e"] + F.col("start")).alias("e")))
+    own = places.drop("text").join(told, ["anchor", "passage"]).groupBy("sha").agg(F.flatten(F.collect_list(at)).alias("runs"))
     own = cut(own.withColumnRenamed("sha", "_sha"), "substring-runs")
-    forget(places, passages, found, told, *written)
+    forget(places, whole, found, told, *written)
     cleaned = holders.join(own.hint("merge"), F.col("sha") == F.col("_sha")).select("sha", "text", "runs")
     cleaned = cut(cleaned.mapInArrow(_remove(window), "_sha binary, removed long, spans long, left binary, left_sha string"), "substring-rests")
     forget(holders, own, classes)

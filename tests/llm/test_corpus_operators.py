@@ -119,7 +119,7 @@ def brute_phrases(rows, window):
     return out
 
 
-@pytest.mark.parametrize("most", [phrases.SHARD_PASSAGES, 2])
+@pytest.mark.parametrize("most", [phrases.SHARD_BYTES, 1_500])
 def test_repeated_phrases_equal_brute_force(spark, most):
     rnd = random.Random(3)
     shared = [words(rnd, n) for n in (50, 51, 80, 160)]
@@ -132,7 +132,7 @@ def test_repeated_phrases_equal_brute_force(spark, most):
             text[0:0] = s[a : a + rnd.choice([49, 50, 60, 200])]
         rows.append((d, " ".join(text) if d % 7 else "\n".join(text)))
     rows += [(100, rows[3][1]), (101, "tok " * 120), (102, "tok " * 60), (103, None), (104, "")]
-    found = phrases.repeated_phrases(docs_of(spark, rows), shard_passages=most).collect()
+    found = phrases.repeated_phrases(docs_of(spark, rows), shard_bytes=most).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute_phrases(rows, 50)
 
 
@@ -146,31 +146,47 @@ def test_repeated_phrases_of_ids_with_several_texts(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == sorted(expected)
 
 
-def test_automaton_locates_what_is_confirmed():
-    """Windows that recur get their first document, wherever the passage is cut; others get none."""
-    import numpy as np
-    import pandas as pd
+def test_automata_decide():
+    """Windows that recur get their first document, wherever the passage is cut; without an automaton none does, and
+    without one of its phrases the windows that hold no other phrase stay."""
+    import ahocorasick
 
     rnd = random.Random(31)
-    shared = words(rnd, 70)
-    powers, hashes = phrases.Powers(), phrases.WordHashes()
-    texts = [" ".join(w) for w in (shared, shared[5:], shared[:65] + words(rnd, 5), words(rnd, 60))]
-    rows = []
-    for d, t in enumerate(texts):
-        w = t.encode().split()
-        named = phrases.anchors(hashes.of(w, len(w)), 50, powers).view(np.int64)
-        edge = [0, *(np.flatnonzero(named[1:] != named[:-1]) + 1), len(named)]
-        rows += [(int(named[i]), k, b" ".join(w[i : j + 49]).decode(), d, d, 1, d, i) for k, (i, j) in enumerate(zip(edge, edge[1:]))]
-    frame = pd.DataFrame(rows, columns=["anchor", "passage", "text", "first", "last", "parts", "doc", "start"])
-    frame["passage"] = range(len(frame))
-    out = phrases.locate(frame, 50)
-    located = {(r.doc, r.start + i): int(x) for r, own in zip(frame.itertuples(), out["firsts"]) for i, x in enumerate(own) if x < 1 << 62}
-    at = {d: [tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)] for d, t in enumerate(texts)}
+    shared = words(rnd, 170)
+    texts = [" ".join(w) for w in (shared, shared[5:], shared[:165] + words(rnd, 5), words(rnd, 60), ["tok"] * 90, ["tok"] * 60)]
+    shard = phrases.Shard([t.encode() for t in texts], list(range(6)), list(range(6)), 50)
     holders = defaultdict(set)
-    for d, own in at.items():
-        for w in own:
-            holders[w].add(d)
-    assert located == {(d, i): min(holders[w]) for d, own in at.items() for i, w in enumerate(own) if len(holders[w]) > 1}
+    for d, t in enumerate(texts):
+        for i in range(len(t.split()) - 49):
+            holders[tuple(t.split()[i : i + 50])].add(d)
+    expected = {(d, i): min(h) for d, t in enumerate(texts) for i in range(len(t.split()) - 49) if len(h := holders[tuple(t.split()[i : i + 50])]) > 1}
+    located = lambda a: {(d, i): int(x) for d, own in enumerate(shard.located(a)) for i, x in enumerate(own) if x < 1 << 62}
+    whole = shard.automaton()
+    assert located(whole) == expected and len(whole) > 2
+
+    def of(some):
+        a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for p in some:
+            a.add_word(p, p)
+        a.make_automaton()
+        return a
+
+    assert located(of([])) == {}
+    fewer = []
+    for gone in whole.values():
+        rest = [p for p in whole.values() if p != gone]
+        holds = lambda d, i: any(shard.codes[d][k : k + 12] in rest for k in range(i, i + 39))
+        left = {(d, i): x for (d, i), x in expected.items() if holds(d, i)}
+        assert located(of(rest)) == left
+        fewer.append(len(expected) - len(left))
+    assert sum(x > 0 for x in fewer) >= 2
+
+
+def test_repeated_phrases_of_one_long_repeated_phrase(spark):
+    """Texts that repeat one phrase for their whole length, in shards much smaller than they are."""
+    rows = [(d, "on and on " * n) for d, n in enumerate((3_000, 2_000, 40, 16))] + [(9, "on and on it goes " * 600)]
+    found = phrases.repeated_phrases(docs_of(spark, rows), shard_bytes=20_000).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute_phrases(rows, 50)
 
 
 def test_repeated_phrases_awkward_rows(spark):
