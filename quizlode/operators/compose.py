@@ -121,12 +121,6 @@ def filled_copies(rows: DataFrame) -> DataFrame:
     return met.where(reach == F.size("short")).select("id").distinct()
 
 
-def kept(rows: DataFrame, path: str) -> DataFrame:
-    """Rows written to a shared folder and read again, so that what uses them twice doesn't work them out twice."""
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def bank(rows: DataFrame) -> DataFrame:
     """The flat questions to keep: no unanswered heading, noise or filled copy."""
     missing = F.col("status") == "missing_answer"

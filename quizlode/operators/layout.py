@@ -182,3 +182,22 @@ def audit(found: DataFrame) -> DataFrame:
 def orphans(lines: DataFrame, used: DataFrame) -> DataFrame:
     """Lines (document_id, page, pos, role) that are neither noise nor used (document_id, page, pos) by anything."""
     return lines.where("role <> 'NOISE'").join(used.select("document_id", "page", "pos"), ["document_id", "page", "pos"], "left_anti")
+
+
+def rhythm_blocks(lines: DataFrame) -> DataFrame:
+    """Lines (block, pos, page, y, h) with item: which of a block's unlabelled items (from 0) each is of, by vertical rhythm.
+
+    A line goes on with the item before it if the distances in its block vary (by more than 2 and than 0.35 of the first
+    line's height) and its own is under 0.6 of the largest one. A line on another page begins an item; a distance
+    across pages is larger than any.
+    """
+    w = W.partitionBy("block").orderBy("pos")
+    every = W.partitionBy("block")
+    across = F.lag("page").over(w) != F.col("page")
+    lines = lines.withColumn("_gap", F.when(across, F.lit(float("inf"))).otherwise(F.col("y") - F.lag(F.col("y") + F.col("h")).over(w)))
+    within = F.when(F.col("_gap") < float("inf"), F.col("_gap"))
+    most = F.greatest(F.max(within).over(every), F.lit(0.0))
+    first = F.first("h").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    varied = most - F.min("_gap").over(every) > F.greatest(first * 0.35, F.lit(2.0))
+    lines = lines.withColumn("_begins", ~F.coalesce(varied & (F.col("_gap") < 0.6 * most), F.lit(False)))
+    return lines.withColumn("item", F.sum(F.col("_begins").cast("int")).over(w).cast("int") - 1).drop("_gap", "_begins")

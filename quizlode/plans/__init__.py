@@ -1,3 +1,3 @@
 """Operators as registered queries."""
 
-from . import composed, queries, reviewed, scalars, screens, stored  # noqa: F401
+from . import composed, imports, queries, reviewed, scalars, screens, stored  # noqa: F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,9 +13,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    import tempfile
-    import uuid
-
-    given = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quizlode-")
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one where all run in one process."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = tempfile.mkdtemp(prefix="quizlode-")
     return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written to a shared folder and read again: what uses them twice, or after a loss, doesn't work them out again."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Remove folders whose tables have been consumed."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -53,14 +53,6 @@ def test_blanks_inside_a_sentence(spark):
     assert [(r.kind, r.stem, r.answer, r.status) for r in found] == [("text", "The ___ beats", "heart", "answered")]
 
 
-def test_solved_rows():
-    rows = [{"value": "x", "wrong": False}, {"value": "y", "wrong": True}, {"value": "z", "wrong": False}]
-    assert review.remaining(["x", "y", "z"], rows, ["x", None, None]) == ["x", "z", "y"]
-    assert review.remaining(["x", "y", "z"], rows, [None, None, None]) == [None, None, None]
-    assert review.remaining(["x", "y"], rows[:2], ["x", "y"]) == ["x", "y"]
-    assert review.remaining([str(k) for k in range(8)], [{"value": "", "wrong": False}] * 8, [None] * 8) == [None] * 8
-
-
 def test_filled_copies_and_empty_tables(spark):
     rows = [(1, "Blood flows through the ___ to the lung", {}, "answered"), (2, "Blood flows through the right side to the lung", {}, "missing_answer"), (3, "Blood flows back", {}, "missing_answer")]
     schema = "id int, question string, options map<string,string>, status string"
