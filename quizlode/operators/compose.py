@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleanup, text
+from ..sources import kept
 from . import engine, records, resolve
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

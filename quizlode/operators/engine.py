@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from . import evidence, layout
+from . import evidence, feedback, layout
 
 PAGE = (
     "document_id string, page int, items array<struct<str:string,x:double,y:double,w:double,h:double>>"
@@ -288,8 +288,10 @@ def instances(lines: DataFrame) -> DataFrame:
 def answers(rows: DataFrame) -> DataFrame:
     """Instances with kind of score, positions of right and wrong options, order, status, confidence and completeness.
 
-    Evidence in this order: plus and minus signs, a feedback line that names options, marks read by the score. A private
-    icon means what the document's full and zero scores say it means. Nothing is answered without such evidence.
+    Evidence in this order: plus and minus signs, a feedback line that names options (the others are wrong then), pairs or
+    the answer to a question without options, marks read by the score. A private icon means what the document's full and
+    zero scores say it means. Nothing is answered without such evidence. issues and extraction_status tell what a person
+    should look at; a text layer is read with full confidence.
     """
     rows = rows.withColumn("score_kind", evidence.score_kind(F.col("earned"), F.col("maximum")))
     marks = rows.select("document_id", F.col("instance_id").alias("question_id"), "score_kind", F.explode(F.flatten(F.transform("options", lambda o: o["glyphs"]))).alias("glyph"))
@@ -304,8 +306,11 @@ def answers(rows: DataFrame) -> DataFrame:
     where = lambda test: F.filter(F.transform("options", lambda o, i: F.when(test(o), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("checks", where(lambda o: F.arrays_overlap(o["glyphs"], ok))).withColumn("crosses", where(lambda o: F.arrays_overlap(o["glyphs"], no)))
     rows = rows.withColumn("plus", where(lambda o: o["sign"] == "+")).withColumn("signed", where(lambda o: o["sign"].isNotNull()))
-    said = text.match_key(F.col("feedback"))
-    rows = rows.withColumn("told", F.when(said != "", where(lambda o: F.contains(F.concat(F.lit(" "), said, F.lit(" ")), F.concat(F.lit(" "), text.match_key(o["text"]), F.lit(" "))))).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("said", feedback.named(F.col("feedback"), F.transform("options", lambda o: o["text"])))
+    rows = rows.withColumn("told", F.coalesce("said.told", F.array().cast("array<int>")))
+    n = F.size("options")
+    linked = F.coalesce(F.size("said.pairs"), F.lit(0))
+    typed = F.col("said.text_answer").isNotNull() & (linked <= 0)
     all_signed = (F.size("signed") > 0) & (F.size("signed") == F.size("options"))
     marked = evidence.scored_answer(F.col("score_kind"), F.col("checks"), F.col("crosses"), F.array().cast("array<int>"), F.lit(0.95))
     state = lambda s, c, done: F.struct(F.lit(s).alias("status"), F.lit(c).cast("double").alias("confidence"), F.lit(done).alias("complete"))
@@ -315,18 +320,28 @@ def answers(rows: DataFrame) -> DataFrame:
         .when(F.size("signed") > 0, state("NEEDS_REVIEW", 0.6, False))
         .when(clash, state("CONFLICT", 0.4, False))
         .when(F.size("told") > 0, state("CONFIRMED_BY_DOCUMENT", 0.97, True))
+        .when(linked > 0, F.when(linked == n, state("CONFIRMED_BY_DOCUMENT", 0.95, True)).otherwise(state("NEEDS_REVIEW", 0.6, False)))
+        .when(typed & (n == 0), state("CONFIRMED_BY_DOCUMENT", 0.93, True))
         .otherwise(marked)
     )
     rows = rows.withColumn("verdict", verdict)
     right = F.when(F.size("signed") > 0, F.col("plus")).when(F.size("told") > 0, F.col("told")).when(F.col("score_kind") == "ZERO_SCORE", F.array().cast("array<int>")).otherwise(F.col("checks"))
-    wrong = F.when(all_signed, F.array_except("signed", "plus")).otherwise(F.col("crosses"))
+    others = F.array_except(F.transform("options", lambda o, i: i), F.col("told"))
+    wrong = F.when(all_signed, F.array_except("signed", "plus")).when((F.size("signed") == 0) & (F.size("told") > 0), others).otherwise(F.col("crosses"))
+    issues = F.array_compact(F.array(
+        F.when(F.coalesce("stem", F.lit("")) == "", "EMPTY_STEM"), F.when(n == 1, "SINGLE_OPTION"), F.when(typed & (n > 0), "FEEDBACK_UNMATCHED"), F.when(clash, "FEEDBACK_CONTRADICTS_MARKS"),
+        F.when((F.size("signed") > 0) & (F.size("plus") == 0), "PLUS_MINUS_WITHOUT_PLUS"),
+    ))
+    found = evidence.extraction(F.col("stem"), n, issues, F.lit(1.0), F.lit("known"), F.col("verdict.status"), F.col("verdict.confidence"))
+    pairs = F.transform_keys("said.pairs", lambda i, _: F.get("options", i)["text"])
     codes = F.transform("options", lambda o: o["code"])
     order = F.when((F.size("options") >= 2) & evidence.order_codes(codes), F.transform(F.array_sort(F.transform("options", lambda o, i: F.struct(o["code"].alias("c"), i.alias("i")))), lambda x: x["i"]))
     return rows.select(
         "instance_id", "document_id", "attempt", "sequence", "page", "number", "stem", "options", "multi", "score_kind",
         right.alias("right"), wrong.alias("wrong"), order.alias("right_order"), "verdict.status", "verdict.confidence", "verdict.complete",
         text.match_key(F.col("stem")).alias("key"),
-        F.when(F.col("multi") | (F.size(right) > 1), "MULTIPLE_CHOICE").otherwise("SINGLE_CHOICE").alias("type"),
+        F.when(linked > 0, "MATCHING").when(F.col("multi") | (F.size(right) > 1), "MULTIPLE_CHOICE").otherwise("SINGLE_CHOICE").alias("type"),
+        F.when(linked > 0, pairs).alias("matching"), F.when(typed, F.col("said.text_answer")).alias("text_answer"), issues.alias("issues"), found["extraction_status"].alias("extraction_status"),
     )
 
 

@@ -91,3 +91,17 @@ def test_numbered_questions_with_feedback_and_order(spark):
 
 def test_empty_document(spark):
     assert engine.analyze(spark.createDataFrame([], engine.PAGE)).count() == 0
+
+
+def test_feedback_answers(spark):
+    """A feedback line names options (the others are wrong), links pairs, answers a question without options, or fits none."""
+    lines = [("Что переносит кислород?", "Вопрос 1"), "Выберите один ответ:", "a. эритроциты крови", "b. эритроциты", "c. лимфоциты", "Правильный ответ: Эритроциты крови",
+             ("Установите соответствие органов", "Вопрос 2"), "Выберите один ответ:", "a. сердце", "b. лёгкое", "Правильный ответ: сердце → насос, лёгкое → газообмен",
+             ("Назовите канюлю для операции", "Вопрос 3"), "Правильный ответ: канюля Люэра",
+             ("Какой ответ верен здесь?", "Вопрос 4"), "Выберите один ответ:", "a. первый", "b. второй", "Правильный ответ: совсем другое"]
+    found = engine.analyze(pages_of(spark, [page(1, lines)])).orderBy("number").collect()
+    assert [(r.right, r.wrong, r.matching, r.text_answer) for r in found] == [
+        ([0], [1, 2], None, None), ([], [], {"сердце": "насос", "лёгкое": "газообмен"}, None), ([], [], None, "канюля Люэра"), ([], [], None, "совсем другое"),
+    ]
+    assert [(r.status, r.confidence, r.type) for r in found][:3] == [("CONFIRMED_BY_DOCUMENT", 0.97, "SINGLE_CHOICE"), ("CONFIRMED_BY_DOCUMENT", 0.95, "MATCHING"), ("CONFIRMED_BY_DOCUMENT", 0.93, "SINGLE_CHOICE")]
+    assert found[3].status == "UNRESOLVED" and found[3].issues == ["FEEDBACK_UNMATCHED"] and [r.extraction_status for r in found] == ["PARSED", "PARSED", "PARSED", "NEEDS_REVIEW"]
