@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleanup, text
-from ..sources import kept
+from ..sources.stages import StageLog
 from . import engine, records, resolve
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -129,8 +129,9 @@ def bank(rows: DataFrame) -> DataFrame:
     return rows.join(filled_copies(rows), "id", "left_anti").withColumn("document_id", F.col("first.document_id"))
 
 
-def build(instances: DataFrame, folder: str) -> DataFrame:
-    """Answered instances to the questions of a bank; ``folder`` is shared with the executors."""
+def build(instances: DataFrame, folder: str, log: StageLog | None = None) -> DataFrame:
+    """Answered instances to the questions of a bank; ``folder`` is shared with the executors, ``log`` notes what is written."""
+    kept = (log or StageLog()).kept
     keyed = kept(instances.where(F.trim("stem") != "").withColumn("id", F.xxhash64("instance_id")), f"{folder}/instances")
     named = keyed.withColumn("option_texts", F.transform("options", lambda o: text.match_key(o["text"])))
     stems = named.select("id", "document_id", "sequence", "stem", "key", F.col("option_texts").alias("options"), "type")
@@ -141,6 +142,6 @@ def build(instances: DataFrame, folder: str) -> DataFrame:
     return bank(kept(to_flat(canonicals(kept(rows, f"{folder}/members"))), f"{folder}/questions"))
 
 
-def extract(pages: DataFrame, folder: str) -> DataFrame:
+def extract(pages: DataFrame, folder: str, log: StageLog | None = None) -> DataFrame:
     """Positioned pages (document_id, page, items) to the questions of a bank."""
-    return build(engine.analyze(pages), folder)
+    return build(engine.analyze(pages), folder, log)

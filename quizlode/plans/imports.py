@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import feedback, grouping, layout, pictures
-from ..sources import adapters, table, work_folder
+from ..sources import adapters, saved_bank, table, work_folder
+from ..sources.stages import StageLog
 from .registry import query
 
 
@@ -70,3 +71,36 @@ def rhythm_blocks(spark, folder):
         F.col("l_orderkey").alias("block"), n.alias("pos"), F.when(n > 4, 2).otherwise(1).alias("page"), (n * 14 + F.col("l_suppkey") % 2 * 6).alias("y"), (n + 10).alias("h")
     )
     return layout.rhythm_blocks(lines).select("block", "pos", "item")
+
+
+@query("""SELECT p_partkey::VARCHAR AS id, p_size::INTEGER AS number, 'Which ' || p_name || ' is it?' AS question, 'A=' || p_brand || '|B=' || p_type AS options,
+ CASE WHEN p_size % 3 = 0 THEN '' ELSE 'B' END AS key, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS answer,
+ CASE WHEN p_size % 2 = 1 THEN 0.5::DOUBLE WHEN p_size % 3 = 0 THEN round((0.99 + 0.6 + 0.5) / 3, 2)::DOUBLE ELSE round((0.99 + 0.6 + 0.99) / 3, 2)::DOUBLE END AS overall,
+ CASE WHEN p_size % 2 = 1 THEN 'review' WHEN p_size > 25 THEN 'verified' ELSE 'pending' END AS status FROM part""")
+def saved_bank_upgraded(spark, folder):
+    """Parts as a saved bank, half of them in either shape, with scores left in the texts; read again as questions."""
+    name, score = F.col("p_name"), F.lit(" Балл: 1,00")
+    part = table(spark, folder, "part").withColumn("stem", F.concat(F.lit("Which "), name, F.lit(" is it?"), score))
+    has = F.col("p_size") % 3 != 0
+    listed = F.array(F.struct(F.lit("A").alias("key"), F.concat("p_brand", score).alias("text")), F.struct(F.lit("B").alias("key"), F.col("p_type").alias("text")))
+    whole = F.struct(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_size").alias("questionNumber"), F.struct(F.col("stem").alias("text")).alias("question"), listed.alias("options"),
+        F.when(has, F.struct(F.lit("B").alias("key"), F.concat(name, score).alias("text"))).alias("answer"), F.struct(F.lit(0.5).alias("overall"), F.lit("low").alias("level")).alias("confidence"), F.lit("review").alias("status"),
+    )
+    flat = F.struct(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("string").alias("number"), F.col("stem").alias("question"), F.create_map(F.lit("B"), F.col("p_type"), F.lit("A"), F.concat("p_brand", score)).alias("options"),
+        F.when(has, F.lit("B")).alias("correctAnswer"), F.when(F.col("p_size") > 25, "high").otherwise("medium").alias("confidence"),
+    )
+    path = work_folder(spark, "saved")
+    part.select(F.when(F.col("p_size") % 2 == 1, F.to_json(whole)).otherwise(F.to_json(flat)).alias("value")).write.text(path)
+    rows = saved_bank.load(spark, path, lines=True)
+    options = F.array_join(F.transform("options", lambda o: F.concat_ws("=", o["key"], o["text"])), "|")
+    return rows.select("id", "number", "question", options.alias("options"), F.coalesce("answer.key", F.lit("")).alias("key"), F.col("answer.text").alias("answer"), F.col("confidence.overall").alias("overall"), "status")
+
+
+@query("""SELECT 'orders' AS stage, count(*)::BIGINT AS rows, max(o_orderkey)::VARCHAR AS latest FROM orders UNION ALL SELECT 'open', count(*)::BIGINT, NULL FROM orders WHERE o_orderstatus = 'O'""")
+def stage_log(spark, folder):
+    log, path = StageLog(), work_folder(spark, "stages")
+    orders = log.kept(table(spark, folder, "orders"), f"{path}/orders", latest=F.max("o_orderkey"))
+    log.kept(orders.where("o_orderstatus = 'O'"), f"{path}/open")
+    return log.table(spark).where("ms >= 0").select("stage", "rows", F.col("details")["latest"].alias("latest"))
