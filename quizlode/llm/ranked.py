@@ -11,8 +11,8 @@ more than k candidates, those without the bit go; where it leaves fewer, those w
 on. Ties that are left at the end go to the smallest ids, as slots are in the order of ids. The best of every block are
 ranked together at last.
 
-The index is a table (block, ids, copies, terms, slots, slices) of one row for each block and bundle of terms; queries
-are taken in batches of bounded size, each batch reads the index once.
+The index is a table (block, term, slots, slices, ids) of one row for each term of a block, and one for the block's
+documents; queries are taken in batches of bounded size, each batch reads the index once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -66,12 +65,13 @@ def _of_vocabulary(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(doc_id, version, n, term, tf) of all documents; each has a row with the empty term. n: its terms with repeats."""
+    """(doc_id, version, n, term, tf) of all documents; each has a row with the empty term. n: its terms with repeats.
+
+    A vocabulary has distinct terms, the empty one among them.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), lower_ascii(F.col("text").cast("string")).alias("text"))
     rows = plain.mapInArrow(_scan, _POSTING).select("doc_id", "version", "n", F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
-    if vocabulary is not None:
-        rows = _of_vocabulary(rows, cut(vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string")).distinct(), "vocabulary"))
-    return rows
+    return rows if vocabulary is None else _of_vocabulary(rows, vocabulary)
 
 
 def _weight(n_docs: Column, df: Column) -> Column:
@@ -116,7 +116,11 @@ def impact_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFr
     means are those of all documents and terms in any case. The row with the empty term holds a block's documents: ids
     by slot, and in slots how often each is there (rows that repeat a doc_id and text share a slot).
     """
+    if vocabulary is not None:
+        vocabulary = cut(vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string")).distinct(), "vocabulary")
     rows = cut(postings(docs, vocabulary), "postings")
+    if vocabulary is not None:
+        forget(vocabulary)
     own = F.col("term") == ""
     sizes = rows.agg(
         F.count_if(own & (F.col("n") > 0)).alias("n_docs"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("n_terms"), F.count("*").alias("rows"), F.count_if(own).alias("all")
@@ -259,6 +263,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, batch_terms: int =
         asked = index.join(F.broadcast(vocabulary), "term", "left_semi")  # a batch's terms: bounded by batch_terms
         part = cut(asked.groupBy("block").applyInPandas(_search(batch, k), "item long, doc_id long, score long"), "best-of-blocks")
         found = part if found is None else found.unionByName(part)
+    forget(items)
     if found is None:
         found = index.sparkSession.createDataFrame([], "item long, doc_id long, score long")
     w = W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
@@ -274,7 +279,9 @@ def lexical_search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     """
     queries = queries.select(F.col("item").cast("long").alias("item"), "text")
     index = impact_index(docs, _question_terms(queries).select("term").distinct())
-    return search(index, queries, k)
+    found = search(index, queries, k)
+    forget(index)  # every batch's best are written down
+    return found
 
 
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
