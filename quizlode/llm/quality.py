@@ -14,7 +14,7 @@ independent noise (see RESOLUTION). It never takes the scatter's place: both are
 The fit is distributed. A concentration step scores all rows against the estimates of their groups, finds each group's
 quantile from a histogram of distances (counts of fixed logarithmic buckets, combined before the shuffle), and sums
 the moments of the rows within it, so neither a task nor the driver ever holds a group's rows. Two starts (medians with
-the quartiles' spread, and medians with the resolution alone) run side by side until no determinant changes any
+the quartiles' spread, and medians with the resolution alone) run side by side until determinants hardly change any
 more; the one that ends with the smaller determinant wins and is reweighted once.
 """
 
@@ -41,7 +41,9 @@ RESOLUTION = (0.01, 0.06, 0.01, 0.013, 0.10, 0.10)
 P = len(STATISTICS)
 #: The share of rows that an estimate rests on, the most concentration steps (few are needed), the rows that a wider group
 #: counts for, and the distance (squared, the 0.999 quantile of a chi-square of six degrees) from which a row is an outlier.
-SHARE, MOST_STEPS, PRIOR, CUTOFF = 0.6, 20, 30, 22.46
+SHARE, MOST_STEPS, PRIOR, CUTOFF = 0.6, 10, 30, 22.46
+#: The mean change of a determinant's logarithm from which another step is taken.
+LEAST_CHANGE = 1e-3
 #: Fewest words, and the largest share of repeated words in percent.
 LEAST_WORDS, MOST_REPEATS = 50, 50
 
@@ -244,8 +246,8 @@ def mcd_estimates(vectors: DataFrame, share: float = SHARE, most_steps: int = MO
         inner = scored.join(edge, ["group", "start"]).where("b <= edge")
         last, now = now, cut(_estimates(_moments(inner), _consistency(share)), "mcd-step")
         forget(last, edge)
-        state = now.agg(F.sum(F.round("logdet", 6))).first()[0]
-        if state is None or (before is not None and abs(state - before) < 1e-5):
+        state, n = now.agg(F.sum(F.round("logdet", 6)), F.count("*")).first()
+        if state is None or (before is not None and abs(state - before) < LEAST_CHANGE * n):
             break
         before = state
     best = now.groupBy("group").agg(F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("e"))
