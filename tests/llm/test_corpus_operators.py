@@ -550,6 +550,18 @@ def test_url_cascade_is_exact(spark):
         assert (found[i].host, found[i].path, found[i].rule, found[i].verdict) == (host, path, hit, verdict)
 
 
+def test_registered_urls_follow_the_contract(spark, tmp_path):
+    """The contract's rules, written out here on their own."""
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = [f"https://{h}{p}" for r in rules for h in (r.split("/")[0], "A." + r.split("/")[0]) for p in ("", r[r.index("/") :], r[r.index("/") :] + "x?y")]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    for r in url_cascade.op1_url_cascade(spark, str(tmp_path)).collect():
+        host, path = brute_host(urls[r.page_id])
+        fit = lambda x: (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith(x[x.index("/") :])
+        hit = max(filter(fit, rules), key=len, default=None)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, hit, rules.get(hit, "allow"))
+
+
 def test_cascade_members(spark):
     keys = [f"k{i}" for i in range(5000)]
     listed = set(keys[::3])
