@@ -102,24 +102,38 @@ def to_flat(questions: DataFrame) -> DataFrame:
     )
 
 
-def filled_copies(rows: DataFrame) -> DataFrame:
-    """(id): unanswered questions (id, question, options map, status) that repeat one without options with words in its blanks.
+def filled_candidates(rows: DataFrame) -> DataFrame:
+    """(id, w, short): unanswered questions and the originals (words) that they may repeat, as ``filled_copies`` tells.
 
-    The copy has the words of the original in its order, and one to six more. Its first two original words may be apart
-    by what was filled in, so copies meet originals by each pair of an original's words that could begin it.
+    Two words in a row of the original may be apart by what was filled in, so copies meet originals by the pair of
+    neighbours that the fewest originals have. Originals of equal words meet as one.
     """
     open_ = rows.where(F.size("options") == 0).select("id", "status", text.words(F.col("question")).alias("w"))
-    originals = open_.where(F.size("w") >= LEAST_WORDS).select(F.col("id").alias("of"), F.col("w").alias("short"))
-    originals = originals.withColumn("a", F.get("short", F.lit(0))).withColumn("b", F.get("short", F.lit(1)))
-    ahead = F.sequence(F.lit(0), F.lit(MOST_FILLED))
+    originals = open_.where(F.size("w") >= LEAST_WORDS).groupBy(F.col("w").alias("short")).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    pair = lambda w, i, j: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + j))
+    own = F.transform(F.sequence(F.lit(0), F.size("short") - 2), lambda i: pair("short", i, F.lit(1)))
+    pairs = originals.select("short", "least", "most", F.explode(F.array_distinct(own)).alias("pair"))
+    counted = pairs.join(pairs.groupBy("pair").agg(F.count("*").alias("n")), "pair")
+    originals = counted.groupBy("short", "least", "most").agg(F.min(F.struct("n", "pair"))["pair"].alias("pair"))
     long = open_.where("status = 'missing_answer'").where(F.size("w") > LEAST_WORDS)
-    starts = F.filter(F.flatten(F.transform(ahead, lambda i: F.transform(ahead, lambda j: F.struct(F.get("w", i).alias("a"), F.get("w", i + j + 1).alias("b"))))), lambda p: p["b"].isNotNull())
-    copies = long.select("id", "w", F.inline(F.array_distinct(starts)))
-    more = F.size("w") - F.size("short")
-    met = copies.join(originals, ["a", "b"]).where((F.col("id") != F.col("of")) & more.between(1, MOST_FILLED))
+    ahead = F.sequence(F.lit(1), F.lit(MOST_FILLED + 1))
+    near = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.transform(ahead, lambda j: pair("w", i, j))))
+    # a long question has many pairs, so its words join those that are met and don't travel with each pair
+    copies = long.select("id", F.size("w").alias("n_words"), F.explode(F.array_distinct(F.array_compact(near))).alias("pair"))
+    more = F.col("n_words") - F.size("short")
+    other = (F.col("id") != F.col("least")) | (F.col("id") != F.col("most"))
+    met = copies.join(originals, "pair").where(other & more.between(1, MOST_FILLED)).select("id", "short")
+    return met.join(long.select("id", "w"), "id").select("id", "w", "short")
+
+
+def filled_copies(rows: DataFrame) -> DataFrame:
+    """(id): unanswered questions (id, question, options map, status) that repeat one without options with words in its blanks.
+
+    The copy has the words of the original in its order, and one to six more.
+    """
     # how far into the original the copy's words lead
     reach = F.aggregate("w", F.lit(0), lambda k, w: F.when(F.get("short", k) == w, k + 1).otherwise(k))
-    return met.where(reach == F.size("short")).select("id").distinct()
+    return filled_candidates(rows).where(reach == F.size("short")).select("id").distinct()
 
 
 def bank(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Attempt reviews, figures and composition at the edges."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quizlode.operators import compose, figures, records, review, store, views
@@ -61,6 +63,30 @@ def test_filled_copies_and_empty_tables(spark):
     assert records.parse_answers(spark.createDataFrame([(1, "no json"), (2, None), (3, "[]")], "id int, json string")).count() == 0
 
 
+def test_filled_copies_by_their_rarest_neighbours(spark):
+    """Against all pairs, on few words; and many questions with one beginning meet only what shares more with them."""
+    rnd = random.Random(5)
+    some = lambda n: [rnd.choice("abcdefg") for _ in range(n)]
+    texts = [some(rnd.randint(1, 7)) for _ in range(120)]
+    for _ in range(80):
+        w = list(rnd.choice(texts))
+        for _ in range(rnd.randint(1, 8)):
+            w.insert(rnd.randint(0, len(w)), rnd.choice("abcdefg"))
+        texts.append(w)
+    rows = [(k, " ".join(w), {}, "missing_answer" if k % 3 else "answered") for k, w in enumerate(texts)]
+
+    def repeats(w, short):
+        at = iter(w)
+        return len(short) >= 3 and 1 <= len(w) - len(short) <= 6 and all(x in at for x in short)
+
+    schema = "id int, question string, options map<string,string>, status string"
+    want = {k for k, w in enumerate(texts) if k % 3 and any(repeats(w, x) for x in texts)}
+    assert {r.id for r in compose.filled_copies(spark.createDataFrame(rows, schema)).collect()} == want
+    many = [(k, f"alpha of n{k // 2} " + ("is found" if k % 2 else "surely is found"), {}, "missing_answer") for k in range(2000)]
+    many = spark.createDataFrame(many, schema)
+    assert compose.filled_candidates(many).count() <= 4000 and compose.filled_copies(many).count() == 1000
+
+
 def test_store_at_the_edges(spark):
     canonicals = spark.createDataFrame([(1, "a"), (2, "b")], "id int, stem string")
     instances = spark.createDataFrame([("x", 1, 1), ("y", 2, None)], "document_id string, sequence int, canonical_id int")
