@@ -55,6 +55,13 @@ def test_blanks_inside_a_sentence(spark):
     assert [(r.kind, r.stem, r.answer, r.status) for r in found] == [("text", "The ___ beats", "heart", "answered")]
 
 
+def test_attempts_are_read_once(spark):
+    """What resolves them reads a table, not the reader of whole documents again and again."""
+    pages = [("d", k, [item("Вопрос", 20, 10), item("4", 60, 10), item("Баллов: 1,00 из 1,00", 20, 30), item("The", 20, 50), item("⟪heart⟫", 50, 50), item("beats", 120, 50)]) for k in (1, 2, 3)]
+    found = review.extract(spark.createDataFrame(pages, PAGES))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString() and found.count() == 1
+
+
 def test_filled_copies_and_empty_tables(spark):
     rows = [(1, "Blood flows through the ___ to the lung", {}, "answered"), (2, "Blood flows through the right side to the lung", {}, "missing_answer"), (3, "Blood flows back", {}, "missing_answer")]
     schema = "id int, question string, options map<string,string>, status string"
