@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import feedback, grouping, layout, pictures
-from ..sources import adapters, saved_bank, table, work_folder
+from ..sources import adapters, saved_bank, spread, table, work_folder
 from ..sources.stages import StageLog
 from .registry import query
 
@@ -54,7 +54,7 @@ def feedback_intervals(spark, folder):
         F.col("p_size"), F.concat(F.upper("p_brand"), F.lit(", «"), F.col("p_name"), F.lit("» and "), first), F.concat(F.upper("p_name"), F.lit(".")),
         F.concat(first, F.lit(" -> "), F.col("p_type"), F.lit("; "), F.col("p_name"), F.lit(" → "), F.col("p_brand")), F.lit("quite another answer"),
     )
-    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), value.alias("value"), F.array(F.col("p_name"), first, F.col("p_brand")).alias("options"))
+    rows = spread(table(spark, folder, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), value.alias("value"), F.array(F.col("p_name"), first, F.col("p_brand")).alias("options"))
     rows = rows.select("id", feedback.named(F.col("value"), F.col("options"), F.lit("ORDERING")).alias("f"))
     pair = F.array_sort(F.transform(F.map_entries("f.pairs"), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"])))
     return rows.select("id", F.array_join("f.told", ",").alias("told"), F.array_join("f.right_order", ",").alias("right_order"), F.array_join(pair, "|").alias("pairs"), "f.text_answer")

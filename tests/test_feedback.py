@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quizlode.operators import feedback, layout, review
+from quizlode.plans import queries
 
 
 def test_feedback_lines(spark):
@@ -106,3 +107,11 @@ def test_unlabelled_items(spark):
             item += not (varied and g is not None and g < 0.6 * most)
             assert found[b, r[1]] == item
     assert layout.rhythm_blocks(spark.createDataFrame([], "block int, pos int, page int, y double, h double")).count() == 0
+
+
+def test_values_are_worked_out_once_and_on_all_cores(spark):
+    """A text's key is bound before its places are sought, and a small file doesn't keep the work in one task."""
+    value = F.col("value")
+    plan = str(feedback.intervals(F.upper("value"), F.array(value, value)))
+    assert plan.count("upper(") == 1
+    assert queries.QUERIES["feedback_intervals"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
