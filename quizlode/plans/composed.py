@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleanup, similarity, text
 from ..operators import compose, evidence, quiz, repair, resolve
-from ..sources import adapters, table, work_folder
+from ..sources import adapters, spread, table, work_folder
 from .registry import query
 
 _KINDS = "['FULL_SCORE', 'PARTIAL_SCORE', 'ZERO_SCORE', 'NO_SCORE'][(p_size % 4 + 1)::INT]"
@@ -105,7 +105,7 @@ def filled_copies(spark, folder):
 @query("""SELECT p_partkey AS id, 'Which ' || p_name || '?' AS stem, 'a:' || p_brand || ' first|b:Second ' || p_type || '|c:Third|d:' || p_type AS options FROM part""")
 def repaired_labels(spark, folder):
     option = lambda label, *parts: F.struct(F.lit(label).alias("label"), F.concat(*parts).alias("text"))
-    rows = table(spark, folder, "part").select(
+    rows = spread(table(spark, folder, "part"), "p_partkey").select(
         F.col("p_partkey").alias("id"), F.concat(F.lit("Which "), F.col("p_name"), F.lit("? v a. "), F.col("p_brand"), F.lit(" first 16:24 2 ull 36 ($) = eee")).alias("stem"),
         F.array(option("d", F.col("p_type"), F.lit(" |")), option("b", F.lit("Second "), F.col("p_type"), F.lit(" е c. Third «"))).alias("options"),
     )
