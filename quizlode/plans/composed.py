@@ -134,7 +134,7 @@ def repaired_sequence(spark, folder):
 def cleanup_scalars(spark, folder):
     name, size = F.col("p_name"), F.col("p_size")
     values = F.array(name, F.when(size % 2 == 0, F.col("p_brand")))
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part"), "p_partkey").select(
         F.col("p_partkey").alias("id"),
         cleanup.display_text(F.concat(F.lit("Во­да "), name, F.lit("  ,  С5-Th2 в а з о к о н с т р "))).alias("display"),
         cleanup.review_key(F.concat(F.upper(name), F.lit(" ⟪Ёж⟫ — "), F.col("p_brand"))).alias("review_key"),

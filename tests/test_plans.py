@@ -5,7 +5,7 @@ import pytest
 from quizlode.plans import queries
 
 
-@pytest.mark.parametrize("name", ["repaired_labels"])
+@pytest.mark.parametrize("name", ["repaired_labels", "cleanup_scalars"])
 def test_rows_are_dealt_to_all_cores(spark, name):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
