@@ -1,7 +1,9 @@
 """Queries whose rows take long are dealt to all cores, however small the file is."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from quizlode.functions import text
 from quizlode.plans import queries
 
 
@@ -9,3 +11,8 @@ from quizlode.plans import queries
 def test_rows_are_dealt_to_all_cores(spark, name):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_letters_are_counted_once(spark):
+    """Three counts are three passes over a text, though every share is of all of them."""
+    assert str(text.languages(F.col("text"))).count("regexp_replace(") == 3
