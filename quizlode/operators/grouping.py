@@ -65,14 +65,14 @@ def import_questions(rows: DataFrame, store: str) -> DataFrame:
     seeds = groups(spark, store).join(near.select("id").distinct(), "id", "left_semi")
     seeds = kept(resolve.with_grams(seeds), f"{folder}/seeds")
 
-    pairs = resolve.alike_pairs(fresh, fresh).where("u < v").unionByName(resolve.alike_pairs(fresh, seeds))
-    found = resolve.components(pairs, folder).withColumnRenamed("node", "id")
-    columns = ["id", "document_id", "sequence", *_SAME, "generic"]
+    pairs = resolve.met(fresh, fresh, f"{folder}/fresh-fresh").unionByName(resolve.met(fresh, seeds, f"{folder}/fresh-seeds"))
+    pairs = kept(resolve.joinable(pairs), f"{folder}/pairs")
+    found = resolve.components(pairs, folder)
+    columns = ["id", "document_id", "sequence", "options", "generic"]
     nodes = fresh.select(*columns, F.lit(False).alias("seed")).unionByName(seeds.select(*columns, F.lit(True).alias("seed")))
-    marked = nodes.join(found, "id", "left")
-    replayed = marked.where("component IS NOT NULL").groupBy("component").applyInPandas(resolve._replay, resolve.REPLAYED)
+    replayed = resolve.replayed(nodes, pairs, found)
     plain = F.array_sort(F.array_distinct(F.filter("options", lambda o: o != "")))
-    alone = marked.where("component IS NULL AND NOT seed").select("id", F.col("id").alias("canonical_id"), F.lit(None).cast("long").alias("review_of"), plain.alias("options"))
+    alone = fresh.join(found.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.col("id").alias("canonical_id"), F.lit(None).cast("long").alias("review_of"), plain.alias("options"))
     decided = kept(replayed.unionByName(alone), f"{folder}/decided")
 
     placed = decided.where("id IS NOT NULL").select("id", "canonical_id", "review_of")

@@ -109,3 +109,34 @@ def test_registered_cards_hold_their_questions(spark):
         b = bank[c.id]
         shown = [t.text for t in ElementTree.fromstring(c.svg).iter("{http://www.w3.org/2000/svg}text")]
         assert shown == [f"{c.number}. {b.question}", f"A) {b.category}", f"B) {b.document}", f'C) say "{b.category}"', f"Answer: {b.answer or '-'}"]
+
+
+def test_blocks_in_parts_give_the_pairs_of_plain_loops(spark, tmp_path):
+    """A word in all texts, met in parts of five rows or of few trigrams: each alike pair once, with its exact counts."""
+    rnd = random.Random(5)
+    stems = [" ".join(["everywhere", *rnd.choices(["nerve", "vein", "heart", "bone"], k=rnd.randint(1, 6))]) for _ in range(40)] + ["", "a", "ab"]
+    frame = resolve.with_grams(rows_of(spark, [(i, "d", i, s, ["x", "y"][: i % 3]) for i, s in enumerate(stems)])).cache()
+    grams = {r.id: set(r.grams) for r in frame.select("id", "grams").collect()}
+    words = [{w for w in s.split() if len(w) >= 4} or {s} for s in stems]
+    keys = [set(sorted(dict.fromkeys(w for w in s.split() if len(w) >= 4), key=lambda w: -len(w))[:4]) or {s} for s in stems]
+    assert all(k <= w for k, w in zip(keys, words))
+    wanted = {
+        (i, j): (stems[i] == stems[j] != "", len(grams[i] & grams[j]), len(grams[i]), len(grams[j]), len({"x", "y"}) if i % 3 == j % 3 == 2 else min(i % 3, j % 3))
+        for i in range(len(stems)) for j in range(i + 1, len(stems)) if keys[i] & keys[j] and len(grams[i] & grams[j]) >= 0.55 * len(grams[i] | grams[j])
+    }
+    for k, limits in enumerate(({"part_rows": 5}, {"part_grams": 200}, {})):
+        rows = resolve.met(frame, frame, f"{tmp_path}/{k}", **limits).collect()
+        assert len(rows) == len(wanted) and {(r.a_id, r.b_id): (r.same, r.shared, r.x, r.y, r.common) for r in rows} == wanted
+    one, other = frame.where("id % 2 = 0"), frame.where("id % 2 = 1")
+    across = resolve.met(one, other, f"{tmp_path}/across", part_rows=4).collect()
+    assert sorted((min(r.a_id, r.b_id), max(r.a_id, r.b_id)) for r in across) == sorted(p for p in wanted if (p[0] + p[1]) % 2)
+    assert all(r.a_id % 2 == 0 for r in across)
+
+
+def test_a_component_is_replayed_without_its_texts():
+    """Each row meets the rows that it is alike with, and the order decides; texts aren't there to be compared again."""
+    near = lambda *ids: [{"id": i, "score": None, "stem": 0.95} for i in ids]
+    rows = [(3, "d", 3, near(1, 2)), (1, "d", 1, near(3)), (2, "d", 2, near(3)), (9, "e", 1, near())]
+    frame = pd.DataFrame([(i, False, d, n, ["yes"], False, e) for i, d, n, e in rows], columns=["id", "seed", "document_id", "sequence", "options", "generic", "near"])
+    found = {r.id: (r.canonical_id, list(r.options or [])) for r in resolve._replay_pairs(frame).itertuples()}
+    assert found == {1: (1, ["yes"]), 2: (2, ["yes"]), 3: (1, []), 9: (9, ["yes"])}
