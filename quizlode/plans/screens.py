@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import records, views
 from ..operators.bank import answer_keys
-from ..sources import adapters, table
+from ..sources import adapters, spread, table
 from .registry import query
 
 _F = """f AS (SELECT *, CASE WHEN answer IS NULL THEN 'missing_answer' WHEN p_size % 5 = 1 THEN 'needs_review' ELSE 'answered' END AS status, coalesce(answer IN ('A', 'B'), false) AS has FROM (
@@ -195,7 +195,7 @@ SELECT vec_id, len(list_filter(l, lambda x: abs(x + m['v']) >= 2)) / 64.0::DOUBL
 def blank_pictures(spark, folder):
     level = lambda i: F.when((F.col("vec_id") % 3 == 0) & (i > 0), "7").when(F.get("embedding", i) > 0, "9").otherwise("8")
     fine = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), level), "")
-    return table(spark, folder, "embeddings").select("vec_id", text.is_blank_picture(fine).alias("blank"))
+    return spread(table(spark, folder, "embeddings").select("vec_id", fine.alias("fine")), "vec_id").select("vec_id", text.is_blank_picture(F.col("fine")).alias("blank"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, epoch_ms(ts) > 1704067300000 AS later FROM events")

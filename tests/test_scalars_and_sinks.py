@@ -150,3 +150,10 @@ def test_json_envelope(spark, tmp_path):
     assert export.write_json(questions(spark), str(tmp_path / "q.json")) == 2
     held = json.loads((tmp_path / "q.json").read_text())
     assert held["totalQuestions"] == 2 and held["questions"][1]["correctAnswer"] is None and held["questions"][0]["pageNumber"] == 3
+
+
+def test_blank_pictures_work_their_shades_out_once(spark):
+    fine = ["", None, "0" * 64, "7" * 63 + "9", "7" * 399 + "9", "7" * 64 + "89" * 5, "F" * 32 + "f" * 32]
+    rows = spark.createDataFrame(list(enumerate(fine)), "id long, fine string").select("id", text.is_blank_picture(F.col("fine")).alias("blank"))
+    assert [r.blank for r in rows.orderBy("id").collect()] == [False, False, True, False, True, False, True]
+    assert rows._jdf.queryExecution().analyzed().toString().count("conv(") == 1
