@@ -51,9 +51,12 @@ def source_type(headers: Column, scores: Column, meta: Column, signs: Column, pa
 
 def coverage(instances: DataFrame, expected: DataFrame) -> DataFrame:
     """(document_id, expected, found, missing, balanced) of instances and expected questions (document_id, number)."""
-    a = expected.select("document_id", "number").distinct().withColumn("e", F.lit(1))
-    b = instances.select("document_id", "number").distinct().withColumn("f", F.lit(1))
-    both = a.join(b, ["document_id", "number"], "full")
+    # one aggregate of both sides instead of two and a join; a missing key equals no other
+    yes, no = F.lit(1), F.lit(None).cast("int")
+    side = lambda rows, e, f: rows.select("document_id", "number", e.alias("e"), f.alias("f"))
+    both = side(expected, yes, no).unionByName(side(instances, no, yes))
+    apart = F.when(F.col("document_id").isNull() | F.col("number").isNull(), F.col("e").isNull())
+    both = both.groupBy("document_id", "number", apart.alias("_apart")).agg(F.max("e").alias("e"), F.max("f").alias("f"))
     out = both.groupBy("document_id").agg(F.count("e").alias("expected"), F.count("f").alias("found"), F.count_if(F.col("f").isNull()).alias("missing"))
     return out.withColumn("balanced", (F.col("missing") == 0) & (F.col("expected") == F.col("found")))
 
