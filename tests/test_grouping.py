@@ -86,3 +86,14 @@ def test_no_local_work_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         work_folder(Session, "x")
+
+
+def test_components_are_dealt_to_tasks_by_many(spark):
+    """Components are replayed by buckets of them: one call for each would cost more than its rows."""
+    nodes = spark.range(400).selectExpr("id", "false AS seed", "'d' AS document_id", "id AS sequence", "array('yes') AS options", "false AS generic")
+    pairs = spark.range(0, 400, 2).selectExpr("id AS u", "id + 1 AS v", "1.0D AS score", "1.0D AS stem")
+    found = spark.range(400).selectExpr("id AS node", "id - id % 2 AS component")
+    out = resolve.replayed(nodes, pairs, found)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [deal" in plan
+    assert {(r.id, r.canonical_id) for r in out.collect()} == {(i, i - i % 2) for i in range(400)}
