@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import similarity
 from ..sources import kept, removed, versions, work_folder
 from . import resolve
 
@@ -54,18 +53,20 @@ def import_questions(rows: DataFrame, store: str) -> DataFrame:
     first = named.groupBy("name", *_SAME).agg(F.min(F.struct("document_id", "sequence", "id")).alias("f")).select("name", *_SAME, "f.*")
     first = kept(first, f"{folder}/distinct")
     old = kept(_known(first, members), f"{folder}/known")
-    fresh = resolve.with_grams(first.join(old.select("id"), "id", "left_anti")).withColumn("generic", resolve.is_generic(F.col("stem")))
+    fresh = resolve.with_grams(first.join(old.select("id"), "id", "left_anti"))
     fresh = kept(fresh, f"{folder}/fresh")
 
     # groups whose first question shares a block and could be alike by size, from the index alone
     index = versions.published(spark, store, "index", _INDEX)
-    blocks = fresh.select(F.explode(similarity.blocking_keys(F.col("key"))).alias("block"), F.col("n_grams").alias("n"))
+    blocks = fresh.select(F.explode("blocks").alias("block"), F.col("n_grams").alias("n"))
     sizes = blocks.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     near = index.join(sizes, "block").where((F.col("n_grams") >= resolve.LEAST_LIKENESS * F.col("least")) & (F.col("most") >= resolve.LEAST_LIKENESS * F.col("n_grams")))
     seeds = groups(spark, store).join(near.select("id").distinct(), "id", "left_semi")
     seeds = kept(resolve.with_grams(seeds), f"{folder}/seeds")
 
-    pairs = resolve.met(fresh, fresh, f"{folder}/fresh-fresh").unionByName(resolve.met(fresh, seeds, f"{folder}/fresh-seeds"))
+    pairs = resolve.met(fresh, fresh, f"{folder}/fresh-fresh")
+    if versions.manifest(spark, store):
+        pairs = pairs.unionByName(resolve.met(fresh, seeds, f"{folder}/fresh-seeds"))
     pairs = kept(resolve.joinable(pairs), f"{folder}/pairs")
     found = resolve.components(pairs, folder)
     columns = ["id", "document_id", "sequence", "options", "generic"]
@@ -85,7 +86,7 @@ def import_questions(rows: DataFrame, store: str) -> DataFrame:
         {
             "groups": begun.select(*columns).unionByName(grown.select(*columns)),
             "members": fresh.join(placed, "id").select("name", *_SAME, "canonical_id"),
-            "index": begun.select(F.explode(similarity.blocking_keys(F.col("key"))).alias("block"), "n_grams", "id"),
+            "index": begun.select(F.explode("blocks").alias("block"), "n_grams", "id"),
         },
     )
     own = placed.unionByName(old.withColumn("review_of", F.lit(None).cast("long")))

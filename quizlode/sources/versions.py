@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MANIFEST = "CURRENT"
 
@@ -39,7 +40,10 @@ def published(spark: SparkSession, folder: str, name: str, schema: str) -> DataF
     """A table with the number of the delta that each row is of (column delta)."""
     deltas = manifest(spark, folder).get(name, [])
     parts = [spark.read.schema(schema).parquet(f"{folder}/{d}").withColumn("delta", F.lit(k)) for k, d in enumerate(deltas)]
-    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{schema}, delta int")
+    if parts:
+        return functools.reduce(DataFrame.unionByName, parts)
+    none = T.StructType.fromDDL(f"{schema}, delta int")
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in none])
 
 
 def publish(spark: SparkSession, folder: str, added: dict[str, DataFrame], whole: dict[str, DataFrame] | None = None) -> None:

@@ -1,11 +1,15 @@
 """Imports one after another against one import of all, the store of pictures, and steps that are published at once."""
 
 import random
+import statistics
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quizlode.functions import similarity
 from quizlode.operators import grouping, pictures, resolve
+from quizlode.plans import imports
 from quizlode.sources import versions, work_folder
 from tests.test_cluster import rows_of
 
@@ -97,3 +101,33 @@ def test_components_are_dealt_to_tasks_by_many(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas [deal" in plan
     assert {(r.id, r.canonical_id) for r in out.collect()} == {(i, i - i % 2) for i in range(400)}
+
+
+def test_the_median_is_found_without_all_values_in_one_task(spark):
+    rnd = random.Random(4)
+    for n in (0, 1, 2, 5, 1000, 20_001):
+        values = [rnd.randrange(n // 3 + 1) if n % 2 else rnd.randrange(10**9) for _ in range(n)]
+        rows = spark.createDataFrame([(v,) for v in [*values, None]], "v long")
+        assert imports._median(rows, "v") == (statistics.median(values) if values else None)
+
+
+def test_small_blocks_are_met_together(spark, tmp_path):
+    """As many pairs as one block after another gives, and stems' keys are folded once for all steps."""
+    rows = rows_of(spark, some_rows(5, 300))
+    counted = resolve.with_grams(rows.where("stem <> ''"))
+    assert "regexp" not in resolve._sides(counted.localCheckpoint())._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = []
+    for few in (16, 0):
+        resolve.FEW_ROWS = few
+        frame = resolve._sides(counted).drop("blocks").join(counted.select("id", "blocks"), "id").selectExpr("*", "2 AS side", "true AS own").toPandas()
+        made = [resolve._meet(part) for _, part in frame.groupby(frame["block"].map(len))]
+        found.append(sorted(tuple(map(str, r)) for part in made for r in part.itertuples(index=False)))
+    resolve.FEW_ROWS = 16
+    assert found[0] and found[0] == found[1]
+
+
+def test_trigrams_of_many_texts_at_once():
+    texts = ["", None, "a", "ab ab ab", "né 😀 x", " ", "aaaaaa"]
+    pairs = [f" {t or ''} " for t in texts]
+    wanted = [sorted({(ord(p[i]) << 42) | (ord(p[i + 1]) << 21) | ord(p[i + 2]) for i in range(len(p) - 2)}) for p in pairs]
+    assert [list(x) for x in similarity.trigram_codes.func(pd.Series(texts))] == wanted
