@@ -32,6 +32,27 @@ def test_suffix_arrays_and_common_prefixes(monkeypatch, long_buckets):
             assert shared[b] == next(n for n in range(len(plain)) if plain[a + n] != plain[b + n])
 
 
+def test_names_are_sorted_together(monkeypatch):
+    """The names of a long text are not induced one by one, which took most of the time of a shard."""
+    monkeypatch.setattr(suffixes, "_induced_one_by_one", None)
+    rnd = random.Random(3)
+    part = bytes(rnd.choice(b"abcd ") for _ in range(9_000))
+    texts = [part, part[1_000:] + b"x", b"ab" * 5_000, bytes(rnd.randrange(256) for _ in range(3_000))]
+    found = suffixes.repeated_starts(texts, [1, 1, 1, 1], 400)
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    assert [f.tolist() for f in found] == [[seen[t[i : i + 400]] > 1 for i in range(len(t) - 399)] for t in texts]
+
+
+@pytest.mark.parametrize("n", [1, 2, 300, (1 << 21) + 5])
+def test_doubling_of_many_names(n):
+    names = np.append(np.random.default_rng(n).integers(1, 3 if n < 1000 else n, n), 0)
+    sa = suffixes._doubled(names)
+    rank = np.empty(n + 1, np.int64)
+    rank[sa] = np.arange(n + 1)
+    a, b = sa[:-1], sa[1:]
+    assert len(np.unique(sa)) == n + 1 and ((names[a] < names[b]) | ((names[a] == names[b]) & (rank[np.minimum(a + 1, n)] < rank[np.minimum(b + 1, n)]))).all()
+
+
 def brute_substrings(rows, window):
     texts = [(d, (t or "").encode()) for d, t in rows]
     seen = Counter(t[i : i + window] for _, t in texts for i in range(len(t) - window + 1))
