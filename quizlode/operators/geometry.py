@@ -41,12 +41,12 @@ def owners(notes: DataFrame, questions: DataFrame, above: float = 6.0, below: fl
     """(note_id, question_id): the question (page, question_id, top, bottom) of a note (page, note_id, y, h).
 
     The one it overlaps most, its span reaching a little over both ends; without any the nearest, if not too far; the
-    smaller id of equals. Pages are small; the join is on the page.
+    smaller id of equals. Pages are small and a note is on one; the join is on the page, and so are the choices.
     """
     both = notes.join(questions, "page")
     overlap = F.least(F.col("y") + F.col("h"), F.col("bottom") + below) - F.greatest(F.col("y"), F.col("top") - above)
     both = both.withColumn("overlap", overlap).where(F.col("overlap") > -farthest)
-    best = both.groupBy("note_id").agg(F.max_by("question_id", F.struct("overlap", -F.col("question_id"))).alias("question_id"))
+    best = both.groupBy("page", "note_id").agg(F.max_by("question_id", F.struct("overlap", -F.col("question_id"))).alias("question_id"))
     return best.select("note_id", "question_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import figures, geometry, lookup, records, review
-from ..sources import adapters, table
+from ..sources import adapters, dealt, table
 from .registry import query
 
 
@@ -96,10 +96,16 @@ def adopted_sentences(spark, folder):
     return review.adopt_unboxed(rows.select(F.col("n_nationkey").alias("id"), text.alias("text")), templates).select("id", "template_id", F.array_join("words", "|").alias("words"))
 
 
+def _lines(spark, folder):
+    """Lines of orders with their largest quantity, an order's in one task."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return dealt(rows, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+
+
 @query("""WITH b AS (SELECT n.l_orderkey * 10 + n.l_linenumber AS note_id, q.l_linenumber AS question_id, least(n.l_quantity * 4 + 10, q.l_linenumber * 30 + 25 + 20) - greatest(n.l_quantity * 4, q.l_linenumber * 30 - 6) AS o FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) n JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) q USING (l_orderkey))
 SELECT note_id, arg_max(question_id, (o, -question_id)) AS question_id FROM b WHERE o > -40 GROUP BY 1""")
 def note_owners(spark, folder):
-    rows = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    rows = _lines(spark, folder)
     notes = rows.select(F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("note_id"), (F.col("q") * 4).alias("y"), F.lit(10.0).alias("h"))
     questions = rows.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("question_id"), (F.col("l_linenumber") * 30).cast("double").alias("top"), (F.col("l_linenumber") * 30 + 25).cast("double").alias("bottom"))
     return geometry.owners(notes, questions)
@@ -110,7 +116,7 @@ b AS (SELECT k, l_linenumber AS o, abs(y + 0.62 * 10 - (l_linenumber * 40 + 5))
 n AS (SELECT k, min((round(abs(y - l_linenumber * 40), 6), l_linenumber)) AS b FROM s JOIN r ON l_orderkey = k WHERE abs(y - l_linenumber * 40) <= 20 GROUP BY 1)
 SELECT m.k AS stamp_id, CASE WHEN struct_extract_at(m.b, 1) < 14 THEN struct_extract_at(m.b, 2) END AS option_id, struct_extract_at(n.b, 2) AS row_id FROM m LEFT JOIN n ON m.k = n.k""")
 def stamps_and_notes(spark, folder):
-    rows = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    rows = _lines(spark, folder)
     order, line = F.col("l_orderkey"), (F.col("l_linenumber") * 40).cast("double")
     at = rows.groupBy("l_orderkey").agg((F.min("q") * 4).alias("y"))
     stamps = at.select(order.alias("page"), order.alias("question_id"), order.alias("stamp_id"), "y", F.lit(10.0).alias("h"))

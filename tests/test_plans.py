@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quizlode import sources
 from quizlode.functions import text
 from quizlode.plans import queries
 
@@ -16,3 +17,19 @@ def test_rows_are_dealt_to_all_cores(spark, name):
 def test_letters_are_counted_once(spark):
     """Three counts are three passes over a text, though every share is of all of them."""
     assert str(text.languages(F.col("text"))).count("regexp_replace(") == 3
+
+
+def shares(found):
+    """Rows of a result's partitions."""
+    return [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_a_task_takes_no_more_of_a_larger_table(spark, monkeypatch):
+    """Partitions follow the rows of a table, not a fixed number of shuffle partitions."""
+    monkeypatch.setattr(sources, "ROWS_OF_TASK", 300)
+    plain = queries.QUERIES["note_owners"]
+    found = plain(spark, "/root/testdata/sf0.001")
+    assert len(shares(found)) >= 15 and max(shares(found)) < 700
+    wanted = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(sources, "ROWS_OF_TASK", 10**6)
+    assert sorted(map(tuple, plain(spark, "/root/testdata/sf0.001").collect())) == wanted
