@@ -27,7 +27,7 @@ def review_detection(spark, folder):
 @query("""SELECT o_orderkey AS page, r.row, r.side, r.y, CASE r.row WHEN 1 THEN 'Вопрос' WHEN 2 THEN 'Выберите один ответ' WHEN 3 THEN CASE WHEN o_orderkey % 3 > 0 THEN 'Баллов: 1,00' ELSE 'Отметить' END ELSE o_orderpriority END AS text
 FROM orders CROSS JOIN (VALUES (1, true, 10.0::DOUBLE), (2, false, 11), (3, true, 24), (4, false, 40)) AS r("row", side, y)""")
 def review_rows(spark, folder):
-    pages = _review_pages(spark, folder)
+    pages = review.dealt_pages(_review_pages(spark, folder))
     return review.review_rows(pages, review.side_cuts(pages)).select("page", "row", "side", "y", "text")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quizlode import sources
 from quizlode.functions import text
+from quizlode.operators import review
 from quizlode.plans import queries
 
 
@@ -33,3 +34,11 @@ def test_a_task_takes_no_more_of_a_larger_table(spark, monkeypatch):
     wanted = sorted(map(tuple, found.collect()))
     monkeypatch.setattr(sources, "ROWS_OF_TASK", 10**6)
     assert sorted(map(tuple, plain(spark, "/root/testdata/sf0.001").collect())) == wanted
+
+
+def test_a_task_takes_no_more_of_more_pages(spark, monkeypatch):
+    monkeypatch.setattr(review, "PAGES_OF_TASK", 50)
+    found = queries.QUERIES["review_rows"](spark, "/root/testdata/sf0.001")
+    assert len(shares(found)) >= 20 and max(shares(found)) < 800
+    monkeypatch.setattr(review, "PAGES_OF_TASK", 10**6)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, queries.QUERIES["review_rows"](spark, "/root/testdata/sf0.001").collect()))
