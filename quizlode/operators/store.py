@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import tasks_for
 from .bank import like
 
 #: Rows of a page of canonical questions and of a list of documents, and of a page of the plain question list.
@@ -155,16 +156,15 @@ def detach(canonicals: DataFrame, instances: DataFrame, tasks: DataFrame, gone:
     Their instances keep no canonical question; canonical questions without any other member go, and their tasks with
     them; those that lost some have ``touched`` set, to be resolved again from the members that are left.
     """
-    ids = gone.select("document_id").distinct()
-    lost = instances.join(ids, "document_id", "left_semi").where("canonical_id IS NOT NULL").select("canonical_id").distinct()
-    rest = instances.join(ids, "document_id", "left_anti")
-    alive = rest.where("canonical_id IS NOT NULL").select("canonical_id").distinct()
-    dead = lost.join(alive, "canonical_id", "left_anti")
-    marked = lost.withColumn("touched", F.lit(True))
-    after = canonicals.join(dead, F.col("id") == F.col("canonical_id"), "left_anti")
-    after = after.join(marked, F.col("id") == F.col("canonical_id"), "left").drop("canonical_id").withColumn("touched", F.coalesce("touched", F.lit(False)))
-    flagged = ids.withColumn("_gone", F.lit(True))
-    freed = instances.join(flagged, "document_id", "left").withColumn("canonical_id", F.when(F.col("_gone").isNull(), F.col("canonical_id"))).drop("_gone")
+    n = tasks_for(instances)
+    ids = gone.select("document_id")
+    ids = (ids.repartition(n, "document_id") if n else ids).distinct()  # what is joined is dealt as these are
+    flagged = instances.join(ids.withColumn("_gone", F.lit(True)), "document_id", "left")
+    lost = flagged.where("canonical_id IS NOT NULL").groupBy("canonical_id").agg(F.count("_gone").alias("_lost"), F.count("*").alias("_all")).where("_lost > 0")
+    dead = lost.where("_lost = _all").select("canonical_id")
+    after = canonicals.join(lost, F.col("id") == F.col("canonical_id"), "left").where("_lost IS NULL OR _lost < _all")
+    after = after.withColumn("touched", F.col("_lost").isNotNull()).drop("canonical_id", "_lost", "_all")
+    freed = flagged.withColumn("canonical_id", F.when(F.col("_gone").isNull(), F.col("canonical_id"))).drop("_gone")
     open_ = tasks.join(ids, "document_id", "left_anti").join(dead, "canonical_id", "left_anti")
     return after, freed, open_
 

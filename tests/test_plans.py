@@ -1,5 +1,7 @@
 """Queries whose rows take long are dealt to all cores, however small the file is."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,13 @@ def test_a_task_takes_no_more_of_more_pages(spark, monkeypatch):
     assert len(shares(found)) >= 20 and max(shares(found)) < 800
     monkeypatch.setattr(review, "PAGES_OF_TASK", 10**6)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, queries.QUERIES["review_rows"](spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_instances_are_dealt_once_to_be_detached(spark, monkeypatch):
+    monkeypatch.setattr(sources, "ROWS_OF_TASK", 300)
+    found = queries.QUERIES["detached_documents"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(document_id#\d+L?, (\d+)\)", plan)
+    assert dealt and all(int(n) >= 20 for n in dealt) and "LeftSemi" not in plan
+    monkeypatch.setattr(sources, "ROWS_OF_TASK", 10**6)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, queries.QUERIES["detached_documents"](spark, "/root/testdata/sf0.001").collect()))
