@@ -11,6 +11,7 @@ hash of their ids alone), whole texts each. Scoring is one scan without a shuffl
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,54 +76,72 @@ class Model(dict):
         return float(-np.expm1(-harmless)), found
 
 
-def fit(rows: list[tuple[str | None, int]], rounds: int = 400, ridge: float = 0.02) -> Model:
-    """Learn sentence weights from (text, label) by gradient steps on the noisy-or likelihood."""
-    y = np.array([label for _, label in rows], float)
-    if not len(y) or not 0 < y.sum() < len(y):
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (text, toxic) to features with the number of harmless and toxic documents that have them."""
+    for batch in pieces(batches):
+        seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = {w for m in SENTENCE.finditer(text or "") for w in _WORD.findall(m[0].lower())}
+            seen[label].update({f for w in words for f in features(w)})
+        names = list(seen[0] | seen[1])
+        found = [pa.array([s[f] for f in names], pa.int64()) for s in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *found], ["feature", "harmless", "toxic"])
+
+
+class _Columns(dict):
+    """As a dict, the columns of a word's telling features."""
+
+    def __init__(self, chosen: dict[str, int]) -> None:
+        super().__init__()
+        self.chosen = chosen
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = [self.chosen[f] for f in features(word) if f in self.chosen]
+        return value
+
+
+def _bags(chosen: dict[str, int]):
+    """Documents (doc_id, text, toxic) to how many columns each of their sentences has, which, and how often."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns_of = _Columns(chosen)
+        for batch in pieces(batches):
+            sizes, columns, times = [], [], []
+            for text in batch.column(1).to_pylist():
+                own = [sorted(Counter(c for w in _WORD.findall(m[0].lower()) for c in columns_of[w]).items()) for m in SENTENCE.finditer(text or "")]
+                sizes.append([len(x) for x in own])
+                columns.append([c for x in own for c, _ in x]), times.append([n for x in own for _, n in x])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (sizes, columns, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["doc_id", "toxic", "sizes", "columns", "times"])
+
+    return scan
+
+
+def fit(texts: DataFrame, rounds: int = 400, ridge: float = 0.02) -> Model:
+    """Learn sentence weights from texts (doc_id, text, toxic) by gradient steps on the noisy-or likelihood.
+
+    Features are counted and chosen by Spark; the driver gets the columns of the sentences, no text.
+    """
+    n = dict(texts.groupBy("toxic").count().collect())
+    n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
+    if not n0 or not n1:
         return Model({}, 0.0)
-    # texts as numbers of words, and words as numbers of their features: each string is held once
-    numbers: dict[str, int] = {}
-    names: dict[str, int] = {}
-    of_word: list[np.ndarray] = []
-    docs: list[list[np.ndarray]] = []
-    for text, _ in rows:
-        sentences = []
-        for m in SENTENCE.finditer(text or ""):
-            found = _WORD.findall(m[0].lower())
-            for x in found:
-                if x not in numbers:
-                    numbers[x] = len(numbers)
-                    of_word.append(np.array([names.setdefault(f, len(names)) for f in features(x)], np.int32))
-            sentences.append(np.array([numbers[x] for x in found], np.int32))
-        docs.append(sentences)
-    seen = np.zeros((2, len(names)), np.int64)
-    for sentences, label in zip(docs, y, strict=True):
-        if words := np.unique(np.concatenate(sentences)).tolist() if sentences else []:
-            seen[int(label), np.unique(np.concatenate([of_word[w] for w in words]))] += 1
-    n1, n0 = y.sum(), len(y) - y.sum()
-    b, a = seen
-    share = (a + b) / (n0 + n1)
-    z = np.abs((a / n1 - b / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n0 + 1 / n1)))
-    telling = (np.maximum(a, b) >= LEAST_DOCS) & (z >= LEAST_Z)
-    ranked = sorted((-z[i], f) for f, i in names.items() if telling[i])[:MOST_FEATURES]
-    chosen = {f: k for k, (_, f) in enumerate(ranked)}
-    place = np.full(len(names), -1, np.int32)
-    for f, k in chosen.items():
-        place[names[f]] = k
-    del seen, numbers, names
-    of_word = [p[p >= 0] for p in (place[f] for f in of_word)]
-    sentence, column, value, bag = [], [], [], []
-    for d, sentences in enumerate(docs):
-        for words in sentences:
-            seen_words, counts = np.unique(words, return_counts=True)
-            own = [of_word[w] for w in seen_words.tolist()]
-            sizes = np.array([len(p) for p in own], int)
-            if sizes.sum():
-                column.append(np.concatenate(own)), value.append(np.repeat(counts, sizes).astype(np.float32)), sentence.append(np.full(sizes.sum(), len(bag), np.int32))
-            bag.append(d)
-    del docs, of_word
-    joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    sentence, column, value, bag = joined(sentence, np.int32), joined(column, np.int32), joined(value, np.float32), np.array(bag, int)
+    a, b = F.col("toxic"), F.col("harmless")
+    share = (a + b) / F.lit(n0 + n1)
+    z = F.abs((a / F.lit(n1) - b / F.lit(n0)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * F.lit(1 / n0 + 1 / n1)))
+    seen = texts.select("text", "toxic").mapInArrow(_seen, "feature string, harmless long, toxic long")
+    seen = seen.groupBy("feature").agg(F.sum("harmless").alias("harmless"), F.sum("toxic").alias("toxic")).withColumn("z", z)
+    telling = seen.where((F.greatest(a, b) >= LEAST_DOCS) & (F.col("z") >= LEAST_Z))
+    chosen = {f: k for k, (f,) in enumerate(telling.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).select("feature").collect())}
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    bags = texts.select("doc_id", "text", "toxic").orderBy("doc_id")
+    bags = bags.mapInArrow(_bags(chosen), f"doc_id {kind}, toxic int, sizes array<int>, columns array<int>, times array<int>").toArrow()
+    y, sizes, column, value = (bags[c].combine_chunks() for c in ("toxic", "sizes", "columns", "times"))
+    bag = np.repeat(np.arange(len(y), dtype=np.int32), sizes.value_lengths().to_numpy())
+    sentence = np.repeat(np.arange(len(bag), dtype=np.int32), sizes.flatten().to_numpy())
+    y, column, value = y.to_numpy().astype(float), column.flatten().to_numpy(), value.flatten().to_numpy().astype(np.float32)
     w, bias = np.zeros(len(chosen)), -4.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for k in range(1, rounds + 1):
@@ -162,10 +181,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, mo
     sample = cut(sample.select("doc_id", "toxic"), "label-sample")
     # at most most_labels rows of an id and a number; of texts that repeat an id the smallest hash stands for all
     text = F.min_by("text", F.xxhash64("text")).alias("text")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(text, F.max("toxic").alias("toxic"))
-    rows = rows.select("doc_id", "text", "toxic").collect()
-    forget(sample)
-    return fit([(t, y) for _, t, y in sorted(rows, key=lambda r: (r[0], r[1] or ""))])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(text, F.max("toxic").alias("toxic"))
+    texts = cut(texts.select("doc_id", "text", "toxic"), "label-texts")
+    model = fit(texts)
+    forget(sample, texts)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -321,6 +321,20 @@ def test_toxicity_of_labels_beyond_the_documents(spark):
     assert not toxicity.learn(docs, others).weights
 
 
+def test_toxicity_is_learned_without_the_texts_on_the_driver(spark):
+    import tracemalloc
+
+    rows, labels = toxic_rows(random.Random(6), 400)
+    rows = [(d, f"{t}. {' '.join(f'w{d}x{k}' for k in range(400))}") for d, t in rows]
+    docs, table = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    tracemalloc.start()
+    model = toxicity.learn(docs, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {"moronic", "vile-"} <= set(model.weights)
+    assert peak < sum(len(t) for _, t in rows) / 2
+
+
 def test_toxicity_awkward_rows(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (4, 1), (4, 0), (6, 1)], "doc_id long, toxic int")
     scored = toxicity.score_toxicity(docs_of(spark, AWKWARD), toxicity.learn(docs_of(spark, AWKWARD), labels)).collect()
