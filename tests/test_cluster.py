@@ -140,3 +140,30 @@ def test_a_component_is_replayed_without_its_texts():
     frame = pd.DataFrame([(i, False, d, n, ["yes"], False, e) for i, d, n, e in rows], columns=["id", "seed", "document_id", "sequence", "options", "generic", "near"])
     found = {r.id: (r.canonical_id, list(r.options or [])) for r in resolve._replay_pairs(frame).itertuples()}
     assert found == {1: (1, ["yes"]), 2: (2, ["yes"]), 3: (1, []), 9: (9, ["yes"])}
+
+
+def test_rows_to_compare_hold_no_text(spark, tmp_path):
+    """What is compared moves trigrams packed and texts by hash; equal rows are one, and short words block by the text's beginning."""
+    from quizlode.functions import similarity
+
+    stems = ["a long sentence on vessels " * 40, "a long sentence on vessels " * 40, "ab cd ef gh ij kl", "ab cd ef gh ij kl m", "ab cd", "which figure is it", ""]
+    rows = rows_of(spark, [(i, "d", i, s, ["y", "x"] if i else ["x", "y"]) for i, s in enumerate(stems)])
+    once, names = resolve.distinct(rows, str(tmp_path))
+    assert sorted((r.id, r.first_id) for r in names.collect()) == [(0, 0), (1, 0), *((i, i) for i in range(2, 7))]
+    found, plain = {r.id: r for r in once.collect()}, {r.id: r for r in resolve.with_grams(rows).collect()}
+    assert sorted(found) == [0, 2, 3, 4, 5, 6]
+    for i, r in found.items():
+        assert similarity.unpacked(r.grams).tolist() == list(plain[i].grams) and r.n == plain[i].n_grams
+        assert list(r.blocks) == list(plain[i].blocks) and r.generic == plain[i].generic == (i == 5)
+    assert found[2].blocks == found[3].blocks == ["ab cd ef gh "]
+    assert max(len(r.grams) + len(r.stem or b"") + len(r.key) for r in found.values()) < len(stems[0]) / 4
+    assert {(r.a_id, r.b_id) for r in resolve.met(once, once, str(tmp_path / "met")).collect()} == {(2, 3)}
+
+
+def test_a_text_with_many_letters_is_never_generic(spark):
+    """The long key of a long text isn't made to learn that it is long; what it would be is the same."""
+    stems = ["figure " * 7, "figure " * 6, "figure" + " ." * 400, "!" * 300 + "figure", "İ" * 44 + " figure", "рисунок" * 3, "figure " * 900, "", None]
+    frame = spark.createDataFrame([(s,) for s in stems], "stem string")
+    key = text.match_key(F.col("stem"))
+    told = frame.select(resolve.is_generic(F.col("stem")).alias("a"), ((F.length(key) < 45) & key.rlike("(?iu)figure|рисун")).alias("b")).collect()
+    assert [r.a or False for r in told] == [r.b or False for r in told] and any(r.a for r in told)
