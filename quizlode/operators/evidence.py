@@ -65,8 +65,9 @@ def solve_by_score(n_options: Column, picked: Column, grade: Column, tolerance:
         value = right / k - wrong / (n_options - k)
         return F.abs(F.greatest(value, F.lit(0.0)) - grade) <= tolerance
 
-    found = F.filter(masks, earns)
-    return F.when(n_options.between(2, 10) & (F.size(found) == 1), F.get(found, F.lit(0)))
+    # the sets are tried once
+    only = F.get(F.transform(F.array(F.filter(masks, earns)), lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0)))), F.lit(0))
+    return F.when(n_options.between(2, 10), only)
 
 
 def attempts(rows: DataFrame) -> DataFrame:

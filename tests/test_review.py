@@ -104,3 +104,43 @@ def test_store_at_the_edges(spark):
     assert sorted(drawn[0]) == sorted(drawn[1]) != sorted(drawn[2]) and len(drawn[0]) == 7
     parsed = spark.createDataFrame([(["A", "B"], "q")], "o array<string>, id string").select(views.shuffled(F.transform("o", lambda k: F.struct(k.alias("key"))), F.col("id"), 3).alias("s")).first()
     assert sorted(o.key for o in parsed.s) == ["A", "B"]
+
+
+def test_pages_are_read_as_a_stream(spark):
+    """Rows and attempts come from one pass over pages in order: no group is held, no page is folded by expressions, and a page in parts is one."""
+    def page(n, k, *more):
+        return ("d", n, [item("Вопрос", 20, 10), item(str(k), 60, 10), item("Баллов: 1,00 из 1,00", 20, 30), item("The", 20, 50), item("⟪heart⟫", 50, 50), item("beats", 120, 50), *more])
+
+    late = ("d", 2, [item("slowly", 150, 50), item(" ", 5, 5), {"str": "lost", "x": None, "y": 400.0, "w": 1.0, "h": None}, item(None, 1, 1)])
+    pages = spark.createDataFrame([page(3, 6), late, page(1, 4), page(2, 5), ("e", None, None), ("f", 1, [])], PAGES)
+    rows = review.review_rows(pages, review.side_cuts(pages))
+    read = review.attempts(pages.join(review.heads(pages), "document_id"))
+    for plan in (rows, read):
+        told = plan._jdf.queryExecution().toString()
+        assert "MapInArrow" in told and "FlatMapGroupsInPandas" not in told and "aggregate(" not in told
+    found = rows.orderBy("document_id", "page", "row").collect()
+    assert [(r.page, r.row, r.y, r.bottom, r.x, r.text) for r in found if r.page == 2] == [
+        (2, 1, 10.0, 20.0, 20.0, "Вопрос 5"), (2, 2, 30.0, 40.0, 20.0, "Баллов: 1,00 из 1,00"), (2, 3, 50.0, 60.0, 20.0, "The ⟪heart⟫ beats slowly"), (2, 4, 400.0, None, None, "lost"),
+    ]
+    assert [(r.id, r.number, r.page, r.body, r.response) for r in read.orderBy("id").collect()] == [(0, 4, 1, "The ___ beats", "heart"), (1, 5, 2, "The ___ beats slowly lost", "heart"), (2, 6, 3, "The ___ beats", "heart")]
+
+
+def test_rows_of_a_page_equal_a_fold(spark):
+    """Against the fold told as a plain loop: random heights, both columns, ties and kinds of blanks."""
+    rnd = random.Random(3)
+    for _ in range(200):
+        items = [(k, rnd.choice(["a", "b\u00a0c", " ", "!", "\u0138 x", "  d"]), float(rnd.randint(0, 4) * 30), rnd.choice([1, 2.5, 3, 6, 12, 13.5]) * rnd.randint(1, 3), rnd.choice([4.0, 10.0])) for k in range(rnd.randint(0, 9))]
+        cut, wanted = rnd.choice([None, 45.0]), []
+        for side in (True, False):
+            rows = []
+            for c, x, k, s, y, h in sorted((y + h / 2, x, k, s, y, h) for k, s, x, y, h in items if s.strip(" ") and (cut is not None and x < cut) == side):
+                if rows and abs(c - rows[-1][0]) <= max(2.6, 0.4 * min(h, rows[-1][1])):
+                    rows[-1][2].append((x, c, s, y, h))
+                else:
+                    rows.append((c, h, [(x, c, s, y, h)]))
+            for _, _, own in rows:
+                own.sort()
+                text = " ".join(" ".join(i[2] for i in own if i[2].strip(" ") != "!").replace("\u0138", "к").replace("\u00a0", " ").split())
+                wanted.append((min(i[3] for i in own), not side, text, max(i[3] + i[4] for i in own), own[0][0], [(i[0], i[2]) for i in own]))
+        found = [(r.y, not r.side, r.text, r.bottom, r.x, r.items) for r in review.page_rows(items, cut)]
+        assert found == sorted(wanted, key=lambda w: w[:3])
